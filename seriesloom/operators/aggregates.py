@@ -401,10 +401,14 @@ def median_across(
     stats = venues.groupBy(*by).agg(
         F.count(F.lit(1)).alias("venue_count"), F.min(venue).alias("_only")
     )
-    for m in measures:
-        stats = stats.join(
-            grouped_quantile(venues, by, m, [0.5], names=[m]).drop("n"), list(by), "left"
-        )
+    # The measures travel as one long column, so all medians come from one pass.
+    long = venues.unpivot([*by, venue], list(measures), "_measure", "_value")
+    medians = grouped_quantile(
+        long, [*by, "_measure"], "_value", [0.5], names=["_median"]
+    ).groupBy(*by).agg(
+        *[F.max(F.when(F.col("_measure") == m, F.col("_median"))).alias(m) for m in measures]
+    )
+    stats = stats.join(medians, list(by), "left")
     n = F.col("venue_count")
     return stats.select(
         *by, "venue_count",
