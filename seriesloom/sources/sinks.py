@@ -65,11 +65,12 @@ def ledger_fingerprint(manifest: DataFrame) -> DataFrame:
 
 def write_day_shards(entries: DataFrame, path: str, *, day: str = "index_date") -> None:
     """One folder per day plus the manifest. Only the days present are replaced,
-    so an incremental run rewrites nothing else. A day's rows also keep their own
-    date, by which a misplaced row shows."""
+    so an incremental run rewrites nothing else. Rebalancing cuts a large day into
+    several files of the advisory size and merges small ones. A day's rows also
+    keep their own date, by which a misplaced row shows."""
     rows = entries.withColumn("shard_day", F.col(day))
     (
-        rows.repartition(day, F.pmod(F.xxhash64(*entries.columns), F.lit(32)))
+        rows.hint("rebalance", day)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("shard_day").parquet(f"{path}/shards")
     )
