@@ -21,6 +21,15 @@ def qname(q: float) -> str:
     return f"q{round(q * 100):02d}"
 
 
+def linear_quantile(ordered_values: Column, q: float) -> Column:
+    """Interpolated quantile at (n − 1)·q of a sorted, non-empty array."""
+    position = (F.size(ordered_values) - 1) * F.lit(float(q))
+    lower = F.floor(position).cast("int")
+    upper = F.least(lower + 1, F.size(ordered_values) - 1)
+    weight = position - lower
+    return F.get(ordered_values, lower) * (1 - weight) + F.get(ordered_values, upper) * weight
+
+
 # --- mid-rank --------------------------------------------------------------
 
 
@@ -258,19 +267,24 @@ def calendar_year_percentile(
     strictly before it, the sample size and whether the row reaches it.
 
     The interval is a numeric RANGE frame over :func:`calendar_key`, so no pair
-    of rows is ever joined.
+    of rows is ever joined; the frame bounds the array that each row sorts.
     """
     lo, hi = calendar_years_frame(years)
     frame = Window.partitionBy(*by).orderBy("_key").rangeBetween(lo, hi)
     used = F.when(F.col(value) > 0, F.col(value))
     rows = daily.withColumn("_key", calendar_key(date)).select(
-        "*", F.count(used).over(frame).alias("sample_size"),
-        F.percentile(used, F.lit(quantile)).over(frame).alias("_q"),
+        "*", F.collect_list(used).over(frame).alias("_past"),
+    ).withColumn("sample_size", F.size("_past").cast("bigint"))
+    threshold = F.when(
+        F.col("sample_size") >= F.greatest(F.lit(minimum), F.lit(1)),
+        linear_quantile(F.array_sort("_past"), quantile),
+    )
+    rows = rows.withColumn("_q", threshold)
+    large = F.when(
+        F.col("_q").isNotNull(), (F.col(value) >= F.col("_q")) & (F.col(value) > 0)
     )
-    threshold = F.when(F.col("sample_size") >= minimum, F.col("_q"))
-    large = F.when(threshold.isNotNull(), (F.col(value) >= threshold) & (F.col(value) > 0))
     return rows.select(
-        *daily.columns, "sample_size", F.round(threshold, 6).alias("threshold"),
+        *daily.columns, "sample_size", F.round("_q", 6).alias("threshold"),
         large.alias("is_large"),
     )
 
