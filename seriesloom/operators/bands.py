@@ -21,15 +21,6 @@ def qname(q: float) -> str:
     return f"q{round(q * 100):02d}"
 
 
-def linear_quantile(ordered_values: Column, q: float) -> Column:
-    """Interpolated quantile at (n − 1)·q of a sorted, non-empty array."""
-    position = (F.size(ordered_values) - 1) * F.lit(float(q))
-    lower = F.floor(position).cast("int")
-    upper = F.least(lower + 1, F.size(ordered_values) - 1)
-    weight = position - lower
-    return F.get(ordered_values, lower) * (1 - weight) + F.get(ordered_values, upper) * weight
-
-
 # --- mid-rank --------------------------------------------------------------
 
 
@@ -57,23 +48,22 @@ def midrank_endpoint(
     )
 
 
-def midrank_trailing(
-    obs: DataFrame, *, window: int = 756, minimum: int = 252, by: Sequence[str] = BY,
-    date: str = "obs_date", value: str = "value",
+def _sorted_stream(
+    rows: DataFrame, by: Sequence[str], date: str, columns: str, rank, keep
 ) -> DataFrame:
-    """Mid-rank of every row inside its own trailing window.
+    """Add columns that look back along each series.
 
     No aggregate over a frame can refer to the frame's current row, and an array
-    per row would hold ``window`` values for each of them. So Spark shuffles by
-    series and sorts, and each task compares the sorted stream with itself
-    shifted by 1, 2, … rows: numpy adds over whole batches, whatever the number
-    of series in them, with the last rows of a batch carried into the next.
+    per row would hold the whole frame for each of them. So Spark shuffles by
+    series and sorts, and a task walks its sorted stream batch by batch, whatever
+    the number of series in a batch. ``rank(data, starts)`` gets a batch with the
+    first position of each row's series and returns the new columns; ``keep(data)``
+    picks the rows that the next batch must still see.
     """
-    rows = valid_only(obs, value).select(*by, date, F.col(value).cast("double").alias("value"))
-    arranged = rows.repartition(*by).sortWithinPartitions(*by, date)
     keys = list(by)
+    arranged = rows.repartition(*by).sortWithinPartitions(*by, date)
 
-    def rank(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
@@ -88,30 +78,53 @@ def midrank_trailing(
             for k in keys:
                 column = data[k].to_numpy()
                 changed[1:] |= column[1:] != column[:-1]
-            index = np.arange(len(data))
-            start = np.maximum.accumulate(np.where(changed, index, 0))
-            start = np.maximum(start, index - window + 1)
-            depth = index - start
-            v = data["value"].to_numpy()
-            below = np.zeros(len(data))
-            equal = np.ones(len(data))
-            for shift in range(1, min(window, len(data))):
-                reach = depth[shift:] >= shift
-                if not reach.any():
-                    break
-                now, then = v[shift:], v[:-shift]
-                below[shift:] += reach & (then < now)
-                equal[shift:] += reach & (then == now)
-            size = depth + 1
-            midrank = (below + 0.5 * equal) / size
-            out = data.assign(
-                midrank=pd.Series(midrank).where(size >= minimum), sample_size=size
-            )
-            yield out.iloc[held:]
-            carry = data.iloc[-(window - 1):] if window > 1 else None
+            starts = np.maximum.accumulate(np.where(changed, np.arange(len(data)), 0))
+            yield data.assign(**rank(data, starts)).iloc[held:]
+            carry = data[starts == starts[-1]]
+            carry = carry[keep(carry)]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return arranged.mapInPandas(rank, f"{schema}, midrank double, sample_size bigint")
+    return arranged.mapInPandas(run, f"{schema}, {columns}")
+
+
+def midrank_trailing(
+    obs: DataFrame, *, window: int = 756, minimum: int = 252, by: Sequence[str] = BY,
+    date: str = "obs_date", value: str = "value",
+) -> DataFrame:
+    """Mid-rank of every row inside its own trailing window.
+
+    The sorted values are compared with themselves shifted by 1, 2, … rows, for
+    all series of a batch at once.
+    """
+    rows = valid_only(obs, value).select(*by, date, F.col(value).cast("double").alias("value"))
+
+    def rank(data, starts):
+        import numpy as np
+        import pandas as pd
+
+        index = np.arange(len(data))
+        depth = index - np.maximum(starts, index - window + 1)
+        v = data["value"].to_numpy()
+        below, equal = np.zeros(len(data)), np.ones(len(data))
+        for shift in range(1, min(window, len(data))):
+            reach = depth[shift:] >= shift
+            if not reach.any():
+                break
+            now, then = v[shift:], v[:-shift]
+            below[shift:] += reach & (then < now)
+            equal[shift:] += reach & (then == now)
+        size = depth + 1
+        midrank = pd.Series((below + 0.5 * equal) / size, index=data.index)
+        return {"midrank": midrank.where(size >= minimum), "sample_size": size}
+
+    def keep(data):
+        import numpy as np
+
+        return np.arange(len(data)) >= len(data) - (window - 1)
+
+    return _sorted_stream(
+        rows, by, date, "midrank double, sample_size bigint", rank, keep
+    )
 
 
 def near_floor_context(
@@ -266,26 +279,48 @@ def calendar_year_percentile(
     """Per row: the linear quantile of the positive values of the k calendar years
     strictly before it, the sample size and whether the row reaches it.
 
-    The interval is a numeric RANGE frame over :func:`calendar_key`, so no pair
-    of rows is ever joined; the frame bounds the array that each row sorts.
+    The interval is a numeric range over :func:`calendar_key`, so no pair of rows
+    is ever joined.
     """
-    lo, hi = calendar_years_frame(years)
-    frame = Window.partitionBy(*by).orderBy("_key").rangeBetween(lo, hi)
-    used = F.when(F.col(value) > 0, F.col(value))
-    rows = daily.withColumn("_key", calendar_key(date)).select(
-        "*", F.collect_list(used).over(frame).alias("_past"),
-    ).withColumn("sample_size", F.size("_past").cast("bigint"))
-    threshold = F.when(
-        F.col("sample_size") >= F.greatest(F.lit(minimum), F.lit(1)),
-        linear_quantile(F.array_sort("_past"), quantile),
-    )
-    rows = rows.withColumn("_q", threshold)
-    large = F.when(
-        F.col("_q").isNotNull(), (F.col(value) >= F.col("_q")) & (F.col(value) > 0)
+    back, before = calendar_years_frame(years)
+    rows = daily.select(
+        *by, date, F.col(value).cast("double").alias("_v"), calendar_key(date).alias("_key")
     )
-    return rows.select(
-        *daily.columns, "sample_size", F.round("_q", 6).alias("threshold"),
-        large.alias("is_large"),
+    floor = max(minimum, 1)
+
+    def rank(data, starts):
+        import numpy as np
+
+        key, v = data["_key"].to_numpy(), data["_v"].to_numpy()
+        size, found = np.zeros(len(data), dtype="int64"), np.full(len(data), np.nan)
+        edges = np.append(np.unique(starts), len(data))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            used = v[lo:hi] > 0
+            keys, values = key[lo:hi][used], v[lo:hi][used]
+            first = np.searchsorted(keys, key[lo:hi] + back, "left")
+            last = np.searchsorted(keys, key[lo:hi] + before, "right")
+            size[lo:hi] = last - first
+            for i in np.flatnonzero(size[lo:hi] >= floor):
+                past = values[first[i]:last[i]]
+                position = (len(past) - 1) * quantile
+                low = int(position)
+                high = min(low + 1, len(past) - 1)
+                part = np.partition(past, (low, high))
+                weight = position - low
+                found[lo + i] = part[low] * (1 - weight) + part[high] * weight
+        return {"_q": found, "sample_size": size}
+
+    def keep(data):
+        return (data["_key"] >= data["_key"].iloc[-1] + back).to_numpy()
+
+    ranked = _sorted_stream(rows, by, date, "_q double, sample_size bigint", rank, keep)
+    threshold = F.when(~F.isnan("_q"), F.col("_q"))
+    return ranked.select(
+        *by, date, F.col("_v").alias(value), "sample_size",
+        F.round(threshold, 6).alias("threshold"),
+        F.when(
+            threshold.isNotNull(), (F.col("_v") >= threshold) & (F.col("_v") > 0)
+        ).alias("is_large"),
     )
 
 
