@@ -39,9 +39,9 @@ def codes(rules: Sequence[tuple[Column, str]]) -> Column:
 
 
 def finite(value: Column | str) -> Column:
-    """A double that is neither NaN nor infinite, else null."""
+    """A double that is neither NaN nor infinite, else null (NaN sorts above all)."""
     c = as_col(value)
-    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def parse_number(text: Column | str) -> Column:
@@ -100,15 +100,9 @@ def strict_date(text: Column | str) -> Column:
 
 def xs_date(text: Column | str) -> Column:
     """``xs:date``: the calendar part counts, an optional zone never shifts it."""
-    c = as_col(text)
-    parts = r"^(\d{4}-\d{2}-\d{2})(Z|[+-](\d{2}):(\d{2}))?$"
-    hour = F.regexp_extract(c, parts, 3).try_cast("int")
-    minute = F.regexp_extract(c, parts, 4).try_cast("int")
-    zone_ok = hour.isNull() | (
-        (hour <= 14) & (minute <= 59) & ((hour < 14) | (minute == 0))
-    )
-    day = F.try_to_date(F.regexp_extract(c, parts, 1), "yyyy-MM-dd")
-    return F.when(c.rlike(parts) & zone_ok, day)
+    zone = r"(?:Z|[+-](?:(?:0\d|1[0-3]):[0-5]\d|14:00))?"
+    day = F.regexp_extract(as_col(text), rf"^(\d{{4}}-\d{{2}}-\d{{2}}){zone}$", 1)
+    return F.try_to_date(day, "yyyy-MM-dd")
 
 
 def optional_date(text: Column | str, code: str) -> tuple[Column, Column]:

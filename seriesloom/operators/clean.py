@@ -68,7 +68,7 @@ def near_reference_lines(
     joined = lines.join(stats, list(by))
     return joined.select(
         *lines.columns, "lo", "hi",
-        F.col(line).between("lo", "hi").alias("inside"),
+        F.col(line).between(F.col("lo"), F.col("hi")).alias("inside"),
         F.col(line).between(
             F.col("lo") - band * spans, F.col("hi") + band * spans
         ).alias("near"),

@@ -12,7 +12,7 @@ from seriesloom.functions.hashing import array_fingerprint
 from seriesloom.functions.scalars import (
     codes, local_to_utc, optional_date, parse_decimal, tri_state, xs_date,
 )
-from seriesloom.sources.landing import is_html_page
+from seriesloom.sources.landing import computed_once, is_html_page
 
 # The header line, file names and paths of a daily index.
 INDEX_HEADER = "CIK|Company Name|Form Type|Date Filed|File Name"
@@ -128,22 +128,22 @@ def parse_ownership_docs(
         F.regexp_extract_all(text, F.lit(r"(?is)<XML>(.*?)</XML>"), F.lit(1)),
         lambda x: x.rlike(r"(?i)<\s*(\w+:)?ownershipDocument(\s|>)"),
     )
-    xml = F.when(F.size(bodies) == 1, F.trim(bodies[0]))
+    wrapped = computed_once(
+        documents, _bodies=bodies, _stamp=_tag(text, "ACCEPTANCE-DATETIME"),
+        _accession=_tag(text, "ACCESSION NUMBER"),
+    )
+    xml = F.when(F.size("_bodies") == 1, F.trim(F.col("_bodies")[0]))
     # The declaration and namespace prefixes carry no data.
     plain = F.regexp_replace(
         F.regexp_replace(xml, r"^\s*<\?xml[^>]*\?>", ""), r"<(/?)\w+:(\w)", "<$1$2"
     )
-    stamp = _tag(text, "ACCEPTANCE-DATETIME")
-    parsed = documents.select(
-        *documents.columns,
-        F.sha2(text, 256).alias("submission_sha256"),
-        _tag(text, "ACCESSION NUMBER").alias("_accession"),
-        local_to_utc(
-            F.try_to_timestamp(F.when(stamp.rlike(r"^\d{14}$"), stamp), F.lit("yyyyMMddHHmmss"))
-        ).alias("accepted_at"),
-        F.size(bodies).alias("_bodies"), F.sha2(xml, 256).alias("document_sha256"),
-        F.upper(xml).rlike("<!(DOCTYPE|ENTITY)").alias("_declares"),
-        F.from_xml(plain, schemas.OWNERSHIP_XML, {"mode": "PERMISSIVE"}).alias("x"),
+    stamp = F.when(F.col("_stamp").rlike(r"^\d{14}$"), F.col("_stamp"))
+    parsed = computed_once(
+        wrapped,
+        x=F.from_xml(plain, schemas.OWNERSHIP_XML, {"mode": "PERMISSIVE"}),
+        submission_sha256=F.sha2(text, 256), document_sha256=F.sha2(xml, 256),
+        accepted_at=local_to_utc(F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss"))),
+        _declares=F.upper(xml).rlike("<!(DOCTYPE|ENTITY)"),
     )
     period, period_code = optional_date(F.nullif(F.trim("x.periodOfReport"), F.lit("")),
                                         "PERIOD_OF_REPORT_INVALID")
@@ -151,7 +151,13 @@ def parse_ownership_docs(
         F.nullif(F.trim("x.dateOfOriginalSubmission"), F.lit("")),
         "DATE_OF_ORIGINAL_SUBMISSION_INVALID",
     )
-    owners = F.transform("x.reportingOwner", lambda o: F.trim(o["reportingOwnerId"]["rptOwnerCik"]))
+    parsed = computed_once(
+        parsed,
+        _owners=F.transform(
+            "x.reportingOwner", lambda o: F.trim(o["reportingOwnerId"]["rptOwnerCik"])
+        ),
+    )
+    owners = F.col("_owners")
     owner_ids = F.array_distinct(
         F.transform(owners, lambda o: o.try_cast("bigint").cast("string"))
     )
@@ -165,7 +171,7 @@ def parse_ownership_docs(
             "ACCESSION_MISMATCH",
         )
         .when(F.col("accepted_at").isNull(), "ACCEPTANCE_TIME")
-        .when(F.coalesce("_bodies", F.lit(0)) != 1, "OWNERSHIP_DOCUMENT_COUNT")
+        .when(F.coalesce(F.size("_bodies"), F.lit(0)) != 1, "OWNERSHIP_DOCUMENT_COUNT")
         .when(F.col("_declares"), "FORBIDDEN_DECLARATION")
         .when(F.col("x.documentType").isNull(), "INVALID_XML")
         .when(F.trim("x.documentType") != F.col(form), "FORM_MISMATCH")
@@ -177,8 +183,9 @@ def parse_ownership_docs(
         .when(flag.isNull(), "PLAN_FLAG")
     )
     keep = [c for c in documents.columns if c != payload]
+    parsed = computed_once(parsed, problem=problem)
     return parsed.select(
-        *keep, problem.alias("problem"), "accepted_at",
+        *keep, "problem", "accepted_at",
         issuer.try_cast("bigint").cast("string").alias("issuer"),
         F.array_sort(owner_ids).alias("owners"),
         array_fingerprint(owner_ids).alias("owner_hash"),
@@ -190,18 +197,64 @@ def parse_ownership_docs(
 
 
 def _plain_decimal(value: Column) -> Column:
-    """Decimal text without trailing zeros: ``10``, ``2.5``."""
-    text = value.cast("string")
-    return F.when(
-        text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
-    ).otherwise(text)
+    """Text of a decimal with a scale, without trailing zeros: ``10``, ``2.5``."""
+    return F.rtrim(F.rtrim(value.cast("string"), F.lit("0")), F.lit("."))
 
 
 def _typed(filings: DataFrame) -> DataFrame:
-    """The filings with their transactions as an array ``_t`` of typed structs."""
-    return filings.withColumn(
-        "_t", F.transform("transactions", _transaction_struct)
-    ).drop("transactions")
+    """The filings with their transactions as an array ``_t`` of typed structs.
+
+    Three passes over the array, so that no field is parsed twice.
+    """
+    raw = F.transform("transactions", _raw_fields)
+    typed = F.transform(raw, _typed_fields)
+    return computed_once(filings, _t=F.transform(typed, _judged)).drop("transactions")
+
+
+def _raw_fields(t: Column) -> Column:
+    amounts = t["transactionAmounts"]
+
+    def text(c: Column) -> Column:
+        return F.nullif(F.trim(c), F.lit(""))
+
+    return F.struct(
+        text(t["transactionCoding"]["transactionCode"]).alias("code"),
+        text(amounts["transactionAcquiredDisposedCode"]["value"]).alias("side"),
+        text(amounts["transactionShares"]["value"]).alias("shares"),
+        text(amounts["transactionPricePerShare"]["value"]).alias("price"),
+        text(t["transactionDate"]["value"]).alias("day"),
+    )
+
+
+def _typed_fields(t: Column) -> Column:
+    return F.struct(
+        t["code"].alias("code"), t["side"].alias("side"), t["price"].isNull().alias("unpriced"),
+        xs_date(t["day"]).alias("transaction_date"),
+        parse_decimal(t["shares"], allow_zero=False).alias("shares"),
+        parse_decimal(t["price"]).alias("price"),
+    )
+
+
+def _judged(t: Column) -> Column:
+    known = F.coalesce(t["code"].isin("P", "S"), F.lit(False))
+    good = F.coalesce(
+        (t["side"] == F.when(t["code"] == "P", "A").otherwise("D")) & t["shares"].isNotNull()
+        & t["transaction_date"].isNotNull() & (t["unpriced"] | t["price"].isNotNull()),
+        F.lit(False),
+    )
+    fingerprint = F.sha2(
+        F.concat_ws(
+            "|", t["transaction_date"].cast("string"), t["code"], t["side"],
+            _plain_decimal(t["shares"]), F.coalesce(_plain_decimal(t["price"]), F.lit("MISSING")),
+        ), 256,
+    )
+    return F.struct(
+        F.when(~known, "EXCLUDED").when(good, "ELIGIBLE").otherwise("QUARANTINED").alias("status"),
+        t["unpriced"].alias("unpriced"), fingerprint.alias("fingerprint"),
+        t["transaction_date"].alias("transaction_date"), t["code"].alias("code"),
+        t["side"].alias("side"), t["shares"].alias("shares"), t["price"].alias("price"),
+        F.try_multiply(t["shares"], t["price"]).cast("decimal(38,6)").alias("dollars"),
+    )
 
 
 def type_transactions(filings: DataFrame) -> DataFrame:
@@ -255,31 +308,3 @@ def filing_summary(filings: DataFrame) -> DataFrame:
         F.when(quarantined, "PARSED_WITH_QUARANTINED_ROWS").otherwise("PARSED")
         .alias("parse_status"),
     )
-
-
-def _transaction_struct(t: Column) -> Column:
-    code = F.trim(t["transactionCoding"]["transactionCode"])
-    amounts = t["transactionAmounts"]
-    side = F.trim(amounts["transactionAcquiredDisposedCode"]["value"])
-    raw_price = F.nullif(F.trim(amounts["transactionPricePerShare"]["value"]), F.lit(""))
-    shares = parse_decimal(F.trim(amounts["transactionShares"]["value"]), allow_zero=False)
-    price = parse_decimal(raw_price)
-    day = xs_date(F.trim(t["transactionDate"]["value"]))
-    known = F.coalesce(code.isin("P", "S"), F.lit(False))
-    good = F.coalesce(
-        (side == F.when(code == "P", "A").otherwise("D")) & shares.isNotNull()
-        & day.isNotNull() & (raw_price.isNull() | price.isNotNull()), F.lit(False),
-    )
-    fingerprint = F.sha2(
-        F.concat_ws(
-            "|", day.cast("string"), code, side, _plain_decimal(shares),
-            F.coalesce(_plain_decimal(price), F.lit("MISSING")),
-        ), 256,
-    )
-    return F.struct(
-        F.when(~known, "EXCLUDED").when(good, "ELIGIBLE").otherwise("QUARANTINED").alias("status"),
-        raw_price.isNull().alias("unpriced"), fingerprint.alias("fingerprint"),
-        day.alias("transaction_date"), code.alias("code"), side.alias("side"),
-        shares.alias("shares"), price.alias("price"),
-        F.try_multiply(shares, price).cast("decimal(38,6)").alias("dollars"),
-    )

@@ -28,10 +28,21 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 def parse_json(docs: DataFrame, schema, payload: str = "payload") -> DataFrame:
     """The document as a struct column ``doc``; unreadable text gives a null."""
-    return docs.withColumn("doc", F.from_json(payload, schema))
+    return computed_once(docs, doc=F.from_json(payload, schema))
 
 
 def is_html_page(text: Column) -> Column:
     """An error page that landed in place of data."""
     head = F.lower(F.ltrim(F.left(text, F.lit(64))))
     return head.startswith("<html") | head.startswith("<!doctype html")
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later steps may use often but must not compute again.
+
+    A filter or a projection on such a column would otherwise be merged with its
+    definition, and a costly parse would run once per use. A generator output is
+    never merged, so each value here is computed once per row.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))

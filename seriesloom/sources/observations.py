@@ -114,7 +114,7 @@ def outside_metadata_range(
     """Vintage rows that lie outside their series' declared range."""
     span = metadata.select(*by, "observation_start", "observation_end")
     return vintages.join(span, list(by)).where(
-        ~F.col("obs_date").between("observation_start", "observation_end")
+        ~F.col("obs_date").between(F.col("observation_start"), F.col("observation_end"))
     ).select(*by, "obs_date")
 
 

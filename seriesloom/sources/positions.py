@@ -12,6 +12,7 @@ from seriesloom.functions.scalars import (
     utc_timestamp,
 )
 from seriesloom.operators.clean import fold_duplicates
+from seriesloom.sources.landing import computed_once
 
 # Report fields and the names they get here.
 COUNT_FIELDS = {
@@ -47,12 +48,17 @@ def parse_position_reports(
             F.create_map(*[F.lit(x) for k, v in contracts.items() for x in (k, v[i])]), code
         )
 
-    day = midnight_date("report_date_as_yyyy_mm_dd")
-    typed = raw.select(
-        code.alias("contract"), day.alias("obs_date"),
-        *[nonneg_int(parse_number(src)).alias(n) for n, src in COUNT_FIELDS.items()],
-        *[bounded_pct(parse_number(src)).alias(n) for n, src in PERCENT_FIELDS.items()],
-        plausible_release(utc_timestamp(F.col("`:updated_at`")), day).alias("released_at"),
+    # Parsed first, judged second: no text is converted twice.
+    parsed = computed_once(
+        raw, obs_date=midnight_date("report_date_as_yyyy_mm_dd"),
+        _updated=utc_timestamp(F.col("`:updated_at`")),
+        **{f"_{n}": parse_number(src) for n, src in (COUNT_FIELDS | PERCENT_FIELDS).items()},
+    )
+    typed = parsed.select(
+        code.alias("contract"), "obs_date",
+        *[nonneg_int(f"_{n}").alias(n) for n in COUNT_FIELDS],
+        *[bounded_pct(f"_{n}").alias(n) for n in PERCENT_FIELDS],
+        plausible_release(F.col("_updated"), F.col("obs_date")).alias("released_at"),
         F.col("`:id`").alias("row_id"), F.col("id").alias("report_id"),
         (~F.col("contract_market_name").eqNullSafe(listed(0))).alias("_name"),
         (~F.col("market_and_exchange_names").eqNullSafe(listed(1))).alias("_market"),
