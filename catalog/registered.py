@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from catalog import sources, windows  # noqa: F401
+from catalog import cleaning, sources, windows  # noqa: F401
 from catalog.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
