@@ -407,8 +407,8 @@ def latest_per_entity_asof(
         F.date_add(as_of, max_age_days),
         F.coalesce(F.date_sub(F.lead(as_of).over(w), 1), F.date_add(as_of, max_age_days)),
     )
-    spans = per_day.withColumn(
-        "asof_date", F.explode(F.sequence(F.col(as_of), until, F.expr("interval 1 day")))
+    spans = per_day.withColumn("_until", until).withColumn(
+        "asof_date", F.explode(F.sequence(F.col(as_of), F.col("_until"), F.expr("interval 1 day")))
     )
     dates = records.select(*by, F.col(as_of).alias("asof_date")).distinct()
     return spans.join(dates, [*by, "asof_date"], "left_semi").select(

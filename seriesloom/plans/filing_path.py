@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.aggregates import bucketed_totals
 from seriesloom.operators.clean import canonical_alias_row
 from seriesloom.operators.joins import link_amendments, reuse_known
-from seriesloom.sources.filings import (
-    explode_transactions, filing_summary, parse_ownership_docs,
-)
+from seriesloom.sources.filings import explode_transactions, filing_summary
 
 
 def filings_to_parse(index_rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -21,46 +18,46 @@ def filings_to_parse(index_rows: DataFrame, known: DataFrame) -> DataFrame:
     return reuse_known(folded.where(~F.col("is_conflict")).drop("is_conflict"), known)
 
 
-def ledger_entries(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ledger rows, failures) from documents joined with their index row.
+def ledger_entries(parsed: DataFrame) -> DataFrame:
+    """Ledger rows from parsed documents (``parse_ownership_docs``).
 
-    Totals come from one shuffle of the transactions by filing; everything else
-    is decided inside the filing's own row.
+    The plan flag belongs to the filing, so the FALSE bucket of a filing is
+    either all of its transactions or none of them.
+    """
+    ledger = filing_summary(parsed.where("problem IS NULL").drop("problem")).drop("owners")
+    false = F.col("flag") == "FALSE"
+    return ledger.select(
+        "*",
+        *[
+            F.when(false, F.col(c)).otherwise(0).alias(f"false_{c}")
+            for c in ("buy_count", "sell_count", "eligible_count")
+        ],
+    )
+
+
+def audit_rows(parsed: DataFrame) -> DataFrame:
+    """Failures and reviews of parsed documents: index_date, accession, stage, reason.
+
+    A job that needs both this and the ledger writes ``parsed`` to a table first,
+    so that the documents are read once.
     """
-    parsed = parse_ownership_docs(documents)
     failures = parsed.where("problem IS NOT NULL").select(
         "accession", "index_date", F.lit("SUBMISSION").alias("stage"),
         F.col("problem").alias("reason"),
     )
     good = parsed.where("problem IS NULL").drop("problem")
-    eligible, quarantined = explode_transactions(good)
-    reviews = quarantined.select(
-        "accession", "index_date", F.lit("TRANSACTION_QUARANTINE").alias("stage"),
-        F.col("anomaly").alias("reason"),
+    _, quarantined = explode_transactions(good)
+    return failures.unionByName(
+        quarantined.select(
+            "accession", "index_date", F.lit("TRANSACTION_QUARANTINE").alias("stage"),
+            F.col("anomaly").alias("reason"),
+        )
     ).unionByName(
         good.where(F.size("metadata_anomalies") > 0).select(
             "accession", "index_date", F.lit("METADATA_DATE_ANOMALY").alias("stage"),
             F.array_join("metadata_anomalies", ",").alias("reason"),
         )
     )
-    totals = bucketed_totals(eligible)
-    measures = [
-        "eligible_count", "priced_count", "buy_count", "sell_count", "buy_dollars", "sell_dollars",
-    ]
-    wide = totals.groupBy("accession").agg(
-        *[F.max(F.when(F.col("bucket") == "ALL", F.col(m))).alias(m) for m in measures],
-        *[
-            F.max(F.when(F.col("bucket") == "FALSE", F.col(m))).alias(f"false_{m}")
-            for m in ("eligible_count", "buy_count", "sell_count")
-        ],
-    )
-    head = filing_summary(good).drop("eligible_count", "owners")
-    names = [c for c in wide.columns if c != "accession"]
-    ledger = head.join(wide, "accession", "left").select(
-        *head.columns,
-        *[F.coalesce(c, F.lit(0).cast(wide.schema[c].dataType)).alias(c) for c in names],
-    )
-    return ledger, failures.unionByName(reviews)
 
 
 def resolve_ledger(

@@ -280,31 +280,61 @@ def explode_transactions(filings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typed.where("status = 'ELIGIBLE'").drop("status"), quarantine.drop("status")
 
 
+# Side of each eligible code.
+SIDES = {"buy": "P", "sell": "S"}
+
+
 def filing_summary(filings: DataFrame) -> DataFrame:
     """Per filing: counts of eligible, excluded, unpriced and quarantined rows,
-    the sorted fingerprints and their hash, and the parse status.
+    counts, shares and dollars per side, the sorted fingerprints with their hash,
+    and the parse status.
 
-    All from the transaction array that the filing's own row already holds.
+    All from the transaction array that the filing's own row already holds: no
+    shuffle, and the document is read once.
     """
     rows = _typed(filings)
-    prints = F.array_sort(
-        F.transform(
-            F.filter("_t", lambda t: t["status"] == "ELIGIBLE"), lambda t: t["fingerprint"]
-        )
+    keep = [c for c in rows.columns if c != "_t"]
+    judged = computed_once(
+        rows, _good=F.filter("_t", lambda t: t["status"] == "ELIGIBLE"),
+        _excluded=F.size(F.filter("_t", lambda t: t["status"] == "EXCLUDED")),
+        _quarantined=F.size(F.filter("_t", lambda t: t["status"] == "QUARANTINED")),
     )
 
-    def count(test) -> Column:
-        return F.coalesce(F.size(F.filter("_t", test)), F.lit(0)).cast("bigint")
-
-    prints = F.coalesce(prints, F.array().cast("array<string>"))
-    quarantined = F.exists("_t", lambda t: t["status"] == "QUARANTINED")
-    return rows.select(
-        *[c for c in rows.columns if c != "_t"],
-        count(lambda t: t["status"] == "ELIGIBLE").alias("eligible_count"),
-        count(lambda t: t["status"] == "EXCLUDED").alias("excluded_count"),
-        count(lambda t: (t["status"] == "ELIGIBLE") & t["unpriced"]).alias("missing_price_count"),
-        count(lambda t: t["status"] == "QUARANTINED").alias("quarantined_count"),
-        prints.alias("fingerprints"), array_fingerprint(prints).alias("transactions_hash"),
-        F.when(quarantined, "PARSED_WITH_QUARANTINED_ROWS").otherwise("PARSED")
+    def count(c: Column) -> Column:
+        return F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("bigint")
+
+    totals: list[Column] = []
+    zero = F.lit(0).cast("decimal(38,6)")
+    for name, code in SIDES.items():
+        mine = F.filter("_good", lambda t, code=code: t["code"] == code)
+        totals += [
+            count(F.size(mine)).alias(f"{name}_count"),
+            count(F.size(F.filter(mine, lambda t: ~t["unpriced"]))).alias(f"{name}_priced"),
+            *[
+                F.coalesce(
+                    F.aggregate(
+                        mine, zero,
+                        lambda acc, t, m=measure: F.try_add(acc, F.coalesce(t[m], zero))
+                        .cast("decimal(38,6)"),
+                    ), zero,
+                ).alias(f"{name}_{measure}")
+                for measure in ("shares", "dollars")
+            ],
+        ]
+    prints = F.coalesce(
+        F.array_sort(F.transform("_good", lambda t: t["fingerprint"])),
+        F.array().cast("array<string>"),
+    )
+    out = judged.select(
+        *keep, count(F.size("_good")).alias("eligible_count"),
+        count(F.col("_excluded")).alias("excluded_count"),
+        count(F.size(F.filter("_good", lambda t: t["unpriced"]))).alias("missing_price_count"),
+        count(F.col("_quarantined")).alias("quarantined_count"), *totals,
+        prints.alias("fingerprints"),
+    )
+    return out.select(
+        "*", (F.col("eligible_count") - F.col("missing_price_count")).alias("priced_count"),
+        array_fingerprint(F.col("fingerprints")).alias("transactions_hash"),
+        F.when(F.col("quarantined_count") > 0, "PARSED_WITH_QUARANTINED_ROWS").otherwise("PARSED")
         .alias("parse_status"),
     )
