@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from catalog import aggregating, cleaning, joining, sources, windows  # noqa: F401
+from catalog import aggregating, cleaning, joining, ruling, sources, windows  # noqa: F401
 from catalog.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -615,7 +615,7 @@ def typed_reviewed(spark, sf):
     o = table(spark, sf, "orders")
     day = F.to_date("o_orderdate")
     return o.select(
-        F.col("o_custkey").cast("string").alias("company_id"), F.col("o_orderpriority").alias("metric_id"),
+        F.floor(F.col("o_custkey") / 50).cast("string").alias("company_id"), F.col("o_orderpriority").alias("metric_id"),
         F.when(F.col("o_totalprice") > 400000, "UP").when(F.col("o_totalprice") > 200000, "DOWN")
         .when(F.col("o_totalprice") > 20000, "FLAT").otherwise("UNKNOWN").alias("direction"),
         F.date_sub(day, 30).alias("period_end"), (F.col("o_orderstatus") != "P").alias("comparable"),
@@ -625,7 +625,7 @@ def typed_reviewed(spark, sf):
     )
 
 
-TYPED_SQL = """tr AS (SELECT CAST(o_custkey AS VARCHAR) AS company_id, o_orderpriority AS metric_id,
+TYPED_SQL = """tr AS (SELECT CAST(o_custkey // 50 AS VARCHAR) AS company_id, o_orderpriority AS metric_id,
     CASE WHEN o_totalprice > 400000 THEN 'UP' WHEN o_totalprice > 200000 THEN 'DOWN' WHEN o_totalprice > 20000 THEN 'FLAT'
       ELSE 'UNKNOWN' END AS direction, CAST(o_orderdate AS DATE) - 30 AS period_end, o_orderstatus <> 'P' AS comparable,
     o_orderkey AS ok, CAST(o_orderkey AS VARCHAR) AS accession,

@@ -401,7 +401,7 @@ def latest_per_entity_asof(
     payload = [c for c in records.columns if c not in (*by, entity, as_of)]
     per_day = records.groupBy(*by, entity, as_of).agg(
         F.max_by(F.struct(*payload), F.struct(*tie)).alias("_row")
-    )
+    ).select(*by, entity, as_of, *[F.col(f"_row.`{c}`").alias(c) for c in payload])
     w = Window.partitionBy(*by, entity).orderBy(as_of)
     until = F.least(
         F.date_add(as_of, max_age_days),
@@ -412,8 +412,7 @@ def latest_per_entity_asof(
     )
     dates = records.select(*by, F.col(as_of).alias("asof_date")).distinct()
     return spans.join(dates, [*by, "asof_date"], "left_semi").select(
-        *by, "asof_date", entity, as_of,
-        *[F.col(f"_row.`{c}`").alias(c) for c in payload],
+        *by, "asof_date", entity, as_of, *payload
     )
 
 

@@ -303,24 +303,25 @@ def filing_summary(filings: DataFrame) -> DataFrame:
     def count(c: Column) -> Column:
         return F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("bigint")
 
-    totals: list[Column] = []
     zero = F.lit(0).cast("decimal(38,6)")
-    for name, code in SIDES.items():
-        mine = F.filter("_good", lambda t, code=code: t["code"] == code)
-        totals += [
+
+    def total(rows: Column, measure: str) -> Column:
+        summed = F.aggregate(
+            rows, zero,
+            lambda acc, t: F.try_add(acc, F.coalesce(t[measure], zero)).cast("decimal(38,6)"),
+        )
+        return F.coalesce(summed, zero)
+
+    def side_totals(name: str, code: str) -> list[Column]:
+        mine = F.filter("_good", lambda t: t["code"] == code)
+        return [
             count(F.size(mine)).alias(f"{name}_count"),
             count(F.size(F.filter(mine, lambda t: ~t["unpriced"]))).alias(f"{name}_priced"),
-            *[
-                F.coalesce(
-                    F.aggregate(
-                        mine, zero,
-                        lambda acc, t, m=measure: F.try_add(acc, F.coalesce(t[m], zero))
-                        .cast("decimal(38,6)"),
-                    ), zero,
-                ).alias(f"{name}_{measure}")
-                for measure in ("shares", "dollars")
-            ],
+            total(mine, "shares").alias(f"{name}_shares"),
+            total(mine, "dollars").alias(f"{name}_dollars"),
         ]
+
+    totals = [c for name, code in SIDES.items() for c in side_totals(name, code)]
     prints = F.coalesce(
         F.array_sort(F.transform("_good", lambda t: t["fingerprint"])),
         F.array().cast("array<string>"),
