@@ -1,6 +1,8 @@
 """Imports every query module, which fills the registry."""
 
-from catalog import aggregating, cleaning, joining, ruling, sources, windows  # noqa: F401
+from catalog import (  # noqa: F401
+    aggregating, checking, cleaning, joining, ruling, sources, streaming, windows,
+)
 from catalog.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -446,7 +446,7 @@ RATIO_SQL = f"""{QUARTER_CTE}, den AS (SELECT CAST(year(l_shipdate) * 4 + quarte
     qo.obs_date AS nd, den.d AS dd FROM qo JOIN den ON qo.ordinal = den.ordinal)"""
 
 
-def _ratios(spark, sf):
+def _ratios(spark, sf, scale=1000.0):
     top = quarter_obs(spark, sf).withColumnRenamed("series_id", "pair")
     li = table(spark, sf, "lineitem")
     bottom = li.groupBy(quarter_ordinal("l_shipdate").alias("ordinal")).agg(
@@ -455,7 +455,7 @@ def _ratios(spark, sf):
     )
     # One denominator series serves every pair: the pair is looked up by quarter.
     spread = bottom.join(top.select("pair", "ordinal"), "ordinal")
-    return growth.quarter_ratio(top, spread)
+    return growth.quarter_ratio(top, spread, numerator_scale=scale)
 
 
 @query("quarter_ratio", f"""WITH {RATIO_SQL} SELECT pair, ordinal,

@@ -29,6 +29,7 @@ def read_event_stream(
 def stream_upsert(
     stream: DataFrame, table: str, checkpoint: str, *,
     key: Sequence[str] = ("series_id", "obs_date"), value: str = "value",
+    output_mode: str = "append",
 ) -> StreamingQuery:
     """Override by key: a later batch wins, a conflict inside a batch fails it.
 
@@ -41,8 +42,8 @@ def stream_upsert(
         clean_rows(folded).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).outputMode(output_mode)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
