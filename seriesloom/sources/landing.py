@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per file: file, payload. For documents that must be read whole."""
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
+    return reader.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload")
     )
 
