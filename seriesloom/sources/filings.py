@@ -124,26 +124,26 @@ def parse_ownership_docs(
     document unusable; odd optional dates only add an anomaly code.
     """
     text = F.col(payload)
+    # Text between XML tags sits at the odd places of a split at those tags.
+    parts = F.split(text, r"(?i)</?XML>")
     bodies = F.filter(
-        F.regexp_extract_all(text, F.lit(r"(?is)<XML>(.*?)</XML>"), F.lit(1)),
-        lambda x: x.rlike(r"(?i)<\s*(\w+:)?ownershipDocument(\s|>)"),
+        parts,
+        lambda x, i: (i % 2 == 1) & x.rlike(r"(?i)<\s*(\w+:)?ownershipDocument(\s|>)"),
     )
     wrapped = computed_once(
         documents, _bodies=bodies, _stamp=_tag(text, "ACCEPTANCE-DATETIME"),
         _accession=_tag(text, "ACCESSION NUMBER"),
     )
-    xml = F.when(F.size("_bodies") == 1, F.trim(F.col("_bodies")[0]))
-    # The declaration and namespace prefixes carry no data.
-    plain = F.regexp_replace(
-        F.regexp_replace(xml, r"^\s*<\?xml[^>]*\?>", ""), r"<(/?)\w+:(\w)", "<$1$2"
-    )
+    xml = F.when(F.size("_bodies") == 1, F.trim(F.col("_bodies")[0], F.lit(" \t\r\n")))
     stamp = F.when(F.col("_stamp").rlike(r"^\d{14}$"), F.col("_stamp"))
     parsed = computed_once(
         wrapped,
-        x=F.from_xml(plain, schemas.OWNERSHIP_XML, {"mode": "PERMISSIVE"}),
+        x=F.from_xml(
+            xml, schemas.OWNERSHIP_XML, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
+        ),
         submission_sha256=F.sha2(text, 256), document_sha256=F.sha2(xml, 256),
         accepted_at=local_to_utc(F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss"))),
-        _declares=F.upper(xml).rlike("<!(DOCTYPE|ENTITY)"),
+        _declares=xml.rlike("(?i)<!(DOCTYPE|ENTITY)"),
     )
     period, period_code = optional_date(F.nullif(F.trim("x.periodOfReport"), F.lit("")),
                                         "PERIOD_OF_REPORT_INVALID")
@@ -165,7 +165,7 @@ def parse_ownership_docs(
     flag = tri_state("x.aff10b5One")
     problem = (
         F.when(is_html_page(text) | (F.trim(text) == ""), "EMPTY_OR_HTML")
-        .when(~F.upper(F.left(text, F.lit(4096))).contains("<SEC-DOCUMENT"), "WRAPPER")
+        .when(~F.left(text, F.lit(4096)).rlike("(?i)<SEC-DOCUMENT"), "WRAPPER")
         .when(
             F.col("_accession").isNotNull() & (F.col("_accession") != F.col(accession)),
             "ACCESSION_MISMATCH",

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom import schemas
 from seriesloom.functions.scalars import (
@@ -25,7 +26,8 @@ MAX_LENGTHS = {"reviewer": 80, "paraphrase": 280, "review_note": 500}
 def read_reviewed_csv(spark: SparkSession, path: str) -> DataFrame:
     """The 17 text columns; the header must match exactly, and ragged or blank
     rows come back in ``_corrupt_record``."""
-    schema = schemas.REVIEWED_CSV.add("_corrupt_record", "string")
+    corrupt = T.StructField("_corrupt_record", T.StringType(), True)
+    schema = T.StructType([*schemas.REVIEWED_CSV.fields, corrupt])
     return spark.read.csv(
         path, schema=schema, header=True, enforceSchema=False, mode="PERMISSIVE",
         columnNameOfCorruptRecord="_corrupt_record", nullValue="\u0000", emptyValue="",
