@@ -65,6 +65,27 @@ def category_breakdown(spark, sf):
     )
 
 
+@query("daily_totals_with_breakdown", """WITH li AS (SELECT CAST(l_shipdate AS DATE) AS d, l_orderkey, l_linestatus = 'F' AS ex, l_returnflag AS c, CAST(l_extendedprice AS DECIMAL(28,6)) AS acc,
+    CAST(l_quantity AS DECIMAL(28,6)) AS sub, l_tax FROM lineitem), o AS (SELECT d, l_orderkey, bool_or(ex) AS ex FROM li GROUP BY 1, 2),
+  p AS (SELECT d, count(*) AS n, bool_or(ex) AS h, bool_and(ex) AS e FROM o GROUP BY 1)
+  SELECT CAST(li.d AS VARCHAR) AS op_date, CAST(SUM(sub) AS DOUBLE) AS submitted, CAST(SUM(acc) AS DOUBLE) AS accepted, MAX(l_tax) AS max_rate, MAX(n) AS operation_count,
+  bool_or(h) AS has_exercise, bool_or(e) AS exercise_only, CAST(SUM(acc) FILTER (WHERE c = 'A') AS DOUBLE) AS a_accepted, MAX(l_tax) FILTER (WHERE c = 'N') AS n_rate
+  FROM li JOIN p ON li.d = p.d GROUP BY 1""")
+def daily_totals_with_breakdown(spark, sf):
+    li = table(spark, sf, "lineitem").select(
+        F.to_date("l_shipdate").alias("op_date"), F.col("l_orderkey").alias("op_id"), "l_linestatus",
+        F.col("l_returnflag").alias("category"), F.col("l_extendedprice").alias("accepted"),
+        F.col("l_quantity").alias("submitted"), F.col("l_tax").alias("rate"),
+        F.col("l_shipdate").alias("released_at"),
+    )
+    out = agg.daily_totals_with_breakdown(li, exercise=F.col("l_linestatus") == "F")
+    return out.select(
+        "op_date", "submitted", "accepted", "max_rate", "operation_count", "has_exercise", "exercise_only",
+        F.try_element_at("breakdown", F.lit("A"))["accepted"].alias("a_accepted"),
+        F.try_element_at("breakdown", F.lit("N"))["rate"].alias("n_rate"),
+    )
+
+
 @query("header_detail_check", """WITH h AS (SELECT l_orderkey, SUM(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY 1)
   SELECT l_orderkey AS op_id FROM h JOIN orders ON l_orderkey = o_orderkey WHERE abs(s - (CASE WHEN o_orderstatus = 'P' THEN -1 ELSE s END)) > 0.000001""")
 def header_detail_check(spark, sf):
@@ -119,14 +140,14 @@ def bucket_totals(spark, sf):
     return agg.bucketed_totals(line_transactions(spark, sf), buy="A", sell="R")
 
 
-ENTRY_SQL = """en AS (SELECT l_returnflag IN ('A', 'R') AS elig, 'all' AS g, CAST(l_shipdate AS DATE) AS d, l_suppkey AS issuer, l_returnflag AS code,
+ENTRY_SQL = """en AS (SELECT l_returnflag IN ('A', 'R') AS elig, CAST(l_linenumber AS VARCHAR) AS g, CAST(l_shipdate AS DATE) AS d, l_suppkey AS issuer, l_returnflag AS code,
     l_linestatus AS st, l_tax, CASE WHEN l_tax > 0 THEN CAST(l_extendedprice AS DECIMAL(38,6)) END AS dollars FROM lineitem),
-  dy AS (SELECT d, row_number() OVER (ORDER BY d DESC) AS rn FROM (SELECT DISTINCT d FROM en)),
-  wn AS (SELECT d, w FROM dy, (VALUES (5), (20)) v(w) WHERE rn <= w),
-  sm AS (SELECT w, count(*) AS filings, count(DISTINCT issuer) AS issuers, count(*) FILTER (WHERE code = 'A') AS b, count(*) FILTER (WHERE code = 'R') AS s,
+  dy AS (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY d DESC) AS rn FROM (SELECT DISTINCT g, d FROM en)),
+  wn AS (SELECT g, d, w FROM dy, (VALUES (5), (20)) v(w) WHERE rn <= w),
+  sm AS (SELECT en.g, w, count(*) AS filings, count(DISTINCT issuer) AS issuers, count(*) FILTER (WHERE code = 'A') AS b, count(*) FILTER (WHERE code = 'R') AS s,
     count(*) FILTER (WHERE elig) AS el, count(dollars) FILTER (WHERE elig) AS pr, SUM(dollars) FILTER (WHERE code = 'A') AS bd, SUM(dollars) FILTER (WHERE code = 'R') AS sd,
     count(*) FILTER (WHERE elig AND st = 'F') AS fe, count(*) FILTER (WHERE code = 'A' AND st = 'F') AS fb, count(*) FILTER (WHERE code = 'R' AND st = 'F') AS fs,
-    MIN(en.d) AS d0, MAX(en.d) AS d1, count(DISTINCT en.d) AS nd FROM en JOIN wn ON en.d = wn.d GROUP BY 1)"""
+    MIN(en.d) AS d0, MAX(en.d) AS d1, count(DISTINCT en.d) AS nd FROM en JOIN wn ON en.d = wn.d AND en.g = wn.g GROUP BY 1, 2)"""
 
 
 def line_entries(spark, sf):
@@ -138,7 +159,7 @@ def line_entries(spark, sf):
     zero = F.lit(0).cast("decimal(28,6)")
     one = lambda c: F.when(c, 1).otherwise(0)
     return li.select(
-        F.lit("all").alias("group_id"), F.to_date("l_shipdate").alias("index_date"),
+        F.col("l_linenumber").cast("string").alias("group_id"), F.to_date("l_shipdate").alias("index_date"),
         F.col("l_suppkey").alias("issuer"), F.lit(False).alias("is_amendment"),
         F.when(false, "FALSE").otherwise("TRUE").alias("flag"),
         F.lit("ORIGINAL_EFFECTIVE").alias("amendment_status"), F.lit("PARSED").alias("parse_status"),
@@ -152,10 +173,10 @@ def line_entries(spark, sf):
     )
 
 
-WINDOW_SQL = f"""{ENTRY_SQL}, o AS (SELECT 'all' AS group_id, CAST(w AS BIGINT) AS window_days, nd AS completed_day_count, CAST(d0 AS VARCHAR) AS window_start, CAST(d1 AS VARCHAR) AS window_end,
-    round(CAST(b + 1 AS DOUBLE) / (s + 1), 6) AS count_ratio, CASE WHEN pr / el >= 0.8 AND sd <> 0 THEN round(CAST(bd AS DOUBLE) / CAST(sd AS DOUBLE), 6) END AS dollar_ratio,
-    round(pr / el, 6) AS dollar_coverage, CASE WHEN pr / el < 0.8 THEN 'INSUFFICIENT_PRICE_COVERAGE' WHEN sd = 0 THEN 'NO_SALES_DOLLAR_DENOMINATOR' ELSE 'PUBLISHED' END AS dollar_status,
-    CASE WHEN fe > 0 THEN round((fb + 1) / (fs + 1), 6) END AS false_count_ratio, round(fe / el, 6) AS false_coverage, b AS buy_count, s AS sell_count, pr AS priced_count, el AS eligible_count,
+WINDOW_SQL = f"""{ENTRY_SQL}, o AS (SELECT g AS group_id, CAST(w AS BIGINT) AS window_days, nd AS completed_day_count, CAST(d0 AS VARCHAR) AS window_start, CAST(d1 AS VARCHAR) AS window_end,
+    CASE WHEN el > 0 THEN round(CAST(b + 1 AS DOUBLE) / (s + 1), 6) END AS count_ratio, CASE WHEN el > 0 AND pr / el >= 0.8 AND sd <> 0 THEN round(CAST(bd AS DOUBLE) / CAST(sd AS DOUBLE), 6) END AS dollar_ratio,
+    round(pr / nullif(el, 0), 6) AS dollar_coverage, CASE WHEN el = 0 THEN 'NO_ELIGIBLE_ROWS' WHEN pr / el < 0.8 THEN 'INSUFFICIENT_PRICE_COVERAGE' WHEN coalesce(sd, 0) = 0 THEN 'NO_SALES_DOLLAR_DENOMINATOR' ELSE 'PUBLISHED' END AS dollar_status,
+    CASE WHEN fe > 0 THEN round((fb + 1) / (fs + 1), 6) END AS false_count_ratio, round(fe / nullif(el, 0), 6) AS false_coverage, b AS buy_count, s AS sell_count, pr AS priced_count, el AS eligible_count,
     issuers AS unique_issuers, filings AS filings_processed FROM sm)"""
 
 

@@ -151,7 +151,8 @@ def interpretation_check(spark, sf):
     return checks.recompute_interpretation(published, good)
 
 
-@query("ledger_check", """SELECT 'LEDGER' AS check_id, 'all/5' AS key, 'DIFFERENT' AS detail UNION ALL SELECT 'LEDGER_FUTURE', 'all/' || w, '' FROM (VALUES ('5'), ('20')) t(w)""")
+@query("ledger_check", """WITH g AS (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) AS g FROM lineitem)
+  SELECT 'LEDGER' AS check_id, g || '/5' AS key, 'DIFFERENT' AS detail FROM g UNION ALL SELECT 'LEDGER_FUTURE', g || '/' || w, '' FROM g, (VALUES ('5'), ('20')) t(w)""")
 def ledger_check(spark, sf):
     entries = line_entries(spark, sf)
     summary = aggregates.window_summary(entries, entries.select("group_id", "index_date"), by=["group_id"])
@@ -194,11 +195,13 @@ def source_consistency_check(spark, sf):
     return checks.check_source_consistency(published, rollup)
 
 
-@query("switch_rules_check", """SELECT 'SWITCH_RULES' AS check_id, 'liquidity' AS key, unnest(['AVAILABLE_BLOCKS', 'TOTAL_BLOCKS', 'EVIDENCE_ONLY_ASSESSMENT']) AS detail FROM (SELECT count(*) AS n FROM orders) WHERE n > 0""")
+@query("switch_rules_check", """SELECT 'SWITCH_RULES' AS check_id, 'switch-' || o_orderstatus AS key, unnest(['AVAILABLE_BLOCKS', 'BLOCK_IDS', 'EVIDENCE_ONLY_ASSESSMENT', 'TOTAL_BLOCKS']) AS detail FROM (SELECT DISTINCT o_orderstatus FROM orders)""")
 def switch_rules_check(spark, sf):
-    """One switch row against the blocks of every order."""
-    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity"))
-    blocks = evidence.default_blocks(ids, "liquidity", keep=["entity"])
+    """A switch per order state, with the blocks of all its orders."""
+    ids = table(spark, sf, "orders").select(F.concat(F.lit("switch-"), "o_orderstatus").alias("state"))
+    blocks = evidence.default_blocks(ids, "liquidity", keep=["state"]).withColumn(
+        "switch_id", F.col("state")
+    )
     switches = blocks.groupBy("switch_id").agg(F.count(F.lit(1)).alias("_n")).select(
         "switch_id", F.lit("EVIDENCE_ONLY").alias("mode"), F.lit("WATCH").alias("assessment"),
         F.lit(1).cast("bigint").alias("available_blocks"), (F.col("_n") - 1).alias("total_blocks"),

@@ -377,3 +377,10 @@ def calendar_flags_by_day(spark, sf):
     return order_obs(spark, sf).select(
         "series_id", "obs_date", windows.calendar_end_flags(F.col("obs_date")).alias("flags")
     )
+
+
+@query("formatted_numbers", """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN '+' ELSE '' END || format('{:,.2f}', c_acctbal) || ' USD' AS label FROM customer""")
+def formatted_numbers(spark, sf):
+    return table(spark, sf, "customer").select(
+        "c_custkey", scalars.signed_number("c_acctbal", 2, "USD").alias("label")
+    )

@@ -272,31 +272,37 @@ def last_good_state(spark, sf):
 
 # --- descriptive reads -----------------------------------------------------
 
-ZONES = [("z", 0, "DORMANT", None, 20.0), ("z", 1, "ORDINARY", 20.0, 60.0), ("z", 2, "ELEVATED", 60.0, None)]
+# One ladder per event type, here with the same zones.
+TYPES = ("click", "error", "purchase", "signup", "view")
+ZONES = [(0, "DORMANT", None, 20.0), (1, "ORDINARY", 20.0, 60.0), (2, "ELEVATED", 60.0, None)]
+
+
+def _levels(spark, sf):
+    return windows.latest_per_series(user_obs(spark, sf)).withColumn(
+        "ladder_id", F.split("series_id", "/")[0]
+    )
 
 
 @query("regime_ladder", f"""WITH {USERS_CTE}, l AS (SELECT series_id, arg_max(value, obs_date) AS value FROM us GROUP BY 1),
   z AS (SELECT * FROM (VALUES (0, 'DORMANT', NULL::DOUBLE, 20.0::DOUBLE), (1, 'ORDINARY', 20.0, 60.0), (2, 'ELEVATED', 60.0, NULL)) t(zone_no, label, lower, upper))
   SELECT series_id, value, CAST(zone_no AS BIGINT) AS zone_no, label, (lower IS NULL OR value >= lower) AND (upper IS NULL OR value < upper) AS active FROM l, z""")
 def regime_ladder(spark, sf):
-    levels = windows.latest_per_series(user_obs(spark, sf)).withColumn("ladder_id", F.lit("z"))
     zones = spark.createDataFrame(
-        [(*z, "NORMAL", "SOURCE_RULE") for z in ZONES],
+        [(t, *z, "NORMAL", "SOURCE_RULE") for t in TYPES for z in ZONES],
         "ladder_id string, zone_no int, label string, lower double, upper double, severity string, basis string",
     )
-    return ip.regime_ladder(levels, zones).select("series_id", "value", "zone_no", "label", "active")
+    return ip.regime_ladder(_levels(spark, sf), zones).select("series_id", "value", "zone_no", "label", "active")
 
 
 @query("next_boundary", f"""WITH {USERS_CTE}, l AS (SELECT series_id, arg_max(value, obs_date) AS value FROM us GROUP BY 1)
   SELECT series_id, value, CASE WHEN value < 20 THEN 'ORDINARY' WHEN value < 60 THEN 'ELEVATED' END AS label, CASE WHEN value < 20 THEN 20.0::DOUBLE ELSE 60.0 END AS threshold,
   round(CASE WHEN value < 20 THEN 20 - value ELSE 60 - value END, 6) AS distance FROM l WHERE value < 60""")
 def next_boundary(spark, sf):
-    levels = windows.latest_per_series(user_obs(spark, sf)).withColumn("ladder_id", F.lit("z"))
     lines = spark.createDataFrame(
-        [("z", "ORDINARY", 20.0, "above"), ("z", "ELEVATED", 60.0, "above")],
+        [(t, *line) for t in TYPES for line in (("ORDINARY", 20.0, "above"), ("ELEVATED", 60.0, "above"))],
         "ladder_id string, label string, threshold double, side string",
     )
-    return ip.next_boundary(levels, lines).select("series_id", "value", "label", "threshold", "distance")
+    return ip.next_boundary(_levels(spark, sf), lines).select("series_id", "value", "label", "threshold", "distance")
 
 
 @query("confirmation_states", f"""WITH {ORDERS_CTE}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY obs_date DESC) AS rn FROM ob),

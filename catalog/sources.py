@@ -292,10 +292,9 @@ def read_position_reports(spark, sf):
     )
 
 
-@query("latest_report_date_check", """SELECT contract, CAST(end_date AS VARCHAR) AS end_date FROM
-  (SELECT o_orderpriority AS contract, MAX(CAST(o_orderdate AS DATE)) AS end_date FROM orders
-    WHERE NOT (o_orderpriority = '5-LOW' AND o_orderdate > TIMESTAMP '2001-01-01') GROUP BY 1)
-  WHERE end_date < (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders)
+@query("latest_report_date_check", """WITH r AS (SELECT o_orderpriority AS contract, CAST(o_orderdate AS DATE) AS d FROM orders
+    WHERE NOT (o_orderpriority = '5-LOW' AND o_orderdate > TIMESTAMP '2001-01-01'))
+  SELECT contract, CAST(MAX(d) AS VARCHAR) AS end_date FROM r GROUP BY 1 HAVING MAX(d) < (SELECT MAX(d) FROM r)
   UNION ALL SELECT '9-NONE', NULL""")
 def latest_report_date_check(spark, sf):
     rows = table(spark, sf, "orders").select(
@@ -431,7 +430,7 @@ FILED_SQL = f"""fd AS (SELECT *, {ACC_SQL} AS accession, {FORM_SQL} AS form, CAS
     FROM orders WHERE o_orderstatus <> 'P')"""
 
 
-@query("parse_ownership_docs", f"""WITH {FILED_SQL} SELECT accession, form, NULL AS problem,
+@query("parse_ownership_docs", f"""WITH {FILED_SQL} SELECT accession, form, CAST(NULL AS VARCHAR) AS problem,
   strftime(timezone('UTC', timezone('America/New_York', CAST(d AS TIMESTAMP) + INTERVAL '21 hours 55 minutes 1 second')), '%Y-%m-%d %H:%M:%S') AS accepted_at,
   CAST(o_custkey + 1 AS VARCHAR) AS issuer, '12,7' AS owners, sha256('12' || chr(10) || '7') AS owner_hash,
   CASE WHEN o_orderpriority <> '3-MEDIUM' THEN CAST(d AS VARCHAR) END AS period,

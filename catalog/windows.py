@@ -527,35 +527,37 @@ def growth_acceleration(spark, sf):
     return growth.growth_acceleration(quarter_obs(spark, sf).drop("ordinal"))
 
 
-AGGREGATE_SQL = """ent AS (SELECT o_orderpriority AS series_id,
+AGGREGATE_SQL = """ent AS (SELECT o_orderstatus AS g, o_orderpriority AS series_id,
     last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS obs_date,
-    CAST(SUM(CAST(o_totalprice AS DECIMAL(28,2))) AS DOUBLE) AS value FROM orders GROUP BY 1, 2),
-  cd AS (SELECT obs_date FROM ent GROUP BY 1 HAVING count(DISTINCT series_id) = (SELECT count(DISTINCT series_id) FROM ent)),
-  al AS (SELECT ent.*, round(value, 6) AS stored FROM ent WHERE obs_date IN (SELECT obs_date FROM cd)),
+    CAST(SUM(CAST(o_totalprice AS DECIMAL(28,2))) AS DOUBLE) AS value FROM orders GROUP BY 1, 2, 3),
+  en AS (SELECT g, count(DISTINCT series_id) AS n FROM ent GROUP BY 1),
+  cd AS (SELECT ent.g, obs_date FROM ent JOIN en ON ent.g = en.g GROUP BY 1, 2, en.n HAVING count(DISTINCT series_id) = en.n),
+  al AS (SELECT ent.*, round(value, 6) AS stored FROM ent JOIN cd ON ent.g = cd.g AND ent.obs_date = cd.obs_date),
   e1 AS (SELECT *, (value / nullif(lag(stored, 4) OVER w, 0) - 1) * 100 AS y FROM al
-    WINDOW w AS (PARTITION BY series_id ORDER BY obs_date)),
-  e2 AS (SELECT *, round(y - lag(round(y, 6)) OVER (PARTITION BY series_id ORDER BY obs_date), 6) AS acc FROM e1),
-  tot AS (SELECT obs_date, CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) AS total, count(*) AS n,
+    WINDOW w AS (PARTITION BY g, series_id ORDER BY obs_date)),
+  e2 AS (SELECT *, round(y - lag(round(y, 6)) OVER (PARTITION BY g, series_id ORDER BY obs_date), 6) AS acc FROM e1),
+  tot AS (SELECT g, obs_date, CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) AS total, count(*) AS n,
     count(acc) AS known, count(*) FILTER (WHERE acc > 0) AS up, count(*) FILTER (WHERE acc < 0) AS down,
-    count(*) FILTER (WHERE acc = 0) AS flat FROM e2 GROUP BY 1),
+    count(*) FILTER (WHERE acc = 0) AS flat FROM e2 GROUP BY 1, 2),
   t1 AS (SELECT *, (total / nullif(lag(round(total, 6), 1) OVER w, 0) - 1) * 100 AS q,
-    (total / nullif(lag(round(total, 6), 4) OVER w, 0) - 1) * 100 AS y FROM tot WINDOW w AS (ORDER BY obs_date)),
+    (total / nullif(lag(round(total, 6), 4) OVER w, 0) - 1) * 100 AS y FROM tot WINDOW w AS (PARTITION BY g ORDER BY obs_date)),
   t2 AS (SELECT *, round(q - lag(round(q, 6)) OVER w, 6) AS qa, round(y - lag(round(y, 6)) OVER w, 6) AS ya
-    FROM t1 WINDOW w AS (ORDER BY obs_date)),
+    FROM t1 WINDOW w AS (PARTITION BY g ORDER BY obs_date)),
   t3 AS (SELECT *, CASE WHEN ya IS NULL THEN 'UNKNOWN' WHEN ya > 0 THEN 'ACCELERATING' WHEN ya < 0 THEN
     'DECELERATING' ELSE 'FLAT' END AS direction,
     CASE WHEN ya > 0 THEN up WHEN ya < 0 THEN down WHEN ya = 0 THEN flat ELSE 0 END AS breadth FROM t2)"""
 
 
 def _aggregate(spark, sf):
+    """Groups are order states, entities are priorities."""
     rows = table(spark, sf, "orders").groupBy(
-        F.lit("all").alias("group_id"), F.col("o_orderpriority").alias("entity"),
+        F.col("o_orderstatus").alias("group_id"), F.col("o_orderpriority").alias("entity"),
         F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate").cast("date"), 2)).alias("obs_date"),
     ).agg(F.sum(F.col("o_totalprice").cast("decimal(28,2)")).cast("double").alias("value"))
     return growth.sum_then_growth(rows)
 
 
-@query("sum_then_growth", f"""WITH {AGGREGATE_SQL} SELECT 'all' AS group_id, CAST(obs_date AS VARCHAR) AS obs_date,
+@query("sum_then_growth", f"""WITH {AGGREGATE_SQL} SELECT g AS group_id, CAST(obs_date AS VARCHAR) AS obs_date,
   total, n AS entity_total, round(q, 6) AS qoq_pct, round(y, 6) AS yoy_pct, qa AS qoq_acceleration_pp,
   ya AS yoy_acceleration_pp, direction, breadth,
   CASE WHEN direction <> 'UNKNOWN' THEN round(breadth / nullif(known, 0), 6) END AS breadth_ratio FROM t3""")
@@ -563,12 +565,12 @@ def sum_then_growth(spark, sf):
     return _aggregate(spark, sf)[0]
 
 
-@query("growth_package", f"""WITH {AGGREGATE_SQL}, l AS (SELECT obs_date, 'total' AS metric, total AS value FROM t3
-    UNION ALL SELECT obs_date, 'yoy_acceleration_pp', ya FROM t3),
-  w AS (SELECT *, round(value - lag(value) OVER (PARTITION BY metric ORDER BY obs_date), 6) AS ch,
-    row_number() OVER (PARTITION BY metric ORDER BY obs_date DESC) AS rn,
-    count(*) OVER (PARTITION BY metric) AS n FROM l)
-  SELECT 'all' AS group_id, CAST(obs_date AS VARCHAR) AS obs_date, metric, value, ch AS change_1_quarter,
+@query("growth_package", f"""WITH {AGGREGATE_SQL}, l AS (SELECT g, obs_date, 'total' AS metric, total AS value FROM t3
+    UNION ALL SELECT g, obs_date, 'yoy_acceleration_pp', ya FROM t3),
+  w AS (SELECT *, round(value - lag(value) OVER (PARTITION BY g, metric ORDER BY obs_date), 6) AS ch,
+    row_number() OVER (PARTITION BY g, metric ORDER BY obs_date DESC) AS rn,
+    count(*) OVER (PARTITION BY g, metric) AS n FROM l)
+  SELECT g AS group_id, CAST(obs_date AS VARCHAR) AS obs_date, metric, value, ch AS change_1_quarter,
   n AS quarter_count FROM w WHERE rn = 1""")
 def growth_package(spark, sf):
     return growth.growth_package(_aggregate(spark, sf)[0])

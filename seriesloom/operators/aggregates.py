@@ -102,6 +102,40 @@ def category_breakdown(
     return ops.groupBy(*by).agg(F.create_map(*entries).alias("breakdown"))
 
 
+def daily_totals_with_breakdown(
+    details: DataFrame, *, exercise: Column, by: Sequence[str] = ("op_date",),
+    op_id: str = "op_id", category: str = "category", submitted: str = "submitted",
+    accepted: str = "accepted", rate: str = "rate", released: str = "released_at",
+) -> DataFrame:
+    """Per day: totals, the greatest rate, operation counts, exercise flags and a
+    map category → (submitted, accepted, greatest rate).
+
+    The day's map is built from one row per category, a fixed vocabulary.
+    """
+    per_category = details.groupBy(*by, category).agg(
+        exact_sum(submitted).alias("_sub"), exact_sum(accepted).alias("_acc"),
+        F.max(rate).alias("_rate"), F.max(released).alias("_rel"),
+    )
+    entry = F.struct(
+        F.col(category).alias("key"),
+        F.struct(
+            F.col("_sub").cast("double").alias("submitted"),
+            F.col("_acc").cast("double").alias("accepted"), F.col("_rate").alias("rate"),
+        ).alias("value"),
+    )
+    totals = per_category.groupBy(*by).agg(
+        F.sum("_sub").cast("double").alias("submitted"),
+        F.sum("_acc").cast("double").alias("accepted"), F.max("_rate").alias("max_rate"),
+        F.max("_rel").alias("released_at"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("breakdown"),
+    )
+    ops = details.groupBy(*by, op_id).agg(F.max(exercise).alias("_ex")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("operation_count"),
+        F.bool_or("_ex").alias("has_exercise"), F.bool_and("_ex").alias("exercise_only"),
+    )
+    return totals.join(ops, list(by))
+
+
 def header_detail_check(
     details: DataFrame, *, by: Sequence[str] = ("op_date", "op_id"),
     header: Mapping[str, str], tolerance: float = 1e-6,

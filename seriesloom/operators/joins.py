@@ -240,15 +240,20 @@ def link_amendments(
         F.count(F.lit(1)).alias("_n"), F.min(key).alias("_original")
     ).where("_n = 1").drop("_n")
     linkable = amendments.where(usable).join(candidates, link_key, "left")
-    blocked = amendments.where(~usable).withColumn("_original", F.lit(None).cast("string"))
-    linked = linkable.select(*blocked.columns).unionByName(blocked)
-    winners = linked.where("_original IS NOT NULL").groupBy("_original").agg(
+    linked = linkable.where("_original IS NOT NULL")
+    winners = linked.groupBy("_original").agg(
         F.max(F.struct(accepted, key)).alias("_win")
     ).select("_original", F.col(f"_win.{key}").alias("_winner"))
-    amended = linked.join(winners, "_original", "left").select(
+    # Rows without a link have no key to join on and would meet in one task.
+    review = linkable.where("_original IS NULL").select(*filings.columns).unionByName(
+        amendments.where(~usable).select(*filings.columns)
+    ).select(
+        "*", F.lit("UNLINKED_REVIEW").alias("amendment_status"),
+        F.lit(None).cast(filings.schema[key].dataType).alias("linked_original"),
+    )
+    amended = linked.join(winners, "_original").select(
         *filings.columns,
-        F.when(F.col("_original").isNull(), "UNLINKED_REVIEW")
-        .when(F.col("_winner") == F.col(key), "AMENDMENT_EFFECTIVE")
+        F.when(F.col("_winner") == F.col(key), "AMENDMENT_EFFECTIVE")
         .otherwise("AMENDMENT_SUPERSEDED").alias("amendment_status"),
         F.col("_original").alias("linked_original"),
     )
@@ -257,9 +262,9 @@ def link_amendments(
         *filings.columns,
         F.when(F.col("_hit"), "ORIGINAL_SUPERSEDED").otherwise("ORIGINAL_EFFECTIVE")
         .alias("amendment_status"),
-        F.lit(None).cast("string").alias("linked_original"),
+        F.lit(None).cast(filings.schema[key].dataType).alias("linked_original"),
     )
-    return base.unionByName(amended)
+    return base.unionByName(amended).unionByName(review)
 
 
 # --- calendar joins --------------------------------------------------------
