@@ -317,15 +317,16 @@ def population_z(
 ) -> DataFrame:
     """(x − mean) / population deviation over exactly n rows.
 
-    Short history and equal values give null. Equal values are found by min and
-    max: a rounding residue in the deviation must not pass for variance.
+    Short history and equal values give null. The deviation is updated row by
+    row inside a frame, so equal values give an exact zero, not a residue. The
+    sample size is a position, not one more aggregate over each frame.
     """
-    near = trailing(n, by, date)
-    flat = F.min(value).over(near) == F.max(value).over(near)
+    near, w = trailing(n, by, date), ordered(by, date)
     z = ratio(F.col(value) - F.avg(value).over(near), F.stddev_pop(value).over(near))
-    used = F.count(value).over(near)
-    return valid_only(obs, value).select(
-        "*", F.round(F.when((used == n) & ~flat, z), dp).alias("z_score"),
+    rows = valid_only(obs, value).select("*", z.alias("_z"), F.row_number().over(w).alias("_rn"))
+    used = F.least(F.col("_rn"), F.lit(n)).cast("bigint")
+    return rows.select(
+        *obs.columns, F.round(F.when(used == n, F.col("_z")), dp).alias("z_score"),
         used.alias("z_sample_size"),
     )
 
