@@ -8,6 +8,7 @@ from catalog.common import EVENTS_CTE, ORDERS_CTE, USERS_CTE, event_obs, order_o
 from seriesloom.functions import scalars
 from seriesloom.functions.hashing import array_fingerprint, group_fingerprint
 from seriesloom.operators import clean, windows
+from seriesloom.sources.landing import spread
 
 
 @query("dedupe_conflicts", """WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS copies,
@@ -347,7 +348,7 @@ def id_set_mismatch(spark, sf):
 def set_fingerprint(spark, sf):
     """Fingerprint over the distinct words of each document, in its own row."""
     words = F.array_distinct(F.transform(F.split("text", " "), lambda w: F.sha2(w, 256)))
-    return table(spark, sf, "documents").select("doc_id", array_fingerprint(words).alias("fingerprint"))
+    return spread(table(spark, sf, "documents")).select("doc_id", array_fingerprint(words).alias("fingerprint"))
 
 
 GROUP_LIMBS = " || ':' || ".join(

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from catalog.common import ORDERS_CTE, order_obs, query, table
+from seriesloom.sources.landing import spread
 from seriesloom.sources import (
     balances, facts, filings, observations, operations, positions, reviewed, sinks, state,
 )
@@ -328,7 +329,7 @@ def _form() -> Column:
 
 def _index_docs(spark, sf):
     """One index file per order: prologue, header, rule, the filing under two aliases."""
-    o = table(spark, sf, "orders").where(F.col("o_custkey") > 0)
+    o = spread(table(spark, sf, "orders")).where(F.col("o_custkey") > 0)
     day = F.to_date("o_orderdate")
 
     def line(cik: Column) -> Column:
@@ -373,7 +374,7 @@ def discover_daily_files(spark, sf):
 def ownership_docs(spark, sf):
     """One submission per order. Its transactions come from the order's own row:
     a purchase, a sale without price, a row with a wrong side and an other code."""
-    o = table(spark, sf, "orders").where(F.col("o_orderstatus") != "P")
+    o = spread(table(spark, sf, "orders")).where(F.col("o_orderstatus") != "P")
     day = F.to_date("o_orderdate").cast("string")
     price = F.col("o_totalprice").cast("string")
 
@@ -492,7 +493,7 @@ def filing_summary(spark, sf):
   concat_ws(',', CASE WHEN o_orderstatus = 'P' THEN 'FILED_BEFORE_END' END, CASE WHEN tag = 'Additions' THEN 'VALUE' END) AS problems
   FROM f, (VALUES ('Outflow'), ('Additions')) t(tag)""")
 def read_nested_facts(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     day = F.to_date("o_orderdate")
 
     def fact(value: Column, form: str) -> Column:
