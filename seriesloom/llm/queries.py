@@ -72,3 +72,24 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     from seriesloom.llm.mixing import poisson_replicate
 
     return poisson_replicate(table(spark, sf, "documents"))
+
+
+@query("op1_scaled_fingerprints")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer file; every node has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_token_frames")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.tokens import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(table(spark, sf, "documents"), tokenizer_path()))
