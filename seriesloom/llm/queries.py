@@ -93,3 +93,21 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     from seriesloom.llm.tokens import read_token_files, write_token_files
 
     return read_token_files(write_token_files(table(spark, sf, "documents"), tokenizer_path()))
+
+
+@query("op5_benchmark_bm25")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.decontaminate import contaminated
+
+    rows = contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+@query("op7_license_templates")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.licenses import scan_licenses
+
+    rows = scan_licenses(table(spark, sf, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
