@@ -111,3 +111,19 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(
         F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
+
+
+TOXIC_FROM = 0.3
+
+
+@query("op4_toxic_neighbours")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.toxicity import fit, is_held_out, score_documents
+
+    docs = table(spark, sf, "documents")
+    rows = score_documents(docs, fit(docs, table(spark, sf, "labels")))
+    return rows.select(
+        F.col("id").alias("doc_id"), is_held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        F.array_join(F.transform("evidence", lambda e: e["example"].cast("string")), ",").alias("evidence"),
+    )
