@@ -127,3 +127,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
         F.array_join(F.transform("evidence", lambda e: e["example"].cast("string")), ",").alias("evidence"),
     )
+
+
+@query("op9_markov_secrets")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.secrets import secret_digest
+
+    rows = secret_digest(table(spark, sf, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
