@@ -135,3 +135,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = secret_digest(table(spark, sf, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
+
+
+@query("op6_deleted_interpolation")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.language_model import score_documents
+
+    return score_documents(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
