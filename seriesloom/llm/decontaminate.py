@@ -23,8 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.llm.tables import save
 from seriesloom.llm.text import alnum_words
@@ -162,18 +164,13 @@ class Index:
         return found
 
 
-def contaminated(
-    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-    item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_chars: int = INDEX_CHARS,
-) -> DataFrame:
-    """Rows (id, item_id, score, question_overlap, answer_overlap): verified matches, one per document and item.
+def indexes(
+    items: DataFrame, *, item_id_col: str = "item_id", item_text_col: str = "text", index_chars: int = INDEX_CHARS
+) -> Iterator[Broadcast]:
+    """Broadcast indexes over all items, each of about ``index_chars`` characters of item text at most.
 
-    A row per document row and matching item: repeated documents repeat their
-    rows, items of equal text all match.  Null or wordless texts and items
-    match nothing; null ids are kept; other columns are ignored; an empty table
-    on either side gives an empty result.
+    Document frequencies and lengths are those of all items.
     """
-    spark = docs.sparkSession
     given = items.select(
         F.col(item_id_col).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")
     ).distinct()
@@ -203,15 +200,29 @@ def contaminated(
     )
     everywhere = per_slot.groupBy("w").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
     lengths = everywhere.where(F.octet_length("w") == 0).first()
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    result = None
     for slot in range(slots if lengths else 0):
         here = [(r["item_id"], r["text"]) for r in given.where(F.col("slot") == slot).collect() if fold(r["text"])]
-        if not here:
-            continue
-        words_here = per_slot.where(F.col("slot") == slot).select("w")
-        df = {bytes(r["w"]): r["df"] for r in everywhere.join(words_here, "w", "left_semi").collect()}
-        shared = spark.sparkContext.broadcast(Index(here, df, lengths["df"], lengths["n"] / lengths["df"]))
+        if here:
+            words_here = per_slot.where(F.col("slot") == slot).select("w")
+            df = {bytes(r["w"]): r["df"] for r in everywhere.join(words_here, "w", "left_semi").collect()}
+            index = Index(here, df, lengths["df"], lengths["n"] / lengths["df"])
+            yield items.sparkSession.sparkContext.broadcast(index)
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+    item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_chars: int = INDEX_CHARS,
+) -> DataFrame:
+    """Rows (id, item_id, score, question_overlap, answer_overlap): verified matches, one per document and item.
+
+    A row per document row and matching item: repeated documents repeat their
+    rows, items of equal text all match.  Null or wordless texts and items
+    match nothing; null ids are kept; other columns are ignored; an empty table
+    on either side gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    result = None
+    for shared in indexes(items, item_id_col=item_id_col, item_text_col=item_text_col, index_chars=index_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -228,4 +239,23 @@ def contaminated(
 
         part = rows.mapInArrow(run, MATCH)
         result = part if result is None else result.unionAll(part)
-    return spark.createDataFrame([], MATCH) if result is None else result
+    return docs.sparkSession.createDataFrame([], MATCH) if result is None else result
+
+
+def keep_clean(
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id",
+    item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_chars: int = INDEX_CHARS,
+) -> DataFrame:
+    """The documents, all columns, without a verified item; nothing is shuffled."""
+    place = docs.columns.index(text_col)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
+    for shared in indexes(items, item_id_col=item_id_col, item_text_col=item_text_col, index_chars=index_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(place).to_pylist()
+                clean = [not (t and shared.value.matches(fold(t), threshold, overlap)) for t in texts]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

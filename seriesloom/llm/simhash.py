@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seriesloom.llm.components import components
 from seriesloom.llm.tables import save, shuffle_partitions
@@ -97,15 +98,21 @@ def keys_of(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit, lowest first."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 240):  # so few rows add up in a byte
+        part = np.ascontiguousarray(hashes[at : at + 240].astype("<u8")).view(np.uint8).reshape(-1, 8)
+        ones += np.add.reduce(np.unpackbits(part, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return ones
+
+
 def simhash(hashes: np.ndarray) -> int:
     """Bit set where over half the hashes have it; no hash: 0."""
     if not len(hashes):
         return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.ascontiguousarray(hashes[at : at + (1 << 16)].astype("<u8")).view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    bits = np.packbits(bit_counts(hashes) * 2 > len(hashes), bitorder="little")
+    return int.from_bytes(bits.tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -249,3 +256,154 @@ def near_duplicates(
     lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
     of = save(named.join(lowest, "c").select("fp", "component_id"), "of")
     return rows.join(of, "fp").select("id", "fp", "component_id")
+
+
+# --- wider groups: several fingerprints ------------------------------------
+
+TABLES = 20  # fingerprints from independent hashes
+WIDE_BITS = 24  # of the 128 bits of the first two; about a resemblance of 0.75
+
+
+def rehash(hashes: np.ndarray, table: int) -> np.ndarray:
+    """An independent hash of each hash; table 0 is the hash itself."""
+    if not table:
+        return hashes
+    with np.errstate(over="ignore"):
+        h = hashes ^ np.uint64(table * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
+    """Rows (id, th, a, b, keys): hash of the text, the first two fingerprints, and the keys of all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, tables), np.uint64)
+            for k, raw in enumerate(raw_texts(batch.column(1))):
+                hashes = shingle_hashes(words(raw), shingle)
+                if len(hashes):
+                    for t in range(tables):
+                        found[k, t] = simhash(rehash(hashes, t))
+            if not batch.num_rows:
+                continue
+            rows, keys = keys_of(found[:, 0])
+            rows, keys = [rows], [keys]
+            for t in range(1, tables):
+                for k, (lo, width) in enumerate(SEGMENTS):
+                    part = (found[:, t] >> np.uint64(lo)) & np.uint64((1 << width) - 1)
+                    rows.append(np.arange(batch.num_rows))
+                    keys.append(part.astype(np.int64) | (6 + 3 * t + k) << 48)
+            rows, keys = np.concatenate(rows), np.concatenate(keys)
+            order = np.argsort(rows, kind="stable")
+            first = np.searchsorted(rows[order], np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(keys[order]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64)),
+                 pa.array(np.ascontiguousarray(found[:, 1]).view(np.int64)), lists], ["id", "th", "a", "b", "keys"],
+            )
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(
+        run, "id bigint, th bigint, a bigint, b bigint, keys array<bigint>"
+    )
+
+
+def wide_links(nodes: DataFrame, *, bits: int = WIDE_BITS, block: int = BLOCK) -> DataFrame:
+    """Rows (u, v): links between nodes (a, b, keys) that share a key and differ in at most ``bits`` of 128 bits.
+
+    Per key a spanning forest of the links is kept; crowded keys are cut into
+    blocks as in ``links``.
+    """
+    rows = nodes.select("a", "b", F.explode("keys").alias("key"))
+    crowded = save(
+        rows.groupBy("key").count().where(F.col("count") > block)
+        .select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")),
+        "crowded",
+    )
+    own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
+    every = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own),
+    )
+    rows = rows.join(crowded, "key", "left").select(
+        "key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(every)).alias("part"), "a", "b"
+    )
+
+    def linked(key: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        start = np.concatenate([[0], cut, [len(sig)]])
+        out = []
+        for r in np.flatnonzero(np.diff(start) > 1):
+            some = np.unique(sig[start[r] : start[r + 1]], axis=0)
+            left = np.arange(len(some))
+            while left.size > 1:
+                stack, left = [left[0]], left[1:]
+                while stack and left.size:
+                    u = stack.pop()
+                    close = np.bitwise_count(some[left] ^ some[u]).sum(axis=1, dtype=np.int64) <= bits
+                    if close.any():
+                        hit, left = left[close], left[~close]
+                        out.append(np.hstack([np.tile(some[u], (hit.size, 1)), some[hit]]))
+                        stack.extend(hit.tolist())
+        return np.unique(np.concatenate(out), axis=0).view(np.int64) if out else np.empty((0, 4), np.int64)
+
+    def batch_of(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a1", "b1", "a2", "b2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sig = np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            key = np.concatenate([key, np.stack(columns[:2], axis=1)])
+            sig = np.concatenate([sig, np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)])
+            last = np.flatnonzero((key != key[-1]).any(axis=1))
+            whole = last[-1] + 1 if last.size else 0  # the last run may go on
+            if whole:
+                yield batch_of(linked(key[:whole], sig[:whole]))
+                key, sig = key[whole:], sig[whole:]
+        if len(sig):
+            yield batch_of(linked(key, sig))
+
+    return (
+        rows.withColumn("part", F.col("part").cast("bigint"))
+        .repartition(shuffle_partitions(nodes.sparkSession), "key", "part").sortWithinPartitions("key", "part")
+        .mapInArrow(run, "a1 bigint, b1 bigint, a2 bigint, b2 bigint")
+        .select(F.xxhash64("a1", "b1").alias("u"), F.xxhash64("a2", "b2").alias("v"))
+    )
+
+
+def keep_one(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = TABLES,
+    bits: int = WIDE_BITS,
+) -> DataFrame:
+    """The documents, all columns, one of each group of near copies.
+
+    Two documents are linked when one of several fingerprints brings them
+    together (the first through all its Golay keys, the others through equal
+    segments) and they differ in at most ``bits`` of the 128 bits of the first
+    two.  Of a group the smallest id stays, of equal ids the text with the
+    smallest hash, of equal rows one; null ids stay only where a group has no
+    other.  Wordless documents are one group.
+    """
+    own = save(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle, tables=tables), "signatures")
+    nodes = own.groupBy("a", "b").agg(F.min_by("keys", F.struct("id", "th")).alias("keys"))
+    comp = save(components(wide_links(nodes, bits=bits)), "groups")
+    named = own.select("id", "th", F.xxhash64("a", "b").alias("node")).join(comp, "node", "left")
+    best = (
+        named.groupBy(F.coalesce("component", "node").alias("c"))
+        .agg(F.min(F.struct(F.col("id").isNull().alias("k0"), F.coalesce("id", F.lit(0)).alias("k1"), F.col("th").alias("k2"))).alias("best"))
+        .select("best.*")
+    )
+    kept = save(best.withColumnsRenamed({"k0": "dedup_null", "k1": "dedup_id", "k2": "dedup_th"}), "kept")
+    ident = F.col(id_col).cast("bigint")
+    rows = docs.withColumn("dedup_null", ident.isNull()).withColumn("dedup_id", F.coalesce(ident, F.lit(0))).withColumn(
+        "dedup_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    )
+    same = Window.partitionBy("dedup_null", "dedup_id", "dedup_th").orderBy("dedup_th")
+    return (
+        rows.join(kept, ["dedup_null", "dedup_id", "dedup_th"]).withColumn("dedup_n", F.row_number().over(same))
+        .where("dedup_n = 1").select(*docs.columns)
+    )
