@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.aggregating import BUCKET_SQL, input_states, line_entries, line_transactions
-from catalog.common import ORDERS_CTE, order_obs, quarter_obs, query, table
+from catalog.common import ORACLES, ORDERS_CTE, QUERIES, order_obs, quarter_obs, query, table
 from catalog.joining import TIE
 from catalog.ruling import CLAUSE_SQL, _clauses, _metrics, metric_reads, metric_routing
 from catalog.sources import reviewed_text, typed_reviewed
@@ -14,6 +14,7 @@ from catalog.windows import _positions, _ratios
 from seriesloom.checks import checks
 from seriesloom.operators import aggregates, growth, joins, windows
 from seriesloom.rules import evidence, interpretation, model
+from seriesloom.session import new_table_path
 from seriesloom.sources import reviewed
 
 LOW = "series_id = '5-LOW'"
@@ -235,18 +236,18 @@ def reviewed_recheck(spark, sf):
     return checks.recheck_reviewed_records(published, records, recomputed=points, validated=validated)
 
 
-@query("publication_check", f"""WITH {ORDERS_CTE} SELECT DISTINCT 'ENDPOINT_AND_TAIL' AS check_id, series_id AS key, 'value' AS detail FROM ob WHERE series_id = '5-LOW'
-  UNION ALL SELECT 'TWIN_SERIES', series_id || '/' || CAST(obs_date AS VARCHAR), 'value' FROM ob WHERE dayofmonth(obs_date) = 31
-  UNION ALL SELECT DISTINCT 'HELD_SERIES', series_id, '' FROM ob WHERE series_id IN ('1-URGENT', '2-HIGH')
-  UNION ALL SELECT DISTINCT 'SOURCE_CONSISTENCY', o_orderpriority, 'status' FROM orders WHERE o_orderpriority = '1-URGENT'""")
+CHECKS = (
+    "schema_values_check", "domain_check", "increasing_check", "same_attributes_check", "endpoint_checks",
+    "position_stats_check", "position_rows_check", "ordinal_stats_check", "growth_check", "consecutive_check",
+    "twin_series_check", "clauses_check", "interpretation_check", "ledger_check", "bucket_partition_check",
+    "bucket_flag_check", "source_consistency_check", "switch_rules_check", "held_series_check", "reviewed_recheck",
+)
+
+
+@query("publication_check", " UNION ALL ".join(f"SELECT check_id, key, detail FROM ({ORACLES[name]})" for name in CHECKS))
 def publication_check(spark, sf):
     """All checks over one publication, as one table of violations."""
-    return checks.all_violations(
-        [
-            endpoint_checks(spark, sf), twin_series_check(spark, sf), held_series_check(spark, sf),
-            source_consistency_check(spark, sf),
-        ]
-    )
+    return checks.all_violations([QUERIES[name](spark, sf) for name in CHECKS])
 
 
 @query("published_when_clean", f"""WITH {ORDERS_CTE} SELECT series_id, CAST(MAX(obs_date) AS VARCHAR) AS obs_date, arg_max(value, obs_date) AS value FROM ob GROUP BY 1""")
@@ -254,4 +255,6 @@ def published_when_clean(spark, sf):
     obs = order_obs(spark, sf)
     latest = windows.latest_per_series(obs).join(windows.tail_array(obs), "series_id")
     found = checks.check_endpoint_and_tail(latest, obs)
-    return checks.require_clean(found, latest).select("series_id", "obs_date", "value")
+    root = new_table_path(spark, "publication")
+    checks.publish(found, latest.select("series_id", "obs_date", "value"), root)
+    return checks.read_published(spark, root)

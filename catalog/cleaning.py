@@ -8,7 +8,7 @@ from catalog.common import EVENTS_CTE, ORDERS_CTE, USERS_CTE, event_obs, order_o
 from seriesloom.functions import scalars
 from seriesloom.functions.hashing import array_fingerprint, group_fingerprint
 from seriesloom.operators import clean, windows
-from seriesloom.sources.landing import spread
+from catalog.common import spread
 
 
 @query("dedupe_conflicts", """WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS copies,
@@ -259,11 +259,11 @@ def privacy_markup_rows(spark, sf):
     )
 
 
-@query("redacted_text", """SELECT page_id, left(regexp_replace(url || '?api_key=' || CAST(page_id AS VARCHAR) || '&z=1', '(api_key=)[^&\\s]+', '\\1<redacted>', 'gi'), 60) AS masked FROM pages""")
+@query("redacted_text", """SELECT page_id, regexp_replace(url || '?api_key=' || CAST(page_id AS VARCHAR) || '&z=1', '(api_key=)[^&\\s]+', '\\1<redacted>', 'gi') AS masked FROM pages""")
 def redacted_text(spark, sf):
     pages = table(spark, sf, "pages")
     dirty = F.concat(F.col("url"), F.lit("?api_key="), F.col("page_id").cast("string"), F.lit("&z=1"))
-    return pages.select("page_id", scalars.redact(dirty, limit=60).alias("masked"))
+    return pages.select("page_id", scalars.redact(dirty).alias("masked"))
 
 
 @query("parsed_numbers", """SELECT doc_id, CASE WHEN lang = 'en' THEN CAST(n_chars AS DOUBLE) WHEN lang = 'de' THEN NULL ELSE n_chars / 1000.0 END AS value,
@@ -352,7 +352,7 @@ def set_fingerprint(spark, sf):
 
 
 GROUP_LIMBS = " || ':' || ".join(
-    f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4)
+    f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4)
 )
 
 

@@ -44,21 +44,18 @@ def asof_backward_blocked(spark, sf):
     ).select("event_type", "event_id", "rate", "right_ts")
 
 
-@query("spread_to_benchmark", f"""WITH {ORDERS_CTE}, b AS (SELECT obs_date, value FROM ob WHERE series_id = '1-URGENT' AND isodow(obs_date) = 3)
+@query("spread_to_benchmark", f"""WITH {ORDERS_CTE}, b AS (SELECT obs_date, value FROM ob WHERE series_id = '1-URGENT')
   SELECT ob.series_id, CAST(ob.obs_date AS VARCHAR) AS obs_date, round((ob.value - b.value) * 100, 4) AS spread_bp,
   ob.value AS left_value, b.value AS benchmark, CAST(b.obs_date AS VARCHAR) AS right_obs_date
   FROM ob ASOF JOIN b ON ob.obs_date >= b.obs_date WHERE ob.series_id <> '1-URGENT'""")
 def spread_to_benchmark(spark, sf):
-    obs = order_obs(spark, sf).where(
-        (F.col("series_id") != "1-URGENT") | (F.weekday("obs_date") == 2)
-    )
-    return joins.spread_to_benchmark(obs, "1-URGENT")
+    return joins.spread_to_benchmark(order_obs(spark, sf), "1-URGENT")
 
 
 @query("inner_dates", f"""WITH {ORDERS_CTE}, {SHIP_CTE} SELECT CAST(o.obs_date AS VARCHAR) AS obs_date, o.series_id,
-  o.value AS left_value, s.value AS right_value FROM ob o JOIN sh s ON o.obs_date = s.obs_date AND s.series_id = 'R'""")
+  s.series_id AS flag, o.value AS left_value, s.value AS right_value FROM ob o JOIN sh s ON o.obs_date = s.obs_date""")
 def inner_dates(spark, sf):
-    right = ship_obs(spark, sf).where("series_id = 'R'").drop("series_id")
+    right = ship_obs(spark, sf).withColumnRenamed("series_id", "flag")
     return joins.inner_on(order_obs(spark, sf), right, ["obs_date"])
 
 
@@ -88,7 +85,7 @@ def common_dates(spark, sf):
 
 
 @query("missing_flag_left", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, o_orderpriority AS priority, o_orderkey IS NULL AS metadata_missing,
-  (o_orderkey IS NOT NULL AND l_linestatus IS DISTINCT FROM o_orderstatus) AS metadata_mismatch
+  (o_orderkey IS NOT NULL AND l_linestatus IS DISTINCT FROM o_orderstatus) AS metadata_mismatch, false AS metadata_conflict
   FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW') o ON l_orderkey = o_orderkey""")
 def missing_flag_left(spark, sf):
     facts = table(spark, sf, "lineitem").select(
@@ -103,11 +100,11 @@ def missing_flag_left(spark, sf):
     )
     return out.select(
         F.col("accession").alias("l_orderkey"), "l_linenumber", "priority", "metadata_missing",
-        "metadata_mismatch",
+        "metadata_mismatch", "metadata_conflict",
     )
 
 
-@query("known_anti", """SELECT o_orderkey AS accession, CASE WHEN c_custkey IS NULL THEN 'NEW' WHEN c_nationkey < 12 THEN 'REUSED' ELSE 'MISMATCH' END AS reuse_status
+@query("known_anti", """SELECT o_orderkey AS accession, CASE WHEN c_custkey IS NULL THEN 'NEW' WHEN c_custkey % 10 = 0 THEN 'CONFLICT' WHEN c_nationkey < 12 THEN 'REUSED' ELSE 'MISMATCH' END AS reuse_status
   FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey""")
 def known_anti(spark, sf):
     o = table(spark, sf, "orders").select(
@@ -116,6 +113,7 @@ def known_anti(spark, sf):
     known = table(spark, sf, "customer").where("c_acctbal > 0").select(
         F.col("c_custkey").alias("cust"), F.when(F.col("c_nationkey") < 12, "4").otherwise("4/A").alias("form")
     )
+    known = known.union(known.where("cust % 10 = 0").withColumn("form", F.lit("8-K")))
     return joins.reuse_known(o, known, key="cust", agree=["form"]).select("accession", "reuse_status")
 
 
@@ -146,7 +144,8 @@ LINK_SQL = """f AS (SELECT o_orderkey AS k, o_orderstatus AS form, CAST(o_orderd
   SELECT k AS accession, CASE WHEN w.original IS NULL THEN 'ORIGINAL_EFFECTIVE' ELSE 'ORIGINAL_SUPERSEDED' END AS amendment_status, CAST(NULL AS BIGINT) AS linked_original
     FROM f LEFT JOIN w ON f.k = w.original WHERE form = 'F'
   UNION ALL SELECT k, CASE WHEN a.original IS NULL THEN 'UNLINKED_REVIEW' WHEN w.winner = k THEN 'AMENDMENT_EFFECTIVE' ELSE 'AMENDMENT_SUPERSEDED' END, a.original
-    FROM a LEFT JOIN w ON a.original = w.original""")
+    FROM a LEFT JOIN w ON a.original = w.original
+  UNION ALL SELECT k, 'OTHER_FORM', NULL FROM f WHERE form NOT IN ('F', 'O')""")
 def exactly_one_link(spark, sf):
     day = F.to_date("o_orderdate")
     rows = table(spark, sf, "orders").select(
@@ -237,10 +236,13 @@ def ordinal_offset_growth(spark, sf):
     return joins.ordinal_offset(obs, [1, 4])
 
 
-@query("align_outer_pivot", f"""WITH {ORDERS_CTE} SELECT CAST(obs_date AS VARCHAR) AS obs_date, MAX(CASE WHEN series_id = '1-URGENT' THEN value END) AS "1-URGENT",
-  MAX(CASE WHEN series_id = '5-LOW' THEN value END) AS "5-LOW" FROM ob WHERE series_id IN ('1-URGENT', '5-LOW') GROUP BY 1""")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+PIVOT_SQL = ", ".join(f"MAX(CASE WHEN series_id = '{p}' THEN value END) AS \"{p}\"" for p in PRIORITIES)
+
+
+@query("align_outer_pivot", f"""WITH {ORDERS_CTE} SELECT CAST(obs_date AS VARCHAR) AS obs_date, {PIVOT_SQL} FROM ob GROUP BY 1""")
 def align_outer_pivot(spark, sf):
-    return joins.align_outer(order_obs(spark, sf), ["1-URGENT", "5-LOW"])
+    return joins.align_outer(order_obs(spark, sf), PRIORITIES)
 
 
 CROSS_SQL = f"""{ORDERS_CTE}, {SHIP_CTE}, df AS (SELECT o.series_id AS check_id, o.obs_date, abs(o.value - s.value) AS difference

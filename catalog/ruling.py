@@ -58,7 +58,8 @@ def alert_per_entity(spark, sf):
     return out.select("series_id", "level", "confidence")
 
 
-@query("legacy_alert", f"""WITH {USERS_CTE}, c AS (SELECT series_id, obs_date, value - 15 AS value FROM us), {STATS_SQL.format(src='c')},
+@query("legacy_alert", f"""WITH {USERS_CTE}, c AS (SELECT series_id, obs_date, value - 15 AS value FROM us),
+  st AS (SELECT series_id, count(*) FILTER (WHERE value > 0) AS streak FROM c GROUP BY 1),
   r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY obs_date DESC) AS k FROM c),
   l AS (SELECT series_id, MAX(CASE WHEN k = 1 THEN value END) AS v1, MAX(CASE WHEN k = 2 THEN value END) AS v2, bool_and(value > 0) AS allp FROM r WHERE k <= 3 GROUP BY 1),
   p AS (SELECT l.*, st.streak, l.series_id LIKE 'click/%' AS tech, CASE WHEN v1 <> 0 AND allp THEN streak WHEN v1 > 0 THEN 1 ELSE 0 END AS pos FROM l JOIN st ON l.series_id = st.series_id),

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from catalog.common import ORDERS_CTE, order_obs, query, table
-from seriesloom.sources.landing import spread
+from catalog.common import spread
 from seriesloom.sources import (
     balances, facts, filings, observations, operations, positions, reviewed, sinks, state,
 )
@@ -23,7 +23,10 @@ def obj(**fields: Column) -> Column:
 
 @query("read_observation_json", """SELECT CAST(user_id AS VARCHAR) || '-' || event_type AS series_id,
   CAST(CAST(ts AS DATE) AS VARCHAR) AS obs_date, round(MIN(value) / 1000, 6) AS value, count(*) AS copies,
-  MIN(round(value / 1000, 6)) <> MAX(round(value / 1000, 6)) AS is_conflict FROM events GROUP BY 1, 2""")
+  MIN(round(value / 1000, 6)) <> MAX(round(value / 1000, 6)) AS is_conflict,
+  CASE WHEN MIN(round(value / 1000, 6)) <> MAX(round(value / 1000, 6)) THEN 'CONFLICT' ELSE '' END AS violations, CAST(NULL AS VARCHAR) AS fault FROM events GROUP BY 1, 2
+  UNION ALL SELECT CAST(user_id AS VARCHAR) || '-' || event_type, NULL, NULL, count(*), false, 'INVALID_DATE', '2024-13-40' FROM events GROUP BY 1
+  UNION ALL SELECT CAST(user_id AS VARCHAR) || '-' || event_type, CAST(CAST(ts AS DATE) AS VARCHAR), NULL, count(*), false, 'NOT_NUMERIC', 'n/a' FROM events GROUP BY 1, 2""")
 def read_observation_json(spark, sf):
     ev = table(spark, sf, "events")
     day = F.to_date("ts").cast("string")
@@ -34,6 +37,7 @@ def read_observation_json(spark, sf):
                 obj(date=day, value=F.col("value").cast("string")),
                 obj(date=day, value=F.lit(".")),
                 obj(date=F.lit("2024-13-40"), value=F.lit("1")),
+                obj(date=day, value=F.lit("n/a")),
             )
         ).alias("payload"),
     )
@@ -198,7 +202,9 @@ def flatten_operation_details(spark, sf):
   CAST(DATE '2024-01-01' + CAST(c_nationkey AS INTEGER) AS VARCHAR) AS obs_date,
   round(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END / 1000, 6) AS value,
   CASE WHEN c_mktsegment = 'BUILDING' THEN 'open_today_bal' ELSE 'close_today_bal' END AS source_field,
-  c_acctbal < 0 AS wrong_account, CAST(1 AS BIGINT) AS copies, false AS is_conflict FROM customer""")
+  c_acctbal < 0 AS wrong_account, CAST(1 AS BIGINT) AS copies, false AS is_conflict,
+  CASE WHEN c_acctbal < 0 THEN 'WRONG_ACCOUNT' ELSE '' END AS violations FROM customer
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), NULL, NULL, 'close_today_bal', false, 1, false, 'INVALID_DATE,NOT_NUMERIC' FROM customer""")
 def read_balance_rows(spark, sf):
     c = table(spark, sf, "customer")
     building = F.col("c_mktsegment") == "BUILDING"
@@ -211,7 +217,11 @@ def read_balance_rows(spark, sf):
                     account_type=F.when(F.col("c_acctbal") < 0, "Opening").otherwise("Closing"),
                     close_today_bal=F.when(building, "null").otherwise(F.col("c_acctbal").cast("string")),
                     open_today_bal=(F.col("c_acctbal") + 1).cast("string"),
-                )
+                ),
+                obj(
+                    record_date=F.lit("2024-02-31"), account_type=F.lit("Closing"),
+                    close_today_bal=F.lit("twelve"), open_today_bal=F.lit("1"),
+                ),
             )
         ).alias("payload"),
     )
@@ -243,7 +253,8 @@ def _auctions(spark, sf):
 
 @query("read_auction_rows", f"""WITH {AUCTIONS_SQL} SELECT security_id, CAST(auction_date AS VARCHAR) AS auction_date,
   CAST(issue_date AS VARCHAR) AS issue_date, MIN(amount) AS amount, MIN(kind) AS kind, MIN(term) AS term,
-  count(*) AS copies, MIN(amount) <> MAX(amount) OR MIN(kind) <> MAX(kind) OR MIN(term) <> MAX(term) AS is_conflict
+  count(*) AS copies, MIN(amount) <> MAX(amount) OR MIN(kind) <> MAX(kind) OR MIN(term) <> MAX(term) AS is_conflict,
+  CASE WHEN MIN(amount) <> MAX(amount) OR MIN(kind) <> MAX(kind) OR MIN(term) <> MAX(term) THEN 'CONFLICT' ELSE '' END AS violations
   FROM au GROUP BY au.security_id, au.auction_date, au.issue_date""")
 def read_auction_rows(spark, sf):
     return _auctions(spark, sf)
@@ -293,14 +304,15 @@ def read_position_reports(spark, sf):
     )
 
 
-@query("latest_report_date_check", """WITH r AS (SELECT o_orderpriority AS contract, CAST(o_orderdate AS DATE) AS d FROM orders
-    WHERE NOT (o_orderpriority = '5-LOW' AND o_orderdate > TIMESTAMP '2001-01-01'))
+@query("latest_report_date_check", """WITH r AS (SELECT o_orderpriority AS contract,
+    CASE WHEN o_orderpriority = '5-LOW' THEN CAST(o_orderdate AS DATE) - 900 ELSE CAST(o_orderdate AS DATE) END AS d FROM orders)
   SELECT contract, CAST(MAX(d) AS VARCHAR) AS end_date FROM r GROUP BY 1 HAVING MAX(d) < (SELECT MAX(d) FROM r)
   UNION ALL SELECT '9-NONE', NULL""")
 def latest_report_date_check(spark, sf):
     rows = table(spark, sf, "orders").select(
-        F.col("o_orderpriority").alias("contract"), F.to_date("o_orderdate").alias("obs_date")
-    ).where(~((F.col("contract") == "5-LOW") & (F.col("obs_date") > "2001-01-01")))
+        F.col("o_orderpriority").alias("contract"),
+        F.date_sub(F.to_date("o_orderdate"), F.when(F.col("o_orderpriority") == "5-LOW", 900).otherwise(0)).alias("obs_date"),
+    )
     listed = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "9-NONE"]
     return positions.latest_date_mismatch(rows, listed)
 
@@ -329,7 +341,7 @@ def _form() -> Column:
 
 def _index_docs(spark, sf):
     """One index file per order: prologue, header, rule, the filing under two aliases."""
-    o = spread(table(spark, sf, "orders")).where(F.col("o_custkey") > 0)
+    o = spread(table(spark, sf, "orders"))
     day = F.to_date("o_orderdate")
 
     def line(cik: Column) -> Column:
@@ -349,11 +361,11 @@ def _index_docs(spark, sf):
     )
 
 
-@query("read_pipe_index", f"""WITH o AS (SELECT *, {ACC_SQL} AS acc, {FORM_SQL} AS form FROM orders WHERE o_custkey > 0),
+@query("read_pipe_index", f"""WITH o AS (SELECT *, {ACC_SQL} AS acc, {FORM_SQL} AS form FROM orders),
   l AS (SELECT 'f' || CAST(o_orderkey AS VARCHAR) AS file, CAST(o_orderdate AS DATE) AS d, acc, form,
     unnest([o_custkey + 7, o_custkey]) AS cik FROM o WHERE form <> '10-Q')
   SELECT file, CAST(d AS VARCHAR) AS index_date, acc AS accession, CAST(cik AS VARCHAR) AS cik, form, CAST(d AS VARCHAR) AS filed,
-  'edgar/data/' || CAST(cik AS VARCHAR) || '/' || acc || '.txt' AS path, NULL AS problem FROM l
+  'edgar/data/' || CAST(cik AS VARCHAR) || '/' || acc || '.txt' AS path, CASE WHEN cik = 0 THEN 'ENTITY' END AS problem FROM l
   UNION ALL SELECT 'f' || CAST(o_orderkey AS VARCHAR), CAST(CAST(o_orderdate AS DATE) AS VARCHAR), NULL, NULL, NULL, NULL, NULL, 'FIELD_COUNT' FROM o""")
 def read_pipe_index(spark, sf):
     return filings.parse_pipe_index(_index_docs(spark, sf))
@@ -374,7 +386,7 @@ def discover_daily_files(spark, sf):
 def ownership_docs(spark, sf):
     """One submission per order. Its transactions come from the order's own row:
     a purchase, a sale without price, a row with a wrong side and an other code."""
-    o = spread(table(spark, sf, "orders")).where(F.col("o_orderstatus") != "P")
+    o = spread(table(spark, sf, "orders"))
     day = F.to_date("o_orderdate").cast("string")
     price = F.col("o_totalprice").cast("string")
 
@@ -428,7 +440,7 @@ def ownership_docs(spark, sf):
 
 FILED_SQL = f"""fd AS (SELECT *, {ACC_SQL} AS accession, {FORM_SQL} AS form, CAST(o_orderdate AS DATE) AS d,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'TRUE' WHEN '2-HIGH' THEN 'FALSE' ELSE 'UNKNOWN' END AS flag
-    FROM orders WHERE o_orderstatus <> 'P')"""
+    FROM orders)"""
 
 
 @query("parse_ownership_docs", f"""WITH {FILED_SQL} SELECT accession, form, CAST(NULL AS VARCHAR) AS problem,
@@ -699,7 +711,7 @@ def _entries(spark, sf):
 
 
 LIMBS = " || ':' || ".join(
-    f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4)
+    f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4)
 )
 ROW_JSON_SQL = """sha256('{"accession":' || CAST(o_orderkey AS VARCHAR) || ',"index_date":"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR)
     || '","status":"' || o_orderstatus || '"}')"""

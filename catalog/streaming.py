@@ -12,7 +12,7 @@ from seriesloom.streaming import streams
 
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return streams.read_event_stream(spark, sf, schema, glob="events.parquet")
+    return streams.read_event_stream(spark, f"{sf}/events.parquet", schema)
 
 
 @query("stream_daily_window", """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS d, CAST(SUM(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS total, count(*) AS events FROM events GROUP BY 1, 2)
@@ -36,8 +36,7 @@ def stream_upsert(spark, sf):
     """The last event of each type and day, upserted by key. A batch must not hold
     two different rows for one key, so each is folded to its last event first."""
     base = new_table_path(spark, "upsert")
-    schema = table(spark, sf, "events").schema
-    events = streams.read_event_stream(spark, sf, schema, glob="events.parquet")
+    events = event_stream(spark, sf)
     rows = events.groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("obs_date")).agg(
         F.max_by("value", "event_id").alias("value")
     )

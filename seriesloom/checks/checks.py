@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,19 +35,35 @@ def all_violations(checks: Sequence[DataFrame]) -> DataFrame:
 
 
 def require_clean(found: DataFrame, output: DataFrame) -> DataFrame:
-    """The output, unless a violation exists: then the job fails when it runs.
+    """The output, unless a violation exists or the output is empty: then it raises.
 
-    The count is a scalar subquery of the output's own job, so nothing is
-    published in between.
+    The violations are counted in a job of their own before anything is written.
     """
-    total = found.agg(F.count(F.lit(1))).scalar()
-    return output.where(
-        F.when(
-            total > 0,
-            F.raise_error(F.concat(F.lit("publication blocked, violations: "), total.cast("string")))
-            .cast("boolean"),
-        ).otherwise(F.lit(True))
-    )
+    total = found.count()
+    if total:
+        raise ValueError(f"publication blocked, violations: {total}")
+    if output.isEmpty():
+        raise ValueError("publication blocked, the output is empty")
+    return output
+
+
+def publish(found: DataFrame, output: DataFrame, root: str) -> str:
+    """Write a clean output to a folder of its own, then point to it; returns the folder.
+
+    A failure before the pointer leaves the last good output published.
+    """
+    clean, spark = require_clean(found, output), output.sparkSession
+    folder = f"{root}/data-{uuid.uuid4().hex}"
+    clean.write.parquet(folder)
+    at = F.current_timestamp().alias("published_at")
+    spark.range(1).select(at, F.lit(folder).alias("folder")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    return folder
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """The output the newest pointer names."""
+    newest = spark.read.parquet(f"{root}/pointer").agg(F.max_by("folder", "published_at").alias("f")).first()
+    return spark.read.parquet(newest["f"])
 
 
 # --- K1–K5 -----------------------------------------------------------------

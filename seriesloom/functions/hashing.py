@@ -26,11 +26,12 @@ def group_fingerprint(row_digest: Column) -> Column:
     """Order-free fingerprint of a group, as an aggregate.
 
     A hash over a sorted list needs the whole group in one task. Adding up four
-    60-bit limbs of each row digest needs four running sums, combines on the map
-    side and gives the same text for the same multiset of rows in any order.
+    64-bit limbs of each row digest needs four running sums, combines on the map
+    side and gives the same text for the same multiset of rows in any order. It
+    finds accidents; sums can be made to collide on purpose.
     """
     limbs = [
-        F.conv(F.substring(row_digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+        F.conv(F.substring(row_digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")
         for i in range(4)
     ]
     sums = [F.coalesce(F.sum(limb), F.lit(0)).cast("string") for limb in limbs]

@@ -224,9 +224,9 @@ def canonical_alias(text: Column | str, aliases: Mapping[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), c)
 
 
-def redact(text: Column | str, *, limit: int = 1000) -> Column:
-    masked = F.regexp_replace(as_col(text), r"(?i)(api_key=)[^&\s]+", "$1<redacted>")
-    return F.left(masked, F.lit(limit))
+def redact(text: Column | str) -> Column:
+    """The whole text with the values of keys masked."""
+    return F.regexp_replace(as_col(text), r"(?i)(api_key=)[^&\s]+", "$1<redacted>")
 
 
 def document_url(root: str, entity: Column, filing: Column, document: Column) -> Column:

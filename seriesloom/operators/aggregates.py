@@ -15,8 +15,12 @@ from seriesloom.operators.quantiles import grouped_quantile
 MONEY = "decimal(38,6)"
 
 
-def exact_sum(value: Column | str, scale: int = 6) -> Column:
-    """Sum as a decimal: the same in any order of addition."""
+def exact_sum(value: Column | str, scale: int = 12) -> Column:
+    """Sum as a decimal: the same in any order of addition.
+
+    Twelve decimals are kept before adding, so small amounts add up; callers
+    round the sum once.
+    """
     c = F.col(value) if isinstance(value, str) else value
     return F.sum(c.cast(f"decimal(28,{scale})"))
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.operators.clean import fold_duplicates
 from seriesloom.functions.scalars import (
     all_of, any_of, codes, basis_points, weekday_on_or_after, weekday_on_or_before,
 )
@@ -174,10 +175,13 @@ def left_with_missing_flag(
     agree: Mapping[str, str], provenance: Sequence[str],
 ) -> DataFrame:
     """Facts with their filing's provenance. An unmatched fact is flagged, a
-    matched one whose ``agree`` columns differ is marked as a mismatch."""
-    right = filings.select(
+    matched one whose ``agree`` columns differ is marked as a mismatch. Filings
+    are folded to one row per key first, so a fact never multiplies; a key whose
+    rows differ is marked as a conflict."""
+    carried = list(dict.fromkeys([*agree.values(), *provenance]))
+    right = fold_duplicates(filings, list(on), carried).select(
         *on, *[F.col(c).alias(f"_r_{c}") for c in agree.values()], *provenance,
-        F.lit(True).alias("_hit"),
+        F.lit(True).alias("_hit"), F.col("is_conflict").alias("_conflict"),
     )
     joined = facts.join(right, list(on), "left")
     differs = any_of([~F.col(a).eqNullSafe(F.col(f"_r_{b}")) for a, b in agree.items()])
@@ -185,6 +189,7 @@ def left_with_missing_flag(
         *facts.columns, *provenance,
         F.col("_hit").isNull().alias("metadata_missing"),
         (F.col("_hit").isNotNull() & differs).alias("metadata_mismatch"),
+        F.coalesce("_conflict", F.lit(False)).alias("metadata_conflict"),
     )
 
 
@@ -192,14 +197,19 @@ def reuse_known(
     index_rows: DataFrame, known: DataFrame, *, key: str = "accession",
     agree: Sequence[str] = ("form", "filed", "index_date"),
 ) -> DataFrame:
-    """NEW, REUSED or MISMATCH for every listed filing."""
-    right = known.select(
-        key, *[F.col(c).alias(f"_k_{c}") for c in agree], F.lit(True).alias("_hit")
+    """NEW, REUSED, MISMATCH or CONFLICT for every listed filing, one row each.
+
+    Known rows are folded to one per key; a key whose rows differ is a conflict.
+    """
+    right = fold_duplicates(known, [key], list(agree)).select(
+        key, *[F.col(c).alias(f"_k_{c}") for c in agree], F.lit(True).alias("_hit"),
+        F.col("is_conflict").alias("_conflict"),
     )
     same = all_of([F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in agree])
     return index_rows.join(right, key, "left").select(
         *index_rows.columns,
-        F.when(F.col("_hit").isNull(), "NEW").when(same, "REUSED").otherwise("MISMATCH")
+        F.when(F.col("_hit").isNull(), "NEW").when(F.col("_conflict"), "CONFLICT")
+        .when(same, "REUSED").otherwise("MISMATCH")
         .alias("reuse_status"),
     )
 
@@ -207,7 +217,11 @@ def reuse_known(
 def attach_calendar_flags(
     obs: DataFrame, events: DataFrame, *, date: str = "obs_date", flags: str = "flags"
 ) -> DataFrame:
-    return obs.join(events.select(date, flags), date, "left").withColumn(
+    """Flags of each date; those of repeated dates are put together first."""
+    merged = events.select(date, F.explode(flags).alias("_flag")).distinct().groupBy(date).agg(
+        F.array_sort(F.collect_list("_flag")).alias(flags)
+    )
+    return obs.join(merged, date, "left").withColumn(
         flags, F.coalesce(flags, F.array().cast("array<string>"))
     )
 
@@ -224,7 +238,8 @@ def link_amendments(
     filed on the amendment's stated date. Originals are first folded to one row
     per such key with a count, so several candidates never fan out; amendments
     with an unusable key stay out of the join. Of the amendments linked to one
-    original only the latest accepted is effective.
+    original only the latest accepted is effective. Filings of any other form
+    keep their row with the status ``OTHER_FORM``.
     """
     link_key = [f"_k{i}" for i in range(len(identity) + 1)]
 
@@ -264,7 +279,11 @@ def link_amendments(
         .alias("amendment_status"),
         F.lit(None).cast(filings.schema[key].dataType).alias("linked_original"),
     )
-    return base.unionByName(amended).unionByName(review)
+    other = filings.where(~F.coalesce(F.col(form).isin(base_form, amended_form), F.lit(False))).select(
+        "*", F.lit("OTHER_FORM").alias("amendment_status"),
+        F.lit(None).cast(filings.schema[key].dataType).alias("linked_original"),
+    )
+    return base.unionByName(amended).unionByName(review).unionByName(other)
 
 
 # --- calendar joins --------------------------------------------------------

@@ -12,7 +12,7 @@ from seriesloom.rules.alerts import tiered_alert
 
 
 def to_observations(
-    raw: DataFrame, *, series: Column, day: Column, value: Column, scale: int = 6
+    raw: DataFrame, *, series: Column, day: Column, value: Column, scale: int = 12
 ) -> DataFrame:
     """Raw rows to (series_id, obs_date, value): exact sums that combine on the
     map side, so a busy series leaves each task as one row per day."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.scalars import codes
 from seriesloom.operators.aggregates import canonical_status
 from seriesloom.operators.windows import (
-    latest_per_series, tail_rows, trailing_streak, valid_only,
+    tail_rows, valid_only,
 )
 
 # Confidence steps from lowest to highest.
@@ -93,14 +93,11 @@ def legacy_alert(
     """normal, info, watch or warning with an additive score.
 
     Only the last rows of a series decide: the last two levels, and whether the
-    last three are all positive, in which case the whole run counts.
+    last three are all positive, in which case every positive level counts.
     ``context``: by, technical, confirmation, stock_drain, backstop (booleans).
     """
     valid = valid_only(spreads, value)
-    runs = latest_per_series(
-        trailing_streak(valid, F.col(value) > 0, by=by, date=date), by=by, date=date,
-        columns=["streak", value],
-    )
+    runs = valid.groupBy(*by).agg(F.count_if(F.col(value) > 0).alias("_positive"))
     last = tail_rows(valid, 3, by=by, date=date).groupBy(*by).agg(
         F.max(F.when(F.col("rn") == 1, F.col(value))).alias("_v1"),
         F.max(F.when(F.col("rn") == 2, F.col(value))).alias("_v2"),
@@ -108,7 +105,7 @@ def legacy_alert(
     )
     rows = runs.join(last, list(by)).join(context, list(by), "left")
     v1, v2 = F.col("_v1"), F.col("_v2")
-    positive = F.when((v1 != 0) & F.col("_all"), F.col("streak")).when(v1 > 0, 1).otherwise(0)
+    positive = F.when((v1 != 0) & F.col("_all"), F.col("_positive")).when(v1 > 0, 1).otherwise(0)
     technical = F.coalesce("technical", F.lit(False))
     level = (
         F.when((v1 > 3) & F.coalesce(v2 > 3, F.lit(False)) & ~technical, "warning")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,10 +45,13 @@ def local_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares between nodes (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, is a local folder made.
+    Only where that setting is absent and the session runs on one machine, as in
+    tests, is a local folder made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         configured = os.path.join(tempfile.mkdtemp(prefix="seriesloom-"), "shared")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

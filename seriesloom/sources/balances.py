@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom import schemas
-from seriesloom.functions.scalars import parse_number, strict_date
+from seriesloom.functions.scalars import codes, parse_number, strict_date
 from seriesloom.operators.clean import fold_duplicates
 from seriesloom.sources.landing import parse_json
 
@@ -32,9 +32,26 @@ def parse_balances(
         .alias("source_field"),
         (~F.col("r.account_type").eqNullSafe(F.lit(account))).alias("wrong_account"),
     )
-    return fold_duplicates(
+    folded = fold_duplicates(
         rows, [*by, "obs_date"], ["value", "source_field", "wrong_account"], strict=strict
     )
+    return _coded(
+        folded,
+        [
+            (F.col("is_conflict"), "CONFLICT"), (F.col("obs_date").isNull(), "INVALID_DATE"),
+            (F.col("value").isNull(), "NOT_NUMERIC"), (F.col("wrong_account"), "WRONG_ACCOUNT"),
+        ],
+        strict,
+    )
+
+
+def _coded(folded: DataFrame, rules, strict: bool) -> DataFrame:
+    """Add ``violations``; ``strict`` raises on the first row that has one."""
+    out = folded.withColumn("violations", codes(rules))
+    if strict:
+        found = F.concat_ws(",", "violations")
+        out = out.where(F.when(found != "", F.raise_error(found).cast("boolean")).otherwise(F.lit(True)))
+    return out
 
 
 def parse_auctions(
@@ -51,7 +68,16 @@ def parse_auctions(
         F.round(parse_number("r.offering_amt") / divisor, 6).alias("amount"),
         F.col("r.security_type").alias("kind"), F.col("r.security_term").alias("term"),
     )
-    return fold_duplicates(
+    folded = fold_duplicates(
         rows, [*by, "security_id", "auction_date", "issue_date"], ["amount", "kind", "term"],
         strict=strict,
     )
+    return _coded(
+        folded,
+        [
+            (F.col("is_conflict"), "CONFLICT"), (F.col("security_id").isNull(), "NO_SECURITY"),
+            (F.col("auction_date").isNull() | F.col("issue_date").isNull(), "INVALID_DATE"),
+            (F.col("amount").isNull(), "NOT_NUMERIC"),
+        ],
+        strict,
+    )

@@ -165,7 +165,7 @@ def parse_ownership_docs(
     flag = tri_state("x.aff10b5One")
     problem = (
         F.when(is_html_page(text) | (F.trim(text) == ""), "EMPTY_OR_HTML")
-        .when(~F.left(text, F.lit(4096)).rlike("(?i)<SEC-DOCUMENT"), "WRAPPER")
+        .when(~text.rlike("(?i)<SEC-DOCUMENT"), "WRAPPER")
         .when(
             F.col("_accession").isNotNull() & (F.col("_accession") != F.col(accession)),
             "ACCESSION_MISMATCH",

@@ -33,7 +33,7 @@ def parse_json(docs: DataFrame, schema, payload: str = "payload") -> DataFrame:
 
 def is_html_page(text: Column) -> Column:
     """An error page that landed in place of data."""
-    head = F.lower(F.ltrim(F.left(text, F.lit(64))))
+    head = F.lower(F.left(F.trim(text, F.lit(" \t\r\n")), F.lit(20)))
     return head.startswith("<html") | head.startswith("<!doctype html")
 
 
@@ -47,12 +47,3 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select("*", F.inline(F.array(row)))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a costly parse of few input splits.
-
-    Input with at least as many splits as the cluster has cores stays as it is,
-    so large inputs are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

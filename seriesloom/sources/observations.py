@@ -20,16 +20,43 @@ def parse_observations(
     end=None, strict: bool = False, payload: str = "payload",
 ) -> DataFrame:
     """``observations[]`` exploded: missing tokens drop, values are scaled, an
-    optional cut-off date applies, repeats fold and conflicts are marked."""
+    optional cut-off date applies, repeats fold and conflicts are marked.
+
+    A document without the array, a row without a date and a value that is no
+    number are kept, folded by what they say, with a code in ``violations`` and
+    the text in ``fault``; ``strict`` raises on the first of them.
+    """
+    told = F.trim("o.value")
+    missing = F.coalesce(told, F.lit("")).isin(*MISSING_TOKENS)
     rows = parse_json(docs, schemas.OBSERVATION_DOC, payload).select(
-        *by, F.explode("doc.observations").alias("o")
+        *by, F.col("doc.observations").isNull().alias("_none"), F.explode_outer("doc.observations").alias("o")
     ).select(
         *by, strict_date("o.date").alias("obs_date"),
         F.round(parse_number("o.value") / F.lit(float(scale)), 6).alias("value"),
-    ).where("obs_date IS NOT NULL")
+        F.when(F.col("_none"), "NO_OBSERVATIONS")
+        .when(F.col("o").isNotNull() & strict_date("o.date").isNull(), "INVALID_DATE")
+        .when(~missing & parse_number("o.value").isNull(), "NOT_NUMERIC").alias("_code"),
+        F.when(strict_date("o.date").isNull(), F.col("o.date")).otherwise(told).alias("_text"),
+    )
+    good = rows.where("_code IS NULL")
     if end is not None:
-        rows = rows.where(F.col("obs_date") <= F.lit(end).cast("date"))
-    return fold_duplicates(rows, [*by, "obs_date"], ["value"], skip_null="value", strict=strict)
+        good = good.where(F.col("obs_date") <= F.lit(end).cast("date"))
+    folded = fold_duplicates(
+        good.drop("_code", "_text"), [*by, "obs_date"], ["value"], skip_null="value", strict=strict
+    ).withColumn("violations", F.when(F.col("is_conflict"), "CONFLICT").otherwise("")).withColumn(
+        "fault", F.lit(None).cast("string")
+    )
+    bad = rows.where("_code IS NOT NULL").groupBy(*by, "obs_date", "_code", "_text").agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+    faulty = bad.select(
+        *by, "obs_date", F.lit(None).cast("double").alias("value"), "copies",
+        F.lit(False).alias("is_conflict"), F.col("_code").alias("violations"), F.col("_text").alias("fault"),
+    )
+    if strict:
+        message = F.concat_ws(" ", F.col("violations"), F.col("fault"))
+        faulty = faulty.where(F.raise_error(message).cast("boolean"))
+    return folded.unionByName(faulty)
 
 
 def parse_vintages(
@@ -48,7 +75,7 @@ def parse_vintages(
             ~F.coalesce(F.trim("o.value"), F.lit("")).isin(*MISSING_TOKENS)
             & parse_number("o.value").isNull()
         ).alias("not_numeric"),
-    ).where("obs_date IS NOT NULL")
+    )
     folded = fold_duplicates(
         rows, [*by, "obs_date"], ["value", "realtime_start", "realtime_end", "not_numeric"],
         strict=strict,
@@ -58,6 +85,7 @@ def parse_vintages(
         codes(
             [
                 (F.col("is_conflict"), "CONFLICT"),
+                (F.col("obs_date").isNull(), "INVALID_DATE"),
                 (F.col("not_numeric"), "NOT_NUMERIC"),
                 (
                     F.col("realtime_start").isNull() | F.col("realtime_end").isNull(),

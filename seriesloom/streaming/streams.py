@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +13,20 @@ from seriesloom.operators.clean import clean_rows, dedupe_observations, latest_b
 
 
 def read_event_stream(
-    spark: SparkSession, folder: str, schema, *, glob: str = "*.parquet",
-    files_per_trigger: int = 1000,
+    spark: SparkSession, path: str, schema, *, glob: str | None = None,
 ) -> DataFrame:
-    """A file stream with an event-time column of type TIMESTAMP."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
+    """A file stream with an event-time column of type TIMESTAMP.
+
+    ``path`` is a file or a folder of part files. There is no cap on the files
+    of a batch: all files present are one batch, so the watermark moves only
+    after the whole backlog is read and no part of it counts as late.
+    """
+    reader = spark.readStream.schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if not re.search(r"[*?\[{]", path):
+        path = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a file and a folder are read alike
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 # --- upsert ----------------------------------------------------------------
