@@ -352,6 +352,14 @@ def test_quantiles_match_on_a_skewed_group(spark):
         assert fast[r["g"]] == pytest.approx((r["a"], r["b"]))
 
 
+def test_quantiles_with_a_far_outlier_and_values_without_rank(spark):
+    odd = [(float("nan"),), (float("inf"),), (None,), (1e300,)]
+    data = spark.range(999).select(F.col("id").cast("double").alias("v")).union(spark.createDataFrame(odd, "v double")).withColumn("g", F.lit("x"))
+    got = one(grouped_quantile(data, ["g"], "v", [0.5, 0.999], names=["m", "top"], buckets=16))
+    assert (got["m"], got["n"], got["skipped"]) == (499.5, 1000, 2)
+    assert got["top"] == pytest.approx(998 + 0.001 * (1e300 - 998))
+
+
 def test_quantile_of_one_value_and_of_equal_values(spark):
     data = spark.createDataFrame([("one", 3.0), ("same", 2.0), ("same", 2.0)], "g string, v double")
     got = {r["g"]: r["m"] for r in rows(grouped_quantile(data, ["g"], "v", [0.5], names=["m"]))}
