@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -300,14 +301,21 @@ def calendar_year_percentile(
             first = np.searchsorted(keys, key[lo:hi] + back, "left")
             last = np.searchsorted(keys, key[lo:hi] + before, "right")
             size[lo:hi] = last - first
-            for i in np.flatnonzero(size[lo:hi] >= floor):
-                past = values[first[i]:last[i]]
-                position = (len(past) - 1) * quantile
-                low = int(position)
-                high = min(low + 1, len(past) - 1)
-                part = np.partition(past, (low, high))
-                weight = position - low
-                found[lo + i] = part[low] * (1 - weight) + part[high] * weight
+            # The window only moves forward: each value enters and leaves the sorted list once.
+            past, taken, dropped, given = [], 0, 0, values.tolist()
+            for i, (start, stop) in enumerate(zip(first.tolist(), last.tolist())):
+                for x in given[taken:stop]:
+                    insort(past, x)
+                taken = max(taken, stop)
+                for x in given[dropped:start]:
+                    del past[bisect_left(past, x)]
+                dropped = max(dropped, start)
+                if stop - start >= floor:
+                    position = (len(past) - 1) * quantile
+                    low = int(position)
+                    high = min(low + 1, len(past) - 1)
+                    weight = position - low
+                    found[lo + i] = past[low] * (1 - weight) + past[high] * weight
         return {"_q": found, "sample_size": size}
 
     def keep(data):
