@@ -57,15 +57,9 @@ def stream_streak(spark, sf):
         F.col("event_type").alias("series_id"), F.to_date("ts").alias("obs_date")
     ).agg((F.sum(F.col("value").cast("decimal(28,6)")).cast("double") - 1000).alias("amount"))
     daily.withColumn("skipped", F.weekday("obs_date") >= 5).write.parquet(f"{base}/daily")
-    stored = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    try:
-        schema = spark.read.parquet(f"{base}/daily").schema
-        stream = streams.stream_streak(spark.readStream.schema(schema).parquet(f"{base}/daily"))
-        streams.run_to_table(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
-    finally:
-        if stored is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", stored)
+    own = spark.newSession()  # the state store is a setting of this stream's session only
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    schema = own.read.parquet(f"{base}/daily").schema
+    stream = streams.stream_streak(own.readStream.schema(schema).parquet(f"{base}/daily"))
+    streams.run_to_table(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/table").select("series_id", "obs_date", "skipped", "streak")
