@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from catalog.common import ORDERS_CTE, order_obs, query, table
-from catalog.common import spread
+from catalog.common import ORDERS_CTE, order_obs, query, spread, table
+from seriesloom.session import new_table_path
 from seriesloom.sources import (
     balances, facts, filings, observations, operations, positions, reviewed, sinks, state,
 )
@@ -760,3 +760,33 @@ def nested_json_props(spark, sf):
     k = F.try_variant_get(F.parse_json("props"), "$.k", "bigint")
     return ev.groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
+
+
+MONTH_JSON_SQL = ROW_JSON_SQL.replace("CAST(o_orderdate AS DATE)", "CAST(date_trunc('month', o_orderdate) AS DATE)")
+
+
+@query("ledger_roundtrip", f"""WITH e AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, {MONTH_JSON_SQL} AS h FROM orders)
+  SELECT CAST(d AS VARCHAR) AS index_date, count(*) AS entries,
+  sha256(CAST(count(*) AS VARCHAR) || ':' || {LIMBS}) AS shard_sha256, CAST(0 AS BIGINT) AS violations FROM e GROUP BY d""")
+def ledger_roundtrip(spark, sf):
+    """Monthly shards are written, verified from what is stored, and their manifest is read back."""
+    path = new_table_path(spark, "ledger")
+    rows = _entries(spark, sf).withColumn("index_date", F.trunc("index_date", "month"))
+    sinks.write_day_shards(rows, path)
+    found = sinks.verify_day_shards(spark, path, columns=["accession", "index_date", "status"])
+    per_day = found.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n"))
+    manifest = spark.read.parquet(f"{path}/manifest")
+    return manifest.join(per_day, manifest["index_date"].cast("string") == per_day["_key"], "left").select(
+        "index_date", "entries", "shard_sha256", F.coalesce("_n", F.lit(0)).alias("violations")
+    )
+
+
+@query("series_roundtrip", f"""WITH {ORDERS_CTE} SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, value,
+  'series/series_id=' || series_id AS series_path FROM ob""")
+def series_roundtrip(spark, sf):
+    """Every series is written, then read back with the path that the catalogue names for it."""
+    base = new_table_path(spark, "published")
+    obs = order_obs(spark, sf)
+    sinks.write_series(obs, f"{base}/series")
+    paths = sinks.catalog_table(obs.select("series_id").distinct())
+    return spark.read.parquet(f"{base}/series").join(paths, "series_id").select("series_id", "obs_date", "value", "series_path")

@@ -620,3 +620,12 @@ def decumulate_ytd(spark, sf):
     return growth.decumulate_ytd(facts).select(
         "entity", "obs_date", "fiscal_quarter", F.round("value", 4).alias("value"), "method", "form"
     )
+
+
+@query("level_change_percentile", f"""WITH {ORDERS_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY obs_date DESC) AS k FROM ob WHERE value IS NOT NULL),
+  e AS (SELECT series_id, MAX(obs_date) AS d, MAX(CASE WHEN k = 1 THEN value END) AS level, MAX(CASE WHEN k = 6 THEN value END) AS v5, MAX(CASE WHEN k = 21 THEN value END) AS v20 FROM r GROUP BY 1),
+  p AS (SELECT r.series_id, count(*) AS n, SUM(CASE WHEN r.value < e.level THEN 1.0 WHEN r.value = e.level THEN 0.5 ELSE 0 END)::DOUBLE AS s FROM r JOIN e ON r.series_id = e.series_id WHERE k <= 756 GROUP BY 1)
+  SELECT e.series_id, CAST(d AS VARCHAR) AS obs_date, level, level - v5 AS change_5, level - v20 AS change_20,
+  CASE WHEN n >= 252 THEN round(s / n, 6) END AS percentile, n AS sample_size FROM e JOIN p ON e.series_id = p.series_id""")
+def level_change_percentile(spark, sf):
+    return bands.level_change_percentile(order_obs(spark, sf))

@@ -49,6 +49,25 @@ def midrank_endpoint(
     )
 
 
+def level_change_percentile(
+    obs: DataFrame, *, changes: Sequence[int] = (5, 20), window: int = 756, minimum: int = 252,
+    by: Sequence[str] = BY, date: str = "obs_date", value: str = "value",
+) -> DataFrame:
+    """Endpoint level, its change over k observations and its mid-rank in the trailing window.
+
+    A change over more rows than the series has is null, as is a rank over fewer
+    than ``minimum`` rows. Only tails leave the map tasks.
+    """
+    tail = tail_rows(valid_only(obs, value), max(changes) + 1, by=by, date=date)
+    at = lambda k: F.max(F.when(F.col("rn") == k, F.col(value)))
+    moved = tail.groupBy(*by).agg(*[(at(1) - at(k + 1)).alias(f"change_{k}") for k in changes])
+    ranked = midrank_endpoint(obs, window=window, minimum=minimum, by=by, date=date, value=value)
+    return ranked.join(moved, list(by)).select(
+        *by, date, F.col("latest").alias("level"), *[f"change_{k}" for k in changes],
+        F.col("midrank").alias("percentile"), "sample_size",
+    )
+
+
 def _sorted_stream(
     rows: DataFrame, by: Sequence[str], date: str, columns: str, rank, keep
 ) -> DataFrame:

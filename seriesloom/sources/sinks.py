@@ -11,8 +11,8 @@ from seriesloom.functions.hashing import group_fingerprint, row_hash
 from seriesloom.operators.windows import latest_per_series, tail_array
 
 
-def write_series(obs: DataFrame, path: str, *, partition: str | None = None) -> None:
-    """Full series, clustered by series so that a reader of one prunes the rest.
+def write_series(obs: DataFrame, path: str) -> None:
+    """Full series, one folder each, at the place that :func:`catalog_table` names.
 
     The range exchange splits a series that holds many rows over several files
     and keeps small ones together.
@@ -20,8 +20,7 @@ def write_series(obs: DataFrame, path: str, *, partition: str | None = None) ->
     rows = obs.repartitionByRange("series_id", "obs_date").sortWithinPartitions(
         "series_id", "obs_date"
     )
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    rows.write.mode("overwrite").partitionBy("series_id").parquet(path)
 
 
 def latest_table(obs: DataFrame, *, tail: int = 22) -> DataFrame:
