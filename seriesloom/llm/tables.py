@@ -85,6 +85,6 @@ def in_ranges(
     else:
         rows = rows.select("bucket", F.lit(0).alias("guard"), "id", "text")
     return (
-        rows.repartition(n, "bucket").sortWithinPartitions("bucket", "guard", F.col("id").asc_nulls_first(), "text"),
+        rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "guard", F.col("id").asc_nulls_first(), "text"),
         n,
     )
