@@ -33,6 +33,8 @@ TERMS = 512
 PREFIXES = (4, 5, 6)  # bytes of a word's beginning
 NEIGHBOURS = 15
 BLOCK = 64
+GROUP = 8  # blocks that are compared with queries at once
+QUERIES_AT_ONCE = 256
 LEAST_DF = 4
 LEAST_CHI = 15.0  # far above chance for the many candidate terms
 BINS = 40
@@ -55,16 +57,22 @@ class Model:
     terms: dict[bytes, int]
     idf: np.ndarray
     prior: float  # probability without any known term
-    matrix: list[np.ndarray] = field(default_factory=list)  # per term: examples, weights, first posting of each block
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of a term's postings in a block
+    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # postings by block and term: example
+    held: np.ndarray = field(default_factory=lambda: np.zeros(0))  # and weight
     most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # blocks x terms: largest weight
     pos: np.ndarray = field(default_factory=lambda: np.zeros(0))
     neg: np.ndarray = field(default_factory=lambda: np.zeros(0))
     named: list[int] = field(default_factory=list)  # an example of each vector
+    vectors: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # its terms and weights
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
     def __post_init__(self) -> None:
         self._words: dict[bytes, tuple[int, ...]] = {}
-        self._votes: dict[bytes, tuple[float, tuple]] = {}
+        self._tables: dict[int, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_words": {}, "_tables": {}}  # filled anew in each process
 
     def counts(self, raw: bytes) -> dict[int, int]:
         """Term counts of a text."""
@@ -94,71 +102,106 @@ class Model:
                 held[1] += p
                 held[2] += n
         vectors = list(merged.values())
-        self.named = [v[0] for v in vectors]
+        self.named, self.vectors = [v[0] for v in vectors], [(v[3], v[4]) for v in vectors]
         self.pos, self.neg = np.array([v[1] for v in vectors]), np.array([v[2] for v in vectors])
-        blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((blocks, len(self.terms)), np.float64)
-        lists: list[tuple[list, list]] = [([], []) for _ in self.terms]
-        for k, (_, _, _, terms, weight) in enumerate(vectors):
-            np.maximum.at(self.most[k // BLOCK], terms, weight)
-            for t, w in zip(terms.tolist(), weight.tolist()):
-                lists[t][0].append(k)
-                lists[t][1].append(w)
-        self.matrix = []
-        for at, weight in lists:
-            at = np.array(at, np.int64)
-            self.matrix.append((at, np.array(weight), np.searchsorted(at, np.arange(blocks + 1) * BLOCK)))
-
-    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest vectors with a common term, nearest first, ties by place; exact."""
-        if not len(terms) or not len(self.named):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = self.most[:, terms] @ weight
-        order = np.argsort(-bound, kind="stable")
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[-1] - 1e-12:
-                break
-            sims = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weight.tolist()):
-                at, held, first = self.matrix[t]
-                lo, hi = first[b], first[b + 1]
-                if lo < hi:
-                    sims[at[lo:hi] - b * BLOCK] += w * held[lo:hi]
-            hit = np.flatnonzero(sims > 0)
-            best_at, best = np.concatenate([best_at, hit + b * BLOCK]), np.concatenate([best, sims[hit]])
-            keep = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[keep], best[keep]
-        return best_at, best
-
-    def vote(self, counts: dict[int, int], own: tuple[float, float] | None = None) -> tuple[float, tuple]:
-        """Vote in 0..1 and evidence (example, similarity); ``own``: weights to leave out of an equal vector."""
-        if not counts:
-            return self.prior, ()
-        terms, weight = self.vector(counts)
-        key = terms.tobytes() + weight.tobytes()
-        if own is None and key in self._votes:
-            return self._votes[key]
-        at, sims = self.nearest(terms, weight)
-        pos, neg = self.pos[at].copy(), self.neg[at].copy()
-        if own is not None and len(at) and sims[0] > 1 - 1e-9:
-            pos[0], neg[0] = max(0.0, pos[0] - own[0]), max(0.0, neg[0] - own[1])
-        # Each vector counts as one voter however many equal examples it stands for.
-        size = np.maximum(pos + neg, 1e-12)
-        pull = np.where(pos + neg > 1e-9, 1 / (1 - np.minimum(sims, 1.0) + NEAR), 0.0) * np.log1p(size)
-        share = (pull * pos / size).sum() + SHRINK * self.prior
-        out = (share / (pull.sum() + SHRINK), tuple((self.named[k], float(s)) for k, s in zip(at[:5].tolist(), sims)))
-        if own is None:
-            if len(self._votes) >= CACHED // 4:
-                self._votes.clear()
-            self._votes[key] = out
+        blocks, width = -(-len(vectors) // BLOCK), len(self.terms)
+        self.most = np.zeros((blocks, width))
+        size = [len(v[3]) for v in vectors]
+        example = np.repeat(np.arange(len(vectors)), size)
+        term = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([v[4] for v in vectors]) if vectors else np.zeros(0)
+        np.maximum.at(self.most, (example // BLOCK, term), weight)
+        list_of = example // BLOCK * width + term
+        order = np.argsort(list_of, kind="stable")
+        self.at, self.held = example[order], weight[order]
+        self.first = np.searchsorted(list_of[order], np.arange(blocks * width + 1))
+
+    def _group(self, g: int) -> np.ndarray:
+        """Postings of GROUP neighbouring blocks as a table of examples by terms, kept for the next queries."""
+        if g not in self._tables:
+            width, blocks = len(self.terms), len(self.most)
+            lists = np.arange(g * GROUP * width, min((g + 1) * GROUP, blocks) * width)
+            lo, hi = self.first[lists[0]], self.first[lists[-1] + 1]
+            term = np.repeat(lists % width, self.first[lists + 1] - self.first[lists])
+            table = np.zeros((min((g + 1) * GROUP, blocks) * BLOCK - g * GROUP * BLOCK, width), np.float32)
+            table[self.at[lo:hi] - g * GROUP * BLOCK, term] = self.held[lo:hi]
+            self._tables[g] = table
+        return self._tables[g]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the k nearest vectors with a common term, nearest first; exact.
+
+        Groups of blocks are taken by falling bound; a group is compared with
+        the queries whose bound there reaches their k-th similarity so far.  The
+        tables are of single precision, so a few more than k are kept and their
+        similarities computed anew in double precision.
+        """
+        wide = k + 8
+        dense = np.zeros((len(self.terms), len(queries)))
+        for j, (terms, weight) in enumerate(queries):
+            dense[terms, j] = weight
+        best = np.full((wide, len(queries)), -1.0, np.float32)
+        best_at = np.zeros((wide, len(queries)), np.int64)
+        if len(self.named) and queries:
+            bound = self.most @ dense
+            bound = np.maximum.reduceat(bound, np.arange(0, len(bound), GROUP), axis=0)
+            single = dense.astype(np.float32)
+            for g in np.argsort(-bound.max(axis=1), kind="stable").tolist():
+                ask = np.flatnonzero((bound[g] > 0) & (bound[g] >= best[-1] - 1e-5))
+                if not ask.size:
+                    continue
+                sims = self._group(g) @ single[:, ask]
+                top = np.argpartition(-sims, min(wide, len(sims)) - 1, axis=0)[:wide]
+                both = np.concatenate([best[:, ask], np.take_along_axis(sims, top, axis=0)])
+                place = np.concatenate([best_at[:, ask], top + g * GROUP * BLOCK])
+                order = np.argsort(-both, axis=0, kind="stable")[:wide]
+                best[:, ask] = np.take_along_axis(both, order, axis=0)
+                best_at[:, ask] = np.take_along_axis(place, order, axis=0)
+        out = []
+        for j in range(len(queries)):
+            at = np.unique(best_at[:, j][best[:, j] > 0])
+            sims = np.array([self.vectors[a][1] @ dense[self.vectors[a][0], j] for a in at.tolist()])
+            order = np.lexsort((at, -sims))[:k] if len(at) else at
+            out.append((at[order], sims[order]))
+        return out
+
+    def votes(self, counts: list[dict[int, int]], own: list[tuple[float, float]] | None = None) -> list[tuple[float, tuple]]:
+        """Vote in 0..1 and evidence (example, similarity) of each; ``own``: weights to leave out of an equal vector."""
+        out: list[tuple[float, tuple]] = [(self.prior, ())] * len(counts)
+        asked: dict[bytes, tuple] = {}
+        waiting: list[tuple[int, bytes]] = []
+        for j, c in enumerate(counts):
+            if c:
+                terms, weight = self.vector(c)
+                key = terms.tobytes() + weight.tobytes()
+                asked.setdefault(key, (terms, weight))
+                waiting.append((j, key))
+        found: dict[bytes, tuple] = {}
+        keys = list(asked)
+        for lo in range(0, len(keys), QUERIES_AT_ONCE):
+            part = keys[lo : lo + QUERIES_AT_ONCE]
+            found.update(zip(part, self.nearest([asked[key] for key in part])))
+        for j, key in waiting:
+            at, sims = found[key]
+            pos, neg = self.pos[at].copy(), self.neg[at].copy()
+            if own is not None and len(at) and sims[0] > 1 - 1e-9:
+                pos[0], neg[0] = max(0.0, pos[0] - own[j][0]), max(0.0, neg[0] - own[j][1])
+            # Each vector counts as one voter however many equal examples it stands for.
+            size = np.maximum(pos + neg, 1e-12)
+            pull = np.where(pos + neg > 1e-9, 1 / (1 - np.minimum(sims, 1.0) + NEAR), 0.0) * np.log1p(size)
+            share = (pull * pos / size).sum() + SHRINK * self.prior
+            evidence = tuple((self.named[a], float(s)) for a, s in zip(at[:5].tolist(), sims))
+            out[j] = (share / (pull.sum() + SHRINK), evidence)
         return out
 
-    def score(self, raw: bytes) -> tuple[float, tuple]:
-        vote, evidence = self.vote(self.counts(raw))
-        if self.knots is not None:
-            vote = float(np.interp(vote, *self.knots))
-        return min(1.0, max(0.0, vote)), evidence
+    def scores(self, raws: list[bytes]) -> list[tuple[float, tuple]]:
+        """Probability and evidence of each text."""
+        out = []
+        for vote, evidence in self.votes([self.counts(raw) for raw in raws]):
+            if self.knots is not None:
+                vote = float(np.interp(vote, *self.knots))
+            out.append((min(1.0, max(0.0, vote)), evidence))
+        return out
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -283,9 +326,9 @@ def fit(
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = []
-            for y, weight, terms_, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
-                got.append(shared.value.vote(dict(zip(terms_, n)), (weight * y, weight * (1 - y)))[0])
+            y, weight, terms_, n = (batch.column(k).to_pylist() for k in (1, 2, 3, 4))
+            counts = [dict(zip(t, m)) for t, m in zip(terms_, n)]
+            got = [v for v, _ in shared.value.votes(counts, [(w * b, w * (1 - b)) for w, b in zip(weight, y)])]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column(1), batch.column(2)], ["v", "y", "w"])
 
     bins = (
@@ -315,7 +358,7 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shared.value.score(raw) for raw in raw_texts(batch.column(1))]
+            got = shared.value.scores(raw_texts(batch.column(1)))
             evidence = [[{"example": i, "similarity": s} for i, s in e] for _, e in got]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, EVIDENCE)],
@@ -334,6 +377,7 @@ def keep_below(docs: DataFrame, model: Model, threshold: float, *, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(r)[0] < threshold for r in raw_texts(batch.column(place))], pa.bool_()))
+            below = [s < threshold for s, _ in shared.value.scores(raw_texts(batch.column(place)))]
+            yield batch.filter(pa.array(below, pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))

@@ -132,11 +132,10 @@ def test_nearest_examples_are_exact():
         v[by_name[name][3]] = by_name[name][4]
         dense.append(v)
     dense = np.array(dense)
-    for _ in range(50):
-        terms, weight = model.vector({int(t): 1 for t in rng.choice(40, 4, replace=False)})
+    queries = [model.vector({int(t): 1 for t in rng.choice(40, 4, replace=False)}) for _ in range(50)]
+    for (terms, weight), (at, sims) in zip(queries, model.nearest(queries)):
         q = np.zeros(40)
         q[terms] = weight
-        at, sims = model.nearest(terms, weight)
         assert np.allclose(np.sort(dense @ q)[::-1][: len(sims)], sims) and np.allclose(dense[at] @ q, sims)
 
 
