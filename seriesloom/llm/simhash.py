@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -310,12 +310,12 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, tab
 
 
 def wide_links(nodes: DataFrame, *, bits: int = WIDE_BITS, block: int = BLOCK) -> DataFrame:
-    """Rows (u, v): links between nodes (a, b, keys) that share a key and differ in at most ``bits`` of 128 bits.
+    """Rows (u, v): labels of nodes (a, b, label, keys) that share a key and differ in at most ``bits`` of 128 bits.
 
-    Per key a spanning forest of the links is kept; crowded keys are cut into
-    blocks as in ``links``.
+    Per key a spanning forest of the links is kept, without those between equal
+    labels; crowded keys are cut into blocks as in ``links``.
     """
-    rows = nodes.select("a", "b", F.explode("keys").alias("key"))
+    rows = nodes.select("a", "b", "label", F.explode("keys").alias("key"))
     crowded = save(
         rows.groupBy("key").count().where(F.col("count") > block)
         .select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")),
@@ -327,15 +327,19 @@ def wide_links(nodes: DataFrame, *, bits: int = WIDE_BITS, block: int = BLOCK) -
         lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own),
     )
     rows = rows.join(crowded, "key", "left").select(
-        "key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(every)).alias("part"), "a", "b"
+        "key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(every)).alias("part"),
+        "a", "b", "label",
     )
 
-    def linked(key: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    def linked(key: np.ndarray, sig: np.ndarray, label: np.ndarray) -> np.ndarray:
         cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
         start = np.concatenate([[0], cut, [len(sig)]])
         out = []
         for r in np.flatnonzero(np.diff(start) > 1):
-            some = np.unique(sig[start[r] : start[r + 1]], axis=0)
+            run = slice(start[r], start[r + 1])
+            if (label[run] == label[start[r]]).all():
+                continue
+            some, names = sig[run], label[run]
             left = np.arange(len(some))
             while left.size > 1:
                 stack, left = [left[0]], left[1:]
@@ -344,37 +348,49 @@ def wide_links(nodes: DataFrame, *, bits: int = WIDE_BITS, block: int = BLOCK) -
                     close = np.bitwise_count(some[left] ^ some[u]).sum(axis=1, dtype=np.int64) <= bits
                     if close.any():
                         hit, left = left[close], left[~close]
-                        out.append(np.hstack([np.tile(some[u], (hit.size, 1)), some[hit]]))
+                        new = np.unique(names[hit][names[hit] != names[u]])
+                        out.append(np.stack([np.full(new.size, names[u]), new], axis=1))
                         stack.extend(hit.tolist())
-        return np.unique(np.concatenate(out), axis=0).view(np.int64) if out else np.empty((0, 4), np.int64)
+        return np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.empty((0, 2), np.int64)
 
     def batch_of(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a1", "b1", "a2", "b2"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sig = np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64)
+        key, sig, label = np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64), np.empty(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [c.to_numpy() for c in batch.columns]
             key = np.concatenate([key, np.stack(columns[:2], axis=1)])
-            sig = np.concatenate([sig, np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)])
+            sig = np.concatenate([sig, np.stack([c.view(np.uint64) for c in columns[2:4]], axis=1)])
+            label = np.concatenate([label, columns[4]])
             last = np.flatnonzero((key != key[-1]).any(axis=1))
             whole = last[-1] + 1 if last.size else 0  # the last run may go on
             if whole:
-                yield batch_of(linked(key[:whole], sig[:whole]))
-                key, sig = key[whole:], sig[whole:]
+                yield batch_of(linked(key[:whole], sig[:whole], label[:whole]))
+                key, sig, label = key[whole:], sig[whole:], label[whole:]
         if len(sig):
-            yield batch_of(linked(key, sig))
+            yield batch_of(linked(key, sig, label))
 
     return (
         rows.withColumn("part", F.col("part").cast("bigint"))
         .repartition(shuffle_partitions(nodes.sparkSession), "key", "part").sortWithinPartitions("key", "part")
-        .mapInArrow(run, "a1 bigint, b1 bigint, a2 bigint, b2 bigint")
-        .select(F.xxhash64("a1", "b1").alias("u"), F.xxhash64("a2", "b2").alias("v"))
+        .mapInArrow(run, "u bigint, v bigint")
     )
 
 
+def _of_first(key: Column) -> Column:
+    """Whether a key belongs to the first fingerprint: the others have their number in bits 48 to 55."""
+    return (key < (1 << 48)) | (key >= (1 << 56))
+
+
+def _joined(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """The nodes with their label replaced by the smallest it reaches."""
+    comp = save(comp, "groups").select(F.col("node").alias("label"), F.col("component").alias("low"))
+    return nodes.join(comp, "label", "left").select("a", "b", F.coalesce("low", "label").alias("label"), "keys")
+
+
 def keep_one(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = TABLES,
     bits: int = WIDE_BITS,
@@ -390,10 +406,14 @@ def keep_one(
     """
     own = save(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle, tables=tables), "signatures")
     nodes = own.groupBy("a", "b").agg(F.min_by("keys", F.struct("id", "th")).alias("keys"))
-    comp = save(components(wide_links(nodes, bits=bits)), "groups")
-    named = own.select("id", "th", F.xxhash64("a", "b").alias("node")).join(comp, "node", "left")
+    nodes = save(nodes.withColumn("label", F.xxhash64("a", "b")), "nodes")
+    # The first fingerprint joins most of a large group, so the others hardly repeat its links.
+    for mine in (_of_first, lambda k: ~_of_first(k)):
+        asked = nodes.withColumn("keys", F.filter("keys", mine))
+        nodes = save(_joined(nodes, components(wide_links(asked, bits=bits))), "nodes")
+    named = own.join(nodes.select("a", "b", "label"), ["a", "b"]).select("id", "th", "label")
     best = (
-        named.groupBy(F.coalesce("component", "node").alias("c"))
+        named.groupBy("label")
         .agg(F.min(F.struct(F.col("id").isNull().alias("k0"), F.coalesce("id", F.lit(0)).alias("k1"), F.col("th").alias("k2"))).alias("best"))
         .select("best.*")
     )
