@@ -17,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seriesloom.llm.tables import in_ranges, open_fs, save, shuffle_partitions
+from seriesloom.llm.text import raw_texts
 from seriesloom.session import new_table_path
 
 # Fixed values of the zstandard seekable format.
@@ -44,13 +46,30 @@ CACHE = 600_000
 FILES = "bucket int, path string, docs bigint, tokens bigint"
 
 
+def byte_letters() -> list[str]:
+    """The character a byte-level vocabulary writes for each byte: itself if it is visible Latin-1, else the next free one from 256."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+# White space other than single spaces and line ends; U+20xx is looked at again, it holds quotes too.
+ODD = (
+    b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85",
+    b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80",
+)
+MARKS = ".,;:!?|#$%&*"
+
+
 class Encoder:
-    """Ids of texts as packed 32-bit numbers, with the library's result.
+    """Ids of UTF-8 texts as packed 32-bit numbers, with the library's result.
 
     A byte-level tokenizer of this kind never joins a word to the single space
     after it, so a text falls into pieces at single spaces between other
     characters, and at single line ends.  The library encodes each distinct
-    piece once; a bounded table keeps the results.
+    piece once; a bounded table keeps the results.  A piece of letters and marks
+    behind them is a word and a run of marks to the tokenizer, so these are
+    looked up by themselves, and a word goes straight to the library's model.
     """
 
     def __init__(self, path: str, end_id: int | None = 0, special_as_text: bool = True) -> None:
@@ -59,9 +78,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.first: dict[str, bytes] = {}  # pieces at a line's start
-        self.later: dict[str, bytes] = {}  # pieces after a space, without it
+        self.first = Pieces(self, "")  # pieces at a line's start
+        self.later = Pieces(self, " ")  # pieces after a space, without it
+        self.marks: dict[str, bytes] = {}
         self.newline = self._encode(["\n"])[0]
         self.cut = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
@@ -72,43 +94,74 @@ class Encoder:
         cuts = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(texts) + 1)).tolist()
         return [ids[4 * a : 4 * z] for a, z in zip(cuts, cuts[1:])]
 
-    def _learn(self, first: list[str], later: list[str]) -> None:
-        new = [p for p in set(first) if p not in self.first]
-        more = [p for p in set(later) if p not in self.later]
-        if len(self.first) + len(self.later) + len(new) + len(more) > CACHE:
-            self.first.clear()
-            self.later.clear()
-            new, more = list(set(first)), list(set(later))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.first.update(zip(part, self._encode(part)))
-        for at in range(0, len(more), 4096):
-            part = more[at : at + 4096]
-            self.later.update(zip(part, self._encode([" " + p for p in part])))
-
-    def __call__(self, text: str) -> bytes:
-        lines = [line.split(" ") for line in text.split("\n")]
-        if [p for line in lines for p in line] == text.split():
-            heads, rest = [line[0] for line in lines], [p for line in lines for p in line[1:]]
-        else:  # other white space, or runs of it
-            lines, heads, rest = None, self.cut.split(text) if text else [], []
-        try:
-            return self._join(lines, heads)
-        except KeyError:
-            self._learn(heads, rest)
-            return self._join(lines, heads)
-
-    def _join(self, lines: list[list[str]] | None, heads: list[str]) -> bytes:
-        if lines is None:
-            return b"".join(map(self.first.__getitem__, heads)) + self.end
+    def _word(self, word: str) -> bytes:
+        """Ids of letters only, with one space before them or none: one word to the tokenizer."""
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        elif word[0] == " ":
+            word = self.letters[32] + word[1:]
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def piece(self, raw: bytes, space: str) -> bytes:
+        """Ids of a piece with what stands before it."""
+        text = raw.decode()
+        core = text.rstrip(MARKS)
+        if not core.isalpha():
+            return self._encode([space + text])[0]
+        ids, tail = self._word(space + core), text[len(core) :]
+        if not tail:
+            return ids
+        if tail not in self.marks:
+            if len(self.marks) >= CACHE:
+                self.marks.clear()
+            self.marks[tail] = self._encode([tail])[0]
+        return ids + self.marks[tail]
+
+    def _odd(self, raw: bytes) -> bool:
+        """Whether there is white space other than single spaces and line ends between other characters."""
+        if raw[0] in b" \n" or raw[-1] in b" \n":
+            return True
+        if not any(c in raw for c in ODD):
+            return False
+        text = raw.decode()
+        return [p for line in text.split("\n") for p in line.split(" ")] != text.split()
+
+    def __call__(self, raw: bytes) -> bytes:
+        if not raw:
+            return self.end
+        if self._odd(raw):
+            pieces = [p.encode() for p in self.cut.split(raw.decode())]
+            return b"".join(map(self.first.__getitem__, pieces)) + self.end
         first, later, out = self.first, self.later.__getitem__, []
-        for line in lines:
+        for line in raw.split(b"\n"):
+            words = line.split(b" ")
             out.append(self.newline)
-            out.append(first[line[0]])
-            out += map(later, line[1:])
+            out.append(first[words[0]])
+            out += map(later, words[1:])
         return b"".join(out[1:]) + self.end
 
 
+class Pieces(dict):
+    """Ids by piece, filled as pieces are asked for, emptied when it is full."""
+
+    def __init__(self, encoder: Encoder, space: str) -> None:
+        super().__init__()
+        self.encode, self.space = encoder.piece, space
+
+    def __missing__(self, raw: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self[raw] = self.encode(raw, self.space)
+        return ids
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str, end_id: int | None, special_as_text: bool = True) -> Encoder:
+    """One encoder for all tasks of a worker process, so that its table of pieces stays warm."""
+    return Encoder(path, end_id, special_as_text)
+
+
 class FileWriter:
     """Writes one token file; keeps a frame and the tables in memory."""
 
@@ -203,7 +256,8 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
-        encoder, writer, bucket, name = None, None, None, ""
+        encoder = encoder_of(tokenizer, end_id)
+        writer, bucket, name = None, None, ""
 
         def close() -> pa.RecordBatch:
             writer.close()
@@ -213,8 +267,7 @@ def write_token_files(
             )
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, end_id)
-            for b, ident, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+            for b, ident, text in zip(*(batch.column(k).to_pylist() for k in (0, 2)), raw_texts(batch.column(3))):
                 if b != bucket:
                     if writer is not None:
                         yield close()

@@ -196,8 +196,8 @@ def test_encoder_equals_the_library_on_odd_spacing():
 
     library, encoder = Tokenizer.from_file(tokenizer_path()), tokens.Encoder(tokenizer_path())
     library.encode_special_tokens = True
-    bits = ["foo", " ", "  ", "\n", "\t", ".", "é", "世界", " ", " ", "'s", "1", "<|endoftext|>", "\r", "\x1c", "🙂"]
+    bits = ["foo", " ", "  ", "\n", "\t", ".", "é", "世界", " ", " ", "'s", "1", "<|endoftext|>", "\r", "\x1c", "🙂", "word,", "é.!", "the", "’", "ſ", "½"]
     rng = random.Random(5)
     for _ in range(1500):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(encoder(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
+        assert np.frombuffer(encoder(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
