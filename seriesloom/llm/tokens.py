@@ -42,7 +42,7 @@ DOC = struct.Struct("<qBIIQ")  # id, 1 if the id is null, frame, first token in
 DOC_TAIL = struct.Struct("<I")
 
 FRAME_TOKENS = 1 << 16
-CACHE = 600_000
+CACHE = 100_000  # pieces in a table; there are two tables of each kind
 FILES = "bucket int, path string, docs bigint, tokens bigint"
 
 
@@ -143,16 +143,24 @@ class Encoder:
 
 
 class Pieces(dict):
-    """Ids by piece, filled as pieces are asked for, emptied when it is full."""
+    """Ids by piece, filled as pieces are asked for.
+
+    A full table becomes the older one and is filled anew; what is asked for
+    again comes over from the older, so rare pieces go and frequent ones stay.
+    """
 
     def __init__(self, encoder: Encoder, space: str) -> None:
         super().__init__()
-        self.encode, self.space = encoder.piece, space
+        self.encode, self.space, self.older = encoder.piece, space, {}
 
     def __missing__(self, raw: bytes) -> bytes:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        ids = self[raw] = self.encode(raw, self.space)
+        ids = self.older.get(raw)
+        if ids is None:
+            ids = self.encode(raw, self.space)
+        self[raw] = ids
         return ids
 
 

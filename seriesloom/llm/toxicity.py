@@ -40,7 +40,7 @@ LEAST_CHI = 15.0  # far above chance for the many candidate terms
 BINS = 40
 NEAR = 0.05  # keeps the weight of an equal vector finite
 SHRINK = 2.0  # examples' worth of the base rate in each vote
-CACHED = 400_000
+CACHED = 100_000
 
 
 def features_of(word: bytes) -> list[bytes]:
