@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -258,172 +259,199 @@ def near_duplicates(
     return rows.join(of, "fp").select("id", "fp", "component_id")
 
 
-# --- wider groups: several fingerprints ------------------------------------
+# --- near copies by resemblance ---------------------------------------------
 
-TABLES = 20  # fingerprints from independent hashes
-WIDE_BITS = 24  # of the 128 bits of the first two; about a resemblance of 0.75
+RESEMBLANCE = 0.8  # common distinct shingles over all distinct shingles of the two
+BANDS, ROWS = 32, 5  # a pair of resemblance s meets in no band with probability (1 - s^5)^32: 3.0e-6 at 0.8
+PHASES = (2, 6, 24)  # bands asked one after another, so that later ones hardly repeat links
+AGREE = 96  # of the 160 minima, at least; a pair of resemblance 0.8 has fewer with probability 2e-9
+RUN_ROWS, RUN_BYTES = 1024, 16_000_000  # of one key, compared in one task
+_MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-def rehash(hashes: np.ndarray, table: int) -> np.ndarray:
-    """An independent hash of each hash; table 0 is the hash itself."""
-    if not table:
-        return hashes
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """Smallest product of any hash with each multiplier: two sets agree in each with the probability of their resemblance."""
+    best = np.full(len(_MULTIPLIERS), np.uint64(0xFFFFFFFFFFFFFFFF))
     with np.errstate(over="ignore"):
-        h = hashes ^ np.uint64(table * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+        for at in range(0, len(hashes), 512):  # stays in the cache
+            np.minimum(best, (_MULTIPLIERS[:, None] * hashes[None, at : at + 512]).min(axis=1), out=best)
+    return best
 
 
-def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
-    """Rows (id, th, a, b, keys): hash of the text, the first two fingerprints, and the keys of all."""
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Exact, of two sorted arrays of distinct hashes; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - both
+    return both / total if total else 1.0
+
+
+def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Rows (id, th, node, size, sig, keys): hash of the text, 128-bit hash of its shingle set, bytes of the text,
+    a byte of each minimum, and a key of each band.  No word: no keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((batch.num_rows, tables), np.uint64)
-            for k, raw in enumerate(raw_texts(batch.column(1))):
-                hashes = shingle_hashes(words(raw), shingle)
-                if len(hashes):
-                    for t in range(tables):
-                        found[k, t] = simhash(rehash(hashes, t))
-            if not batch.num_rows:
-                continue
-            rows, keys = keys_of(found[:, 0])
-            rows, keys = [rows], [keys]
-            for t in range(1, tables):
-                for k, (lo, width) in enumerate(SEGMENTS):
-                    part = (found[:, t] >> np.uint64(lo)) & np.uint64((1 << width) - 1)
-                    rows.append(np.arange(batch.num_rows))
-                    keys.append(part.astype(np.int64) | (6 + 3 * t + k) << 48)
-            rows, keys = np.concatenate(rows), np.concatenate(keys)
-            order = np.argsort(rows, kind="stable")
-            first = np.searchsorted(rows[order], np.arange(batch.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(keys[order]))
+            nodes, sizes, sigs, keys = [], [], [], []
+            for raw in raw_texts(batch.column(1)):
+                hashes = np.unique(shingle_hashes(words(raw), shingle))
+                nodes.append(xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()))
+                sizes.append(len(raw))
+                best = minima(hashes)
+                sigs.append((best & np.uint64(0xFF)).astype(np.uint8).tobytes())
+                bands = best.astype("<u8").reshape(BANDS, ROWS)
+                keys.append([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)] if len(hashes) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64)),
-                 pa.array(np.ascontiguousarray(found[:, 1]).view(np.int64)), lists], ["id", "th", "a", "b", "keys"],
+                [batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
+                 pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "th", "node", "size", "sig", "keys"],
             )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(
-        run, "id bigint, th bigint, a bigint, b bigint, keys array<bigint>"
+        run, "id bigint, th bigint, node binary, size bigint, sig binary, keys array<bigint>"
     )
 
 
-def wide_links(nodes: DataFrame, *, bits: int = WIDE_BITS, block: int = BLOCK) -> DataFrame:
-    """Rows (u, v): labels of nodes (a, b, label, keys) that share a key and differ in at most ``bits`` of 128 bits.
+def linked(labels: np.ndarray, sigs: np.ndarray, texts: list[bytes], shingle: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of labels that connect all rows of resemblance ``least`` or more; equal labels are connected before."""
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = np.unique(shingle_hashes(words(texts[k]), shingle))
+        return sets[k]
 
-    Per key a spanning forest of the links is kept, without those between equal
-    labels; crowded keys are cut into blocks as in ``links``.
+    out, left = [], np.arange(len(labels))
+    while left.size > 1:
+        stack, left = [int(left[0])], left[1:]
+        while stack and left.size:
+            u = stack.pop()
+            close = labels[left] == labels[u]
+            maybe = ~close & (np.count_nonzero(sigs[left] == sigs[u], axis=1) >= AGREE)
+            new = set()
+            for k in np.flatnonzero(maybe).tolist():
+                v = int(left[k])
+                if labels[v] in new:
+                    close[k] = True  # comes with another of its label
+                elif resemblance(set_of(u), set_of(v)) >= least:
+                    close[k] = True
+                    new.add(labels[v])
+                    out.append((int(labels[u]), int(labels[v])))
+            stack.extend(left[close].tolist())
+            left = left[~close]
+    return out
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, least: float) -> DataFrame:
+    """Rows (u, v): labels of nodes (node, label, size, sig, keys) that share a key and have the resemblance.
+
+    Each is compared with the other on all shingles of both texts (node, text).
+    Only keys that two labels share are looked at.  Per key a spanning forest of
+    the links is kept; crowded keys are cut into blocks as in ``links``.
     """
-    rows = nodes.select("a", "b", "label", F.explode("keys").alias("key"))
-    crowded = save(
-        rows.groupBy("key").count().where(F.col("count") > block)
-        .select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")),
-        "crowded",
+    rows = nodes.select("node", "label", "size", F.explode("keys").alias("key"))
+    shared = save(
+        rows.groupBy("key").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes")
+        ).where("lo < hi").select(
+            "key", F.ceil(F.greatest(F.col("n") / RUN_ROWS, F.col("bytes") / RUN_BYTES)).cast("int").alias("blocks")
+        ), "shared-keys",
     )
-    own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own),
+        lambda k: F.least(k, own).cast("bigint") * F.col("blocks") + F.greatest(k, own),
     )
-    rows = rows.join(crowded, "key", "left").select(
-        "key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(every)).alias("part"),
-        "a", "b", "label",
+    # A row per node with the places it is asked at, so a text is joined once.
+    asked = rows.join(shared, "key").select("node", F.struct("key", every.alias("parts")).alias("place"))
+    asked = asked.groupBy("node").agg(F.collect_list("place").alias("places"))  # at most one for each band
+    found = asked.join(nodes.select("node", "label", "sig"), "node").join(texts, "node")
+    found = found.select("label", "sig", "text", F.explode("places").alias("place")).select(
+        F.col("place.key").alias("key"), F.explode("place.parts").alias("part"), "label", "sig", "text"
     )
 
-    def linked(key: np.ndarray, sig: np.ndarray, label: np.ndarray) -> np.ndarray:
-        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        start = np.concatenate([[0], cut, [len(sig)]])
-        out = []
-        for r in np.flatnonzero(np.diff(start) > 1):
-            run = slice(start[r], start[r + 1])
-            if (label[run] == label[start[r]]).all():
-                continue
-            some, names = sig[run], label[run]
-            left = np.arange(len(some))
-            while left.size > 1:
-                stack, left = [left[0]], left[1:]
-                while stack and left.size:
-                    u = stack.pop()
-                    close = np.bitwise_count(some[left] ^ some[u]).sum(axis=1, dtype=np.int64) <= bits
-                    if close.any():
-                        hit, left = left[close], left[~close]
-                        new = np.unique(names[hit][names[hit] != names[u]])
-                        out.append(np.stack([np.full(new.size, names[u]), new], axis=1))
-                        stack.extend(hit.tolist())
-        return np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.empty((0, 2), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, labels, sigs, raws = None, [], [], []
 
-    def batch_of(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], ["u", "v"])
+        def links_of() -> pa.RecordBatch:
+            table = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+            pairs = linked(np.array(labels, np.int64), table, raws, shingle, least)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], ["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sig, label = np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64), np.empty(0, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy() for c in batch.columns]
-            key = np.concatenate([key, np.stack(columns[:2], axis=1)])
-            sig = np.concatenate([sig, np.stack([c.view(np.uint64) for c in columns[2:4]], axis=1)])
-            label = np.concatenate([label, columns[4]])
-            last = np.flatnonzero((key != key[-1]).any(axis=1))
-            whole = last[-1] + 1 if last.size else 0  # the last run may go on
-            if whole:
-                yield batch_of(linked(key[:whole], sig[:whole], label[:whole]))
-                key, sig, label = key[whole:], sig[whole:], label[whole:]
-        if len(sig):
-            yield batch_of(linked(key, sig, label))
-
-    return (
-        rows.withColumn("part", F.col("part").cast("bigint"))
-        .repartition(shuffle_partitions(nodes.sparkSession), "key", "part").sortWithinPartitions("key", "part")
-        .mapInArrow(run, "u bigint, v bigint")
+            for key, part, label, sig, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), raw_texts(batch.column(4))):
+                if group is not None and group != (key, part):
+                    yield links_of()
+                    labels, sigs, raws = [], [], []
+                group = (key, part)
+                labels.append(label)
+                sigs.append(sig)
+                raws.append(raw)
+        if raws:
+            yield links_of()
+
+    return found.repartition(shuffle_partitions(nodes.sparkSession), "key", "part").sortWithinPartitions("key", "part").mapInArrow(
+        run, "u bigint, v bigint"
     )
 
 
-def _of_first(key: Column) -> Column:
-    """Whether a key belongs to the first fingerprint: the others have their number in bits 48 to 55."""
-    return (key < (1 << 48)) | (key >= (1 << 56))
-
-
 def _joined(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     """The nodes with their label replaced by the smallest it reaches."""
     comp = save(comp, "groups").select(F.col("node").alias("label"), F.col("component").alias("low"))
-    return nodes.join(comp, "label", "left").select("a", "b", F.coalesce("low", "label").alias("label"), "keys")
+    return nodes.join(comp, "label", "left").select("node", "size", "sig", "keys", F.coalesce("low", "label").alias("label"))
 
 
 def keep_one(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = TABLES,
-    bits: int = WIDE_BITS,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = RESEMBLANCE,
 ) -> DataFrame:
     """The documents, all columns, one of each group of near copies.
 
-    Two documents are linked when one of several fingerprints brings them
-    together (the first through all its Golay keys, the others through equal
-    segments) and they differ in at most ``bits`` of the 128 bits of the first
-    two.  Of a group the smallest id stays, of equal ids the text with the
-    smallest hash, of equal rows one; null ids stay only where a group has no
-    other.  Wordless documents are one group.
+    Two documents are linked when their sets of shingles have the resemblance
+    ``least`` or more, computed from all shingles of both.  Candidates are
+    texts that agree in all minima of some band, so a pair of resemblance 0.8
+    is missed with a probability of 3.0e-6, one above with less; ``least`` below
+    0.8 is refused, as that is not so there.  A group is what links connect.
+    Of a group the smallest id stays, of equal ids the text with the smallest
+    hash, of equal rows one; null ids stay only where a group has no other.
+    Wordless documents are one group.
     """
-    own = save(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle, tables=tables), "signatures")
-    nodes = own.groupBy("a", "b").agg(F.min_by("keys", F.struct("id", "th")).alias("keys"))
-    nodes = save(nodes.withColumn("label", F.xxhash64("a", "b")), "nodes")
-    # The first fingerprint joins most of a large group, so the others hardly repeat its links.
-    for mine in (_of_first, lambda k: ~_of_first(k)):
-        asked = nodes.withColumn("keys", F.filter("keys", mine))
-        nodes = save(_joined(nodes, components(wide_links(asked, bits=bits))), "nodes")
-    named = own.join(nodes.select("a", "b", "label"), ["a", "b"]).select("id", "th", "label")
-    best = (
-        named.groupBy("label")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("k0"), F.coalesce("id", F.lit(0)).alias("k1"), F.col("th").alias("k2"))).alias("best"))
-        .select("best.*")
-    )
-    kept = save(best.withColumnsRenamed({"k0": "dedup_null", "k1": "dedup_id", "k2": "dedup_th"}), "kept")
+    if least < RESEMBLANCE:
+        raise ValueError("the bands are made for a resemblance of 0.8 or more")
+    own = save(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle), "signatures")
     ident = F.col(id_col).cast("bigint")
     rows = docs.withColumn("dedup_null", ident.isNull()).withColumn("dedup_id", F.coalesce(ident, F.lit(0))).withColumn(
         "dedup_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     )
-    same = Window.partitionBy("dedup_null", "dedup_id", "dedup_th").orderBy("dedup_th")
+    first = F.struct(
+        F.col("id").isNull().alias("dedup_null"), F.coalesce("id", F.lit(0)).alias("dedup_id"), F.col("th").alias("dedup_th"),
+        "size", "sig", "keys",
+    )
+    nodes = save(own.groupBy("node").agg(F.min(first).alias("first")).select("node", "first.*"), "nodes")
+    # Only nodes that share a key with another go on, each with one of its texts.
+    keys = nodes.select("node", F.explode("keys").alias("key"))
+    several = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    some = save(nodes.join(keys.join(several, "key").select("node").distinct(), "node"), "candidates")
+    place = ["dedup_null", "dedup_id", "dedup_th"]
+    texts = save(
+        rows.select(*place, F.col(text_col).alias("text")).join(some.select("node", *place), place)
+        .groupBy("node").agg(F.any_value("text").alias("text")), "candidate-texts",
+    )
+    some = some.select("node", "size", "sig", "keys", F.xxhash64("node").alias("label"))
+    start = 0
+    for width in PHASES:
+        asked = some.withColumn("keys", F.slice("keys", start + 1, width))
+        some = save(_joined(some, components(near_links(asked, texts, shingle=shingle, least=least))), "nodes")
+        start += width
+    named = own.select("id", "th", "node").join(some.select("node", "label"), "node", "left").select(
+        "id", "th", F.coalesce("label", F.xxhash64("node")).alias("label")
+    )
+    best = (
+        named.groupBy("label")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("dedup_null"), F.coalesce("id", F.lit(0)).alias("dedup_id"), F.col("th").alias("dedup_th"))).alias("best"))
+        .select("best.*")
+    )
+    kept = save(best, "kept")
+    same = Window.partitionBy(*place).orderBy("dedup_th")
     return (
-        rows.join(kept, ["dedup_null", "dedup_id", "dedup_th"]).withColumn("dedup_n", F.row_number().over(same))
+        rows.join(kept, place).withColumn("dedup_n", F.row_number().over(same))
         .where("dedup_n = 1").select(*docs.columns)
     )

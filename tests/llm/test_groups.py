@@ -106,6 +106,34 @@ def test_keep_one_against_brute_force(spark):
     assert kept >= {k for k in range(0, len(docs), 4)}  # the first of each group
 
 
+def test_keep_one_at_the_edge_of_the_resemblance(spark):
+    """400 isolated pairs of known resemblance: from 0.8 on one goes, below both stay."""
+    def resemblance(a, b):
+        a, b = (set(shingle_hashes(words(t.encode()), 5).tolist()) for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    docs, alike = [], []
+    for k in range(400):
+        base = [f"p{k}w{j}" for j in range(301)]  # 297 shingles; 33 of them changed are a resemblance of exactly 0.8
+        changed = 32 + k // 4 % 3 if k % 4 == 0 else 25 + k % 60
+        other = base[: 301 - changed] + [f"p{k}x{j}" for j in range(changed)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        alike.append(resemblance(docs[-2][1], docs[-1][1]))
+    assert sum(0.8 <= a < 0.85 for a in alike) > 50 and sum(0.6 <= a < 0.8 for a in alike) > 200
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {i for k, a in enumerate(alike) for i in ((2 * k,) if a >= 0.8 else (2 * k, 2 * k + 1))}
+
+
+@pytest.mark.parametrize("rows, size", [(3, 1_000_000), (1024, 300)])
+def test_keep_one_with_crowded_keys(spark, monkeypatch, rows, size):
+    monkeypatch.setattr(simhash, "RUN_ROWS", rows)
+    monkeypatch.setattr(simhash, "RUN_BYTES", size)
+    base = [f"w{j}" for j in range(120)]
+    docs = [(k, " ".join([*base, f"end{k}"])) for k in range(20)] + [(50, " ".join(base[:60] + ["other"] * 60))]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 50]
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in entry.queries()["op4_toxic_neighbours"](spark, sf).collect()}
