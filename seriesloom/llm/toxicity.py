@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples.
 
-A text becomes a TF-IDF vector over a bounded vocabulary of words and word
-beginnings, the ones most associated with the label (chi-square) among the
-labelled examples.  Its nearest examples by cosine are found exactly in an
+A text becomes a TF-IDF vector over the words and word beginnings that are
+associated with the label (chi-square above ``LEAST_CHI``, at least ``LEAST_DF``
+examples) among the labelled examples; all of them are kept.  Its nearest examples by cosine are found exactly in an
 inverted index in blocks: each term keeps the largest weight of each block, so
 a block whose bound can't reach the k-th best similarity is never scored.  The
 neighbours vote with the inverse of their distance, and a monotone map fitted
@@ -29,7 +29,6 @@ from seriesloom.llm.tables import save
 from seriesloom.llm.text import alnum_words, raw_texts
 
 EXAMPLES = 8_000  # of each label
-TERMS = 512
 PREFIXES = (4, 5, 6)  # bytes of a word's beginning
 NEIGHBOURS = 15
 BLOCK = 64
@@ -57,10 +56,13 @@ class Model:
     terms: dict[bytes, int]
     idf: np.ndarray
     prior: float  # probability without any known term
-    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of a term's postings in a block
-    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # postings by block and term: example
+    blocks: int = 0
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # lists by block and term, none empty: block,
+    term: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # term,
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))  # largest weight
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # and first posting
+    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # postings of the lists: example
     held: np.ndarray = field(default_factory=lambda: np.zeros(0))  # and weight
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # blocks x terms: largest weight
     pos: np.ndarray = field(default_factory=lambda: np.zeros(0))
     neg: np.ndarray = field(default_factory=lambda: np.zeros(0))
     named: list[int] = field(default_factory=list)  # an example of each vector
@@ -69,10 +71,9 @@ class Model:
 
     def __post_init__(self) -> None:
         self._words: dict[bytes, tuple[int, ...]] = {}
-        self._tables: dict[int, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_words": {}, "_tables": {}}  # filled anew in each process
+        return {**self.__dict__, "_words": {}}  # filled anew in each process
 
     def counts(self, raw: bytes) -> dict[int, int]:
         """Term counts of a text."""
@@ -104,53 +105,63 @@ class Model:
         vectors = list(merged.values())
         self.named, self.vectors = [v[0] for v in vectors], [(v[3], v[4]) for v in vectors]
         self.pos, self.neg = np.array([v[1] for v in vectors]), np.array([v[2] for v in vectors])
-        blocks, width = -(-len(vectors) // BLOCK), len(self.terms)
-        self.most = np.zeros((blocks, width))
+        self.blocks, width = -(-len(vectors) // BLOCK), max(1, len(self.terms))
         size = [len(v[3]) for v in vectors]
         example = np.repeat(np.arange(len(vectors)), size)
         term = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([v[4] for v in vectors]) if vectors else np.zeros(0)
-        np.maximum.at(self.most, (example // BLOCK, term), weight)
         list_of = example // BLOCK * width + term
         order = np.argsort(list_of, kind="stable")
         self.at, self.held = example[order], weight[order]
-        self.first = np.searchsorted(list_of[order], np.arange(blocks * width + 1))
-
-    def _group(self, g: int) -> np.ndarray:
-        """Postings of GROUP neighbouring blocks as a table of examples by terms, kept for the next queries."""
-        if g not in self._tables:
-            width, blocks = len(self.terms), len(self.most)
-            lists = np.arange(g * GROUP * width, min((g + 1) * GROUP, blocks) * width)
-            lo, hi = self.first[lists[0]], self.first[lists[-1] + 1]
-            term = np.repeat(lists % width, self.first[lists + 1] - self.first[lists])
-            table = np.zeros((min((g + 1) * GROUP, blocks) * BLOCK - g * GROUP * BLOCK, width), np.float32)
-            table[self.at[lo:hi] - g * GROUP * BLOCK, term] = self.held[lo:hi]
-            self._tables[g] = table
-        return self._tables[g]
+        lists, start = np.unique(list_of[order], return_index=True)
+        self.block, self.term = lists // width, lists % width
+        self.first = np.append(start, len(order)).astype(np.int64)
+        self.most = np.maximum.reduceat(self.held, start) if len(start) else np.zeros(0)
+
+    def _group(self, g: int, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Postings of GROUP neighbouring blocks: columns of terms that occur there, and a table of examples by these."""
+        last = min((g + 1) * GROUP, self.blocks)
+        lo, hi = np.searchsorted(self.block, [g * GROUP, last])
+        asked = column[self.term[lo:hi]]
+        columns = np.unique(asked[asked >= 0])
+        place = np.repeat(np.where(asked >= 0, np.searchsorted(columns, asked), -1), np.diff(self.first[lo : hi + 1]))
+        has = place >= 0
+        some = slice(self.first[lo], self.first[hi])
+        table = np.zeros(((last - g * GROUP) * BLOCK, len(columns)), np.float32)
+        table[self.at[some][has] - g * GROUP * BLOCK, place[has]] = self.held[some][has]
+        return columns, table
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (terms, weights) the k nearest vectors with a common term, nearest first; exact.
 
         Groups of blocks are taken by falling bound; a group is compared with
-        the queries whose bound there reaches their k-th similarity so far.  The
-        tables are of single precision, so a few more than k are kept and their
-        similarities computed anew in double precision.
+        the queries whose bound there reaches their k-th similarity so far.  Only
+        terms of the group and of some query have a column.  The tables are of
+        single precision, so a few more than k are kept and their similarities
+        computed anew in double precision.
         """
         wide = k + 8
-        dense = np.zeros((len(self.terms), len(queries)))
+        used = np.unique(np.concatenate([np.zeros(0, np.int64), *(terms for terms, _ in queries)]))
+        column = np.full(len(self.terms), -1)
+        column[used] = np.arange(len(used))
+        dense = np.zeros((len(used), len(queries)))
         for j, (terms, weight) in enumerate(queries):
-            dense[terms, j] = weight
+            dense[column[terms], j] = weight
         best = np.full((wide, len(queries)), -1.0, np.float32)
         best_at = np.zeros((wide, len(queries)), np.int64)
         if len(self.named) and queries:
-            bound = self.most @ dense
-            bound = np.maximum.reduceat(bound, np.arange(0, len(bound), GROUP), axis=0)
             single = dense.astype(np.float32)
+            most = np.zeros((self.blocks, len(used)), np.float32)
+            has = column[self.term] >= 0
+            most[self.block[has], column[self.term[has]]] = self.most[has]
+            bound = most @ single
+            bound = np.maximum.reduceat(bound, np.arange(0, len(bound), GROUP), axis=0)
             for g in np.argsort(-bound.max(axis=1), kind="stable").tolist():
                 ask = np.flatnonzero((bound[g] > 0) & (bound[g] >= best[-1] - 1e-5))
                 if not ask.size:
                     continue
-                sims = self._group(g) @ single[:, ask]
+                columns, table = self._group(g, column)
+                sims = table @ single[np.ix_(columns, ask)]
                 top = np.argpartition(-sims, min(wide, len(sims)) - 1, axis=0)[:wide]
                 both = np.concatenate([best[:, ask], np.take_along_axis(sims, top, axis=0)])
                 place = np.concatenate([best_at[:, ask], top + g * GROUP * BLOCK])
@@ -160,7 +171,8 @@ class Model:
         out = []
         for j in range(len(queries)):
             at = np.unique(best_at[:, j][best[:, j] > 0])
-            sims = np.array([self.vectors[a][1] @ dense[self.vectors[a][0], j] for a in at.tolist()])
+            whole = np.append(dense[:, j], 0.0)  # terms without a column: the 0 at the end
+            sims = np.array([self.vectors[a][1] @ whole[column[self.vectors[a][0]]] for a in at.tolist()])
             order = np.lexsort((at, -sims))[:k] if len(at) else at
             out.append((at[order], sims[order]))
         return out
@@ -236,12 +248,12 @@ def sample_of(labels: DataFrame, *, id_col: str, label_col: str, examples: int)
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    examples: int = EXAMPLES, terms: int = TERMS,
+    examples: int = EXAMPLES,
 ) -> Model:
     """Learn from labelled rows that are not held out; document frequencies come from all documents.
 
-    The driver receives the chosen terms, the vectors of the bounded sample and
-    at most ``BINS`` calibration points.
+    The driver receives the terms that pass both tests in the bounded sample,
+    the sample's vectors and at most ``BINS`` calibration points.
     """
     sample = sample_of(labels, id_col=id_col, label_col=label_col, examples=examples)
     texts = docs.select(F.col(id_col).cast("bigint").alias("sid"), F.col(text_col).alias("text"))
@@ -279,7 +291,7 @@ def fit(
     top = (
         table.where(F.col("a") + F.col("b") >= LEAST_DF)
         .withColumn("chi", F.when(spread > 0, (a * d - b * c) ** 2 * (n_pos + n_neg) / spread).otherwise(0.0))
-        .where(F.col("chi") > LEAST_CHI).orderBy(F.desc("chi"), "term").limit(terms).collect()
+        .where(F.col("chi") > LEAST_CHI).orderBy(F.desc("chi"), "term").collect()
     )
     vocabulary = {bytes(r["term"]): k for k, r in enumerate(top)}
     model = Model(vocabulary, np.ones(len(vocabulary)), 0.0)

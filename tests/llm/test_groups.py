@@ -167,6 +167,20 @@ def test_nearest_examples_are_exact():
         assert np.allclose(np.sort(dense @ q)[::-1][: len(sims)], sims) and np.allclose(dense[at] @ q, sims)
 
 
+def test_every_term_that_passes_is_kept(spark):
+    """300 toxic words make 1,200 terms; each of them alone finds toxic examples."""
+    bad = ["".join(chr(97 + k // 26**i % 26) for i in (0, 1, 2)) + "zqxv" for k in range(300)]
+    docs = [(2 * k, " ".join(bad[(30 * k + j) % 300] for j in range(60)) + f" plain{k}") for k in range(200)]
+    docs += [(2 * k + 1, f"plain{k} words of no harm") for k in range(200)]
+    docs += [(10_000 + k, w) for k, w in enumerate(bad)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in docs if i < 10_000], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels)
+    assert {b"=" + w.encode() for w in bad} <= set(model.terms) and len(model.terms) >= 1_200
+    got = {r.id: r for r in toxicity.score_documents(frame, model).collect()}
+    assert all(got[10_000 + k].evidence and got[10_000 + k].score >= 0.5 for k in range(300))
+
+
 def test_toxicity_of_tricky_and_empty_tables(tricky, empty, rows, spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (5, 0), (8, None), (None, 1), (99, 1), (1, 0)], "doc_id long, toxic int")
     got = toxicity.score_documents(tricky, toxicity.fit(tricky, labels)).collect()
