@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.llm import statements
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -142,3 +144,33 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     from seriesloom.llm.language_model import score_documents
 
     return score_documents(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_virtual_slots", statements.OP11)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.sharding import LAW, shard_documents, size_of
+
+    text = F.coalesce(F.col("record.text"), F.lit(""))
+    return shard_documents(table(spark, sf, "documents")).select(
+        F.col("record.doc_id").alias("doc_id"), size_of(F.col("record.text")).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(LAW).alias("law"), "shard",
+        F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot"),
+    )
+
+
+@query("op12_prefix_trie", statements.OP12)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.prefix_trie import prefix_trie, with_host_turns
+
+    return prefix_trie(*with_host_turns(table(spark, sf, "conversations")))
+
+
+@query("op13_integer_clusters", statements.OP13)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from seriesloom.llm.centroids import centroid_digest, cluster
+
+    rows = cluster(table(spark, sf, "embeddings"))
+    return rows.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+        centroid_digest(F.col("centroid")).alias("centroid_sha256"),
+    )
