@@ -204,9 +204,12 @@ def cluster(
     def fits(x: int | None) -> int | None:
         return x if x is not None and x <= LONGEST else None
 
-    table = spark.createDataFrame(
-        [(c, fits(sums.get(c)), fits(whole), list(map(int, now[c]))) for c in range(len(now))],
-        "cluster int, cluster_inertia bigint, inertia bigint, centroid array<bigint>",
+    table = save(
+        spark.createDataFrame(
+            [(c, fits(sums.get(c)), fits(whole), list(map(int, now[c]))) for c in range(len(now))],
+            "cluster int, cluster_inertia bigint, inertia bigint, centroid array<bigint>",
+        ),
+        "centroids",
     )
     return rows.join(table, "cluster").select("id", "cluster", "distance", "cluster_inertia", "inertia", "centroid")
 

@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.tables import shuffle_partitions
+from seriesloom.llm.tables import save, shuffle_partitions
 from seriesloom.session import new_table_path
 
 SLOTS = 4096
@@ -150,7 +150,8 @@ def write_shards(
     """
     spark = docs.sparkSession
     slots = len(current.shards)
-    table = spark.createDataFrame([(v, s) for v, s in enumerate(current.shards)], "slot bigint, shard int")
+    # Written, so that its size is known and the join need not shuffle the records.
+    table = save(spark.createDataFrame([(v, s) for v, s in enumerate(current.shards)], "slot bigint, shard int"), "slot-map")
     rows = docs.select(
         slot_of(F.col(id_col), F.col(text_col), slots).alias("slot"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
     ).join(table, "slot")
@@ -176,8 +177,11 @@ def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
         before.setdefault(r["part"], at)
         starts.setdefault(r["shard"], at)
         at += r["count"]
-    firsts = spark.createDataFrame(
-        [(r["part"], r["shard"], before[r["part"]] - starts[r["shard"]]) for r in found], "part bigint, shard int, first bigint"
+    firsts = save(
+        spark.createDataFrame(
+            [(r["part"], r["shard"], before[r["part"]] - starts[r["shard"]]) for r in found], "part bigint, shard int, first bigint"
+        ),
+        "shard-firsts",
     )
     row = F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
     return files.join(firsts, ["part", "shard"]).select("shard", "slot", (F.col("first") + row).alias("place"), "record")
