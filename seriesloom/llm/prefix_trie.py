@@ -108,7 +108,8 @@ def runs(rows: DataFrame, order: list, keep: str) -> DataFrame:
 
     ``keep`` is the schema of the columns to return, ``key`` and ``chars`` (bigint) among
     them; RUN is added.  Rows are dealt by ranges of (key, order), so a run can
-    span many tasks; what came before a task's first run is added afterwards,
+    span many tasks; a sample of these columns reaches the driver, so they must
+    be short.  What came before a task's first run is added afterwards,
     from one row per task.  The result is a written table.
     """
     names = [c.split()[0] for c in keep.split(", ")]
@@ -342,7 +343,7 @@ def prefix_trie(
 ) -> DataFrame:
     """Rows (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256), one per node.
 
-    Turns are ordered by ``turn_col``, null first; equal numbers by content.  A
+    Turns are ordered by ``turn_col``, null first; equal numbers by `turn_digest`.  A
     null role or text is empty.  Turns without a conversation's id belong to
     none.  ``conversations`` may name (in ``conv_col``) more conversations,
     which have no turns and end at the root; its nulls and repeats count for
@@ -435,9 +436,9 @@ def with_host_turns(conversations: DataFrame, *, hosts: int = 100, most: int = 6
     role, text = (F.coalesce(F.col(x), F.lit("")).alias(x) for x in ("role", "text"))
     rows = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("bigint").alias("key"), F.col("turn").alias("turn"), role, text
-    ).withColumn("digest", F.lit(b"")).withColumn("chars", F.lit(0).cast("bigint"))
+    ).withColumn("digest", turn_digest(F.col("role"), F.col("text"))).withColumn("chars", F.lit(0).cast("bigint"))
     numbered = save(
-        runs(rows, [F.col("turn").asc_nulls_first(), "role", "text"], "key bigint, chars bigint, role string, text string")
+        runs(rows, [F.col("turn").asc_nulls_first(), "digest"], "key bigint, chars bigint, role string, text string")
         .select(F.col("key").alias("c"), "place", "role", "text"),
         "numbered-turns",
     )

@@ -140,7 +140,7 @@ def write_shards(
     """Write every record to the folder of its shard and return the files' rows: ``shard``, ``slot``, ``place`` and ``record``.
 
     ``record`` is a struct of the input's columns, so none can clash.  Within a
-    shard records are in order of slot, id and text; ``place`` counts them from
+    shard records are in order of slot, id and a hash of the text; ``place`` counts them from
     0 without gaps.  Null ids are placed by their text, null and empty texts by
     their id; repeated rows are neighbours; an empty table gives no row.
 
@@ -155,8 +155,9 @@ def write_shards(
     rows = docs.select(
         slot_of(F.col(id_col), F.col(text_col), slots).alias("slot"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
     ).join(table, "slot")
-    order = ["shard", "slot", F.col("record")[id_col].asc_nulls_first(), F.col("record")[text_col].asc_nulls_first()]
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    # Ranges are found from a sample of these keys, which reaches the driver: no text may be among them.
+    order = ["shard", "slot", F.col("record")[id_col].asc_nulls_first(), F.xxhash64(F.col("record")[text_col])]
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, F.col("record")[text_col])
     path = f"{folder}/records-{current.version:09d}"
     numbered = dealt.withColumn("n", F.monotonically_increasing_id())
     numbered.write.partitionBy("shard").parquet(path)

@@ -34,7 +34,7 @@ OP11 = f"""
     """
 OP12 = f"""
     WITH {CRC},
-    t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+    t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i,
       coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
     ids AS (SELECT c, c - c % 100 AS host, {crc('c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c FROM t), bits),
     n AS (SELECT c AS host, count(*) AS n FROM t GROUP BY c),

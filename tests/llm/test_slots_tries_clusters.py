@@ -102,8 +102,10 @@ def ordered(rows):
     convs = defaultdict(list)
     for c, t, r, x in rows:
         if c is not None:
-            convs[c].append((t is not None, t or 0, r or "", x or ""))
-    return {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in convs.items()}
+            r, x = r or "", x or ""
+            digest = hashlib.md5(f"{len(r)}:{r}{x}".encode()).hexdigest()
+            convs[c].append((t is not None, t or 0, digest, r, x))
+    return {c: [(r, x) for *_, r, x in sorted(v)] for c, v in convs.items()}
 
 
 SCHEMA = "conv_id long, turn long, role string, text string, d long, key string, place int, last string"
