@@ -1,144 +1,37 @@
-"""Upsert, event-time windows and a streak that skips and resets."""
+"""Sources and sessions of streams; the operators are in late_windows, streaks and upserts."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from seriesloom.operators.clean import clean_rows, dedupe_observations, latest_by
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the same cluster whose streams keep state in RocksDB; the caller's settings stay."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own
 
 
 def read_event_stream(
-    spark: SparkSession, path: str, schema, *, glob: str | None = None,
+    spark: SparkSession, path: str, schema, *, glob: str | None = None, files_per_batch: int | None = None,
 ) -> DataFrame:
     """A file stream with an event-time column of type TIMESTAMP.
 
-    ``path`` is a file or a folder of part files. There is no cap on the files
-    of a batch: all files present are one batch, so the watermark moves only
-    after the whole backlog is read and no part of it counts as late.
+    ``path`` is a file or a folder of part files. Without ``files_per_batch``
+    all files present are one batch, so the watermark moves only after the
+    whole backlog is read and no part of it counts as late.
     """
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if not re.search(r"[*?\[{]", path):
         path = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a file and a folder are read alike
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-# --- upsert ----------------------------------------------------------------
-
-
-def stream_upsert(
-    stream: DataFrame, table: str, checkpoint: str, *,
-    key: Sequence[str] = ("series_id", "obs_date"), value: str = "value",
-    output_mode: str = "append",
-) -> StreamingQuery:
-    """Override by key: a later batch wins, a conflict inside a batch fails it.
-
-    Each micro-batch is written once to a folder named by its id. A batch that
-    runs again after a failure overwrites its own folder, so the result is exact,
-    and the write costs as much as the batch, not as much as the table.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        folded = dedupe_observations(batch, key=key, value=value, strict=True)
-        clean_rows(folded).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-
-    return (
-        stream.writeStream.foreachBatch(write).outputMode(output_mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
-def read_upserted(
-    spark: SparkSession, table: str, *, key: Sequence[str] = ("series_id", "obs_date")
-) -> DataFrame:
-    """The current rows: per key the one of the latest batch."""
-    return latest_by(spark.read.parquet(table), key, ["batch_id"]).drop("batch_id")
-
-
-# --- event-time windows ----------------------------------------------------
-
-
-def stream_event_windows(
-    events: DataFrame, *, key: Sequence[str], event_id: Sequence[str], value: str = "value",
-    time: str = "ts", window: str = "24 hours", slide: str | None = None,
-    lateness: str = "1 day",
-) -> DataFrame:
-    """Sums and counts per event-time window over deduplicated events.
-
-    Repeats arrive within the lateness bound; the state of both operators is
-    dropped behind the watermark. Partial sums combine before the shuffle.
-    """
-    unique = events.withWatermark(time, lateness).dropDuplicatesWithinWatermark(list(event_id))
-    span = F.window(time, window, slide) if slide else F.window(time, window)
-    return unique.groupBy(*key, span).agg(
-        F.sum(F.col(value).cast("decimal(28,6)")).alias("total"),
-        F.count(F.lit(1)).alias("events"),
-    ).select(
-        *key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        F.col("total").cast("double").alias("total"), "events",
-    )
-
-
-# --- streak ----------------------------------------------------------------
-
-STREAK_SCHEMA = "series_id string, obs_date date, amount double, skipped boolean, streak bigint"
-
-
-def stream_streak(daily: DataFrame) -> DataFrame:
-    """Streak per series over daily rows (series_id, obs_date, amount, skipped).
-
-    A skipped row leaves the streak alone, a row without a positive amount sets
-    it back to zero. A row not after the last one seen is late and is ignored.
-    Input is one row per series and day, so a batch holds few rows per series.
-    """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Streak(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("streak", "last_day date, length bigint")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator:
-            import pandas as pd
-
-            data = pd.concat(list(rows)).sort_values("obs_date")
-            last, length = self.state.get() if self.state.exists() else (None, 0)
-            out = []
-            for day, amount, skipped in zip(data["obs_date"], data["amount"], data["skipped"]):
-                if last is not None and day <= last:
-                    continue
-                last = day
-                if not skipped:
-                    length = length + 1 if amount > 0 else 0
-                out.append((key[0], day, amount, bool(skipped), length))
-            if last is not None:
-                self.state.update((last, length))
-            yield pd.DataFrame(
-                out, columns=["series_id", "obs_date", "amount", "skipped", "streak"]
-            )
-
-        def close(self) -> None:
-            pass
-
-    return daily.groupBy("series_id").transformWithStateInPandas(
-        statefulProcessor=Streak(), outputStructType=STREAK_SCHEMA, outputMode="Append",
-        timeMode="None",
-    )
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def run_to_table(
-    stream: DataFrame, table: str, checkpoint: str, *, output_mode: str = "append"
-) -> StreamingQuery:
-    """Run over the files present and append the result to a Parquet table."""
-    return (
-        stream.writeStream.format("parquet").outputMode(output_mode)
-        .option("path", table).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )

@@ -1,4 +1,4 @@
-"""Written tables, stored ledgers and streams."""
+"""Written tables and stored ledgers."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from conftest import rows
 from seriesloom.session import new_table_path
 from seriesloom.sources import landing, sinks
-from seriesloom.streaming import streams
 
 COLUMNS = ["index_date", "accession", "value"]
 
@@ -71,66 +70,3 @@ def test_landed_files_are_read_whole_or_by_line(spark, tmp_path):
     assert landing.read_documents(spark, str(tmp_path), "*.txt").first()["payload"] == "one\ntwo\n"
     assert landing.read_lines(spark, str(tmp_path), "*.txt").count() == 2
 
-
-SCHEMA = "series_id string, obs_date date, value double"
-
-
-def _land(spark, folder, name, data):
-    df = spark.createDataFrame(data, "series_id string, d string, value double").select(
-        "series_id", F.to_date("d").alias("obs_date"), "value")
-    df.coalesce(1).write.parquet(f"{folder}/{name}")
-
-
-def _upsert(spark, folder, base):
-    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/*")
-    streams.stream_upsert(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
-
-
-def test_stream_upsert_overrides_and_is_repeatable(spark):
-    base = new_table_path(spark, "up")
-    _land(spark, f"{base}/in", "1", [("a", "2024-01-01", 1.0), ("a", "2024-01-02", 2.0), ("a", "2024-01-02", 2.0)])
-    _upsert(spark, f"{base}/in", base)
-    _land(spark, f"{base}/in", "2", [("a", "2024-01-02", 5.0), ("b", "2024-01-01", None)])
-    _upsert(spark, f"{base}/in", base)
-    got = rows(streams.read_upserted(spark, f"{base}/table"), "obs_date")
-    assert [(r["series_id"], r["value"]) for r in got] == [("a", 1.0), ("a", 5.0)]
-
-
-def test_stream_upsert_fails_on_a_conflict_in_one_batch(spark):
-    base = new_table_path(spark, "upc")
-    _land(spark, f"{base}/in", "1", [("a", "2024-01-01", 1.0), ("a", "2024-01-01", 2.0)])
-    with pytest.raises(Exception, match="conflicting rows"):
-        _upsert(spark, f"{base}/in", base)
-
-
-def test_event_windows_drop_repeats_and_keep_open_windows_back(spark):
-    base = new_table_path(spark, "win")
-    data = [(1, "2024-01-01 01:00:00", 1.0), (1, "2024-01-01 01:00:00", 1.0), (2, "2024-01-01 23:00:00", 2.0), (3, "2024-01-04 00:00:00", 9.0)]
-    df = spark.createDataFrame(data, "event_id int, t string, value double").select("event_id", F.to_timestamp("t").alias("ts"), "value")
-    df.withColumn("k", F.lit("x")).coalesce(1).write.parquet(f"{base}/in")
-    schema = spark.read.parquet(f"{base}/in").schema
-    stream = streams.stream_event_windows(streams.read_event_stream(spark, f"{base}/in", schema), key=["k"], event_id=["event_id"])
-    streams.run_to_table(stream, f"{base}/out", f"{base}/cp").awaitTermination()
-    got = rows(spark.read.parquet(f"{base}/out"))
-    assert [(r["total"], r["events"]) for r in got] == [(3.0, 2)]
-
-
-def test_stream_streak_carries_state_over_batches(spark):
-    base = new_table_path(spark, "streak")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    schema = "series_id string, obs_date date, amount double, skipped boolean"
-
-    def land(name, data):
-        spark.createDataFrame(data, "series_id string, d string, amount double, skipped boolean").select(
-            "series_id", F.to_date("d").alias("obs_date"), "amount", "skipped").coalesce(1).write.parquet(f"{base}/in/{name}")
-
-    def run():
-        stream = streams.stream_streak(spark.readStream.schema(schema).parquet(f"{base}/in/*"))
-        streams.run_to_table(stream, f"{base}/out", f"{base}/cp").awaitTermination()
-
-    land("1", [("a", "2024-01-01", 5.0, False), ("a", "2024-01-02", 0.0, True), ("a", "2024-01-03", 2.0, False)])
-    run()
-    land("2", [("a", "2024-01-02", 7.0, False), ("a", "2024-01-04", 0.0, False), ("a", "2024-01-05", 1.0, False)])
-    run()
-    got = rows(spark.read.parquet(f"{base}/out"), "obs_date")
-    assert [r["streak"] for r in got] == [1, 1, 2, 0, 1]

@@ -171,24 +171,3 @@ def test_future_audit_row_fails_the_job(spark):
 def test_retention_is_inclusive(spark, days, kept):
     df = spark.range(1).select(F.date_sub(F.lit("2026-08-20").cast("date"), days).alias("index_date"))
     assert (clean.retention_prune(df, as_of="2026-08-20").count() == 1) is kept
-
-
-def test_streams_do_not_depend_on_the_file_layout(spark, tmp_path):
-    """One file, a folder of part files and files in reverse time order give the same windows."""
-    from seriesloom.streaming import streams
-
-    events = spark.range(600).selectExpr(
-        "id AS event_id", "IF(id % 3 = 0, 'a', 'b') AS event_type", "CAST(id % 7 AS double) AS value",
-        "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, CAST(id AS int)) AS ts",
-    )
-    results = []
-    for name, parts in (("one", 1), ("many", 6)):
-        path = f"{tmp_path}/{name}.parquet"
-        ordered = events.orderBy(F.desc("ts")) if parts > 1 else events
-        ordered.repartitionByRange(parts, F.desc("ts")).write.parquet(path)
-        stream = streams.stream_event_windows(
-            streams.read_event_stream(spark, path, events.schema), key=["event_type"], event_id=["event_id"]
-        )
-        streams.run_to_table(stream, f"{tmp_path}/{name}-out", f"{tmp_path}/{name}-state").awaitTermination()
-        results.append(sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}-out").collect()))
-    assert results[0] == results[1] and len(results[0]) > 20
