@@ -224,7 +224,7 @@ def held_series_check(spark, sf):
   UNION ALL SELECT 'REVIEWED_POINT', o_orderpriority || '/' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'record_count' FROM orders WHERE dayofmonth(o_orderdate) = 10 GROUP BY o_orderpriority, o_orderdate""")
 def reviewed_recheck(spark, sf):
     records = joins.latest_per_entity_asof(typed_reviewed(spark, sf), tie=TIE)
-    points = aggregates.reviewed_observations(records)
+    points = aggregates.reviewed_observations(joins.entity_spans(typed_reviewed(spark, sf), tie=TIE))
     published = points.withColumn(
         "record_count",
         F.when(F.dayofmonth("asof_date") == 10, F.col("record_count") + 1).otherwise(F.col("record_count")),

@@ -33,14 +33,14 @@ def asof_backward(spark, sf):
   SELECT e.event_type, e.event_id, p.rate, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS right_ts
   FROM e ASOF JOIN p ON e.event_type = p.event_type AND e.ts >= p.ts""")
 def asof_backward_blocked(spark, sf):
-    """At event grain a type may own most rows: its time axis is cut into days."""
+    """At event grain a type may own most rows: its time axis is cut where its rows are."""
     ev = table(spark, sf, "events").select(
         "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value"
     )
     right = ev.where("value > 60").groupBy("event_type", "ts").agg(F.max("value").alias("rate"))
     return joins.asof_join_backward(
         ev, right, by=["event_type"], time="ts", right_columns=["rate"], right_time="right_ts",
-        block="day",
+        parts=64,
     ).select("event_type", "event_id", "rate", "right_ts")
 
 
@@ -305,9 +305,7 @@ REVIEW_POINTS_SQL = f"""{LATEST_SQL}, pt AS (SELECT metric_id, asof_date,
 @query("reviewed_observations", f"""WITH {REVIEW_POINTS_SQL} SELECT metric_id, CAST(asof_date AS VARCHAR) AS asof_date, direction, record_count,
   company_count, comparable_count, CAST(acc AS VARCHAR) || ' 00:00:00' AS latest_accepted_at, CAST(rev AS VARCHAR) || ' 00:00:00' AS latest_reviewed_at FROM pt""")
 def reviewed_observations(spark, sf):
-    return aggregates.reviewed_observations(
-        joins.latest_per_entity_asof(typed_reviewed(spark, sf), tie=TIE)
-    )
+    return aggregates.reviewed_observations(joins.entity_spans(typed_reviewed(spark, sf), tie=TIE))
 
 
 @query("reviewed_states", f"""WITH {REVIEW_POINTS_SQL}, z AS (SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY asof_date DESC) AS rn FROM pt)
@@ -315,7 +313,7 @@ def reviewed_observations(spark, sf):
   UNION ALL SELECT 'none', 'MANUAL_READY', NULL, 'UNKNOWN', 0, 0, 0""")
 def reviewed_states(spark, sf):
     rows = typed_reviewed(spark, sf)
-    points = aggregates.reviewed_observations(joins.latest_per_entity_asof(rows, tie=TIE))
+    points = aggregates.reviewed_observations(joins.entity_spans(rows, tie=TIE))
     metrics = rows.select(F.explode(F.array("metric_id", F.lit("none"))).alias("metric_id")).distinct()
     return aggregates.reviewed_states(points, metrics).select(
         "metric_id", "availability", "asof_date", "direction", "record_count", "company_count",

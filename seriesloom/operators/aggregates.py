@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.hashing import group_fingerprint
@@ -607,23 +607,57 @@ def block_rollup(
 
 
 def reviewed_observations(
-    records: DataFrame, *, by: Sequence[str] = ("metric_id",), max_age_days: int = 120
+    spans: DataFrame, *, by: Sequence[str] = ("metric_id",), entity: str = "company_id", as_of: str = "as_of",
 ) -> DataFrame:
-    """Per metric and as-of date: counts and direction over the latest records.
-
-    ``records`` are the rows of :func:`latest_per_entity_asof`; they stay the
-    lossless detail table behind these points, which have no numeric value.
+    """Per metric and as-of date: counts and direction over the records that are latest on it.
+
+    ``spans`` are the rows of `joins.entity_spans`. A record is not repeated
+    for the days it covers. Counts are running sums of one entry and one exit
+    per record. Extremes can't be taken back at an exit; but a span is covered
+    by two runs of 2^k days, which may overlap, since counting a value twice
+    doesn't change an extreme. Both kinds of row combine on the map side to one
+    row per metric and day (and k); runs are unrolled after that, at a cost that
+    depends on the calendar, not on the number of records.
     """
-    votes = F.when(F.col("comparable"), F.col("direction"))
-    unknown = F.count_if(F.col("comparable") & (F.col("direction") == "UNKNOWN")) > 0
-    return records.groupBy(*by, "asof_date").agg(
-        F.when(unknown | (F.count(votes) == 0), "UNKNOWN")
-        .when(F.min(votes) == F.max(votes), F.min(votes)).otherwise("MIXED").alias("direction"),
-        F.count(F.lit(1)).alias("record_count"),
-        F.countDistinct("company_id").alias("company_count"),
-        F.count_if("comparable").alias("comparable_count"),
-        F.max("accepted_at").alias("latest_accepted_at"),
-        F.max("reviewed_at").alias("latest_reviewed_at"),
+    one, comparable = F.lit(1), F.coalesce(F.col("comparable"), F.lit(False))
+    counts = {
+        "record_count": one, "company_count": F.col(entity).isNotNull().cast("int"),
+        "comparable_count": comparable.cast("int"),
+        "_unknown": (comparable & (F.col("direction") == "UNKNOWN")).cast("int"),
+        "_votes": (comparable & F.col("direction").isNotNull()).cast("int"),
+    }
+    moves = F.array(
+        F.struct(F.col(as_of).alias("day"), F.lit(1).alias("sign"), F.lit(1).alias("asked")),
+        F.struct(F.date_add("until", 1).alias("day"), F.lit(-1).alias("sign"), F.lit(0).alias("asked")),
+    )
+    moved = spans.select("*", F.explode(moves).alias("_m")).groupBy(*by, F.col("_m.day").alias("asof_date")).agg(
+        *[F.sum(F.coalesce(c, F.lit(0)) * F.col("_m.sign")).alias(n) for n, c in counts.items()],
+        F.max("_m.asked").alias("_asked"),
+    )
+    until_day = Window.partitionBy(*by).orderBy("asof_date").rowsBetween(Window.unboundedPreceding, 0)
+    running = moved.select(*by, "asof_date", "_asked", *[F.sum(n).over(until_day).alias(n) for n in counts]).where("_asked = 1")
+
+    vote = F.when(F.col("comparable"), F.col("direction"))
+    k = F.floor(F.log2(F.datediff("until", as_of) + 1)).cast("int")
+    starts = F.array(F.col(as_of), F.date_sub(F.date_add("until", 1), F.pow(F.lit(2), k).cast("int")))
+    runs = spans.select(*by, k.alias("_k"), F.explode(starts).alias("_start"), vote.alias("_v"), "accepted_at", "reviewed_at")
+
+    def extremes(rows: DataFrame, *keys: str, low: str, high: str) -> DataFrame:
+        return rows.groupBy(*by, *keys).agg(
+            F.min(low).alias("_low"), F.max(high).alias("_high"),
+            F.max("accepted_at").alias("accepted_at"), F.max("reviewed_at").alias("reviewed_at"),
+        )
+
+    length = F.pow(F.lit(2), F.col("_k")).cast("int") - 1
+    days = F.explode(F.sequence("_start", F.date_add("_start", length), F.expr("interval 1 day"))).alias("asof_date")
+    unrolled = extremes(runs, "_k", "_start", low="_v", high="_v").select("*", days)
+    found = extremes(unrolled, "asof_date", low="_low", high="_high")
+    return running.join(found, [*by, "asof_date"]).select(
+        *by, "asof_date",
+        F.when((F.col("_unknown") > 0) | (F.col("_votes") == 0), "UNKNOWN")
+        .when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("MIXED").alias("direction"),
+        "record_count", "company_count", "comparable_count",
+        F.col("accepted_at").alias("latest_accepted_at"), F.col("reviewed_at").alias("latest_reviewed_at"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.clean import fold_duplicates
+from seriesloom.session import new_table_path
 from seriesloom.functions.scalars import (
     all_of, any_of, codes, basis_points, weekday_on_or_after, weekday_on_or_before,
 )
@@ -18,9 +19,9 @@ from seriesloom.functions.scalars import (
 def asof_join_backward(
     left: DataFrame, right: DataFrame, *, by: Sequence[str], time: str = "obs_date",
     right_columns: Sequence[str], right_time: str = "right_obs_date",
-    block: str | None = None,
+    block: str | None = None, parts: int | None = None,
 ) -> DataFrame:
-    """The latest right row on or before each left row; earlier left rows drop.
+    """The latest right row on or before each left row; earlier left rows drop, as do rows without a time.
 
     Both sides go into one shuffle and one sort; on equal times the right row
     sorts first and the last one seen so far is the match.
@@ -31,12 +32,26 @@ def asof_join_backward(
     last right row of the blocks before it, found on a table with one row per
     (group, block). A group that owns most of the rows then spreads over as many
     tasks as it has blocks, and the result is the same.
+
+    With ``parts`` the blocks are measured instead: (group, time) is cut into
+    about that many ranges of equal row counts, so ten times the rows at one day
+    make more blocks with more ``parts``, not larger ones. Only equal times of
+    one group can't be cut.
     """
+    names = left.columns
+    left, right = left.where(F.col(time).isNotNull()), right.where(F.col(time).isNotNull())
     match = F.struct(F.col(time).alias(right_time), *right_columns)
     none = F.lit(None).cast(right.select(match.alias("m")).schema["m"].dataType)
     left_row = F.struct(*left.columns)
     no_left = F.lit(None).cast(left.select(left_row.alias("l")).schema["l"].dataType)
     cut = F.date_trunc(block, F.col(time)) if block else F.lit(0)
+    if parts is not None:
+        bounds = measured_bounds(left.select(*by, time).unionByName(right.select(*by, time)), by, time, parts)
+        left, right = (
+            df.join(bounds, list(by), "left").withColumn("_block", block_of(F.col(time), F.col("_bounds"))) for df in (left, right)
+        )
+        cut = F.col("_block")
+        left_row = F.struct(*[c for c in left.columns if c not in ("_block", "_bounds")])
     tagged = right.select(
         *by, time, cut.alias("_block"), F.lit(0).alias("_side"),
         match.alias("_match"), no_left.alias("_left"),
@@ -51,7 +66,7 @@ def asof_join_backward(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     found = F.last("_match", ignorenulls=True).over(within)
-    if block is None:
+    if block is None and parts is None:
         joined = tagged.withColumn("_found", found)
     else:
         summary = tagged.groupBy(*by, "_block").agg(
@@ -67,11 +82,38 @@ def asof_join_backward(
             "_found", F.coalesce(found, F.col("_carry"))
         )
     return joined.where("_side = 1 AND _found IS NOT NULL").select(
-        *[F.col(f"_left.`{c}`").alias(c) for c in left.columns],
+        *[F.col(f"_left.`{c}`").alias(c) for c in names],
         *[F.col(f"_found.`{c}`").alias(c) for c in (right_time, *right_columns)],
     )
 
 
+def measured_bounds(rows: DataFrame, by: Sequence[str], time: str, parts: int) -> DataFrame:
+    """Per group the times at which its blocks begin: the first keys of ``parts`` ranges of about equal row counts.
+
+    One narrow shuffle of the keys. The table has at most ``parts`` times in
+    all and is written, so that joins know its size before they shuffle.
+    """
+    keyed = rows.where(F.col(time).isNotNull()).repartitionByRange(parts, *by, time)
+    first = F.min(F.struct(*by, time)).alias("_first")
+    firsts = keyed.groupBy(F.spark_partition_id().alias("_part")).agg(first).select("_first.*")
+    bounds = firsts.groupBy(*by).agg(F.array_sort(F.collect_set(time)).alias("_bounds"))
+    path = new_table_path(rows.sparkSession, "bounds")
+    bounds.write.parquet(path)
+    return rows.sparkSession.read.schema(bounds.schema).parquet(path)
+
+
+def block_of(time: Column, bounds: Column) -> Column:
+    """How many bounds are at or before a time, by binary search; 0 without bounds or time."""
+    def step(low: Column, power: Column) -> Column:
+        there = low + power
+        return F.when((there <= F.size(bounds)) & (F.get(bounds, there - 1) <= time), there).otherwise(low)
+
+    top = F.floor(F.log2(F.size(bounds))).cast("int")
+    powers = F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2), e).cast("int"))
+    found = F.aggregate(powers, F.lit(0), step)
+    return F.when(bounds.isNull() | time.isNull(), 0).otherwise(found)
+
+
 def effective_by_day(
     steps: DataFrame, *, by: Sequence[str], columns: Sequence[str], until,
     date: str = "obs_date",
@@ -412,31 +454,43 @@ def align_outer(
 # --- reviewed records ------------------------------------------------------
 
 
-def latest_per_entity_asof(
+def entity_spans(
     records: DataFrame, *, by: Sequence[str] = ("metric_id",), entity: str = "company_id",
     as_of: str = "as_of", tie: Sequence[str], max_age_days: int = 120,
 ) -> DataFrame:
-    """For each as-of date, the latest record per entity not older than 120 days.
+    """One row per record that is some day the latest of its entity, with its last such day in ``until``.
 
     A record is current from its own date until the day before its entity's next
-    one, at most 120 days. That span is unrolled to days and met with the as-of
-    dates that exist, so dates are never paired with all records.
+    one, at most 120 days. Records of one day are first folded to the one that
+    wins the tie, so a busy entity reaches its window as one row per day.
     """
     payload = [c for c in records.columns if c not in (*by, entity, as_of)]
     per_day = records.groupBy(*by, entity, as_of).agg(
         F.max_by(F.struct(*payload), F.struct(*tie)).alias("_row")
     ).select(*by, entity, as_of, *[F.col(f"_row.`{c}`").alias(c) for c in payload])
     w = Window.partitionBy(*by, entity).orderBy(as_of)
-    until = F.least(
-        F.date_add(as_of, max_age_days),
-        F.coalesce(F.date_sub(F.lead(as_of).over(w), 1), F.date_add(as_of, max_age_days)),
-    )
-    spans = per_day.withColumn("_until", until).withColumn(
-        "asof_date", F.explode(F.sequence(F.col(as_of), F.col("_until"), F.expr("interval 1 day")))
+    last = F.date_add(as_of, max_age_days)
+    return per_day.withColumn("until", F.least(last, F.coalesce(F.date_sub(F.lead(as_of).over(w), 1), last)))
+
+
+def latest_per_entity_asof(
+    records: DataFrame, *, by: Sequence[str] = ("metric_id",), entity: str = "company_id",
+    as_of: str = "as_of", tie: Sequence[str], max_age_days: int = 120,
+) -> DataFrame:
+    """For each as-of date, the latest record per entity not older than 120 days.
+
+    Each record meets the list of as-of dates from its own on, at most 121 of
+    them, and is repeated for those in its span after the last shuffle. Counts
+    per date need no repetition: see `aggregates.reviewed_observations`.
+    """
+    spans = entity_spans(records, by=by, entity=entity, as_of=as_of, tie=tie, max_age_days=max_age_days)
+    ahead = (
+        Window.partitionBy(*by).orderBy(F.unix_date(as_of)).rangeBetween(0, max_age_days)
     )
-    dates = records.select(*by, F.col(as_of).alias("asof_date")).distinct()
-    return spans.join(dates, [*by, "asof_date"], "left_semi").select(
-        *by, "asof_date", entity, as_of, *payload
+    dates = records.select(*by, as_of).distinct().select(*by, as_of, F.collect_list(as_of).over(ahead).alias("_dates"))
+    payload = [c for c in records.columns if c not in (*by, entity, as_of)]
+    return spans.join(dates, [*by, as_of]).select(
+        *by, F.explode(F.filter("_dates", lambda d: d <= F.col("until"))).alias("asof_date"), entity, as_of, *payload
     )
 
 
