@@ -3,6 +3,7 @@ must report exactly those."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.aggregating import BUCKET_SQL, input_states, line_entries, line_transactions
@@ -11,7 +12,7 @@ from catalog.joining import TIE
 from catalog.ruling import CLAUSE_SQL, _clauses, _metrics, metric_reads, metric_routing
 from catalog.sources import reviewed_text, typed_reviewed
 from catalog.windows import _positions, _ratios
-from seriesloom.checks import checks
+from seriesloom.checks import checks, publication
 from seriesloom.operators import aggregates, growth, joins, windows
 from seriesloom.rules import evidence, interpretation, model
 from seriesloom.session import new_table_path
@@ -256,5 +257,84 @@ def published_when_clean(spark, sf):
     latest = windows.latest_per_series(obs).join(windows.tail_array(obs), "series_id")
     found = checks.check_endpoint_and_tail(latest, obs)
     root = new_table_path(spark, "publication")
-    checks.publish(found, latest.select("series_id", "obs_date", "value"), root)
-    return checks.read_published(spark, root)
+    publication.publish(found, latest.select("series_id", "obs_date", "value"), root)
+    return publication.read_published(spark, root)
+
+
+def publication_tables(spark, sf):
+    """One publication: series with their latest rows, positions, ratios, growth, buckets, sources, clauses and reads."""
+    obs, positions = order_obs(spark, sf), _positions(spark, sf)
+    rollup = aggregates.source_rollup(input_states(spark, sf))
+    stored_order = F.row_number().over(Window.partitionBy("series_id").orderBy("obs_date"))
+    return {
+        "series": obs.withColumn("row_number", stored_order),
+        "latest": windows.latest_per_series(obs).join(windows.tail_array(obs), "series_id"),
+        "twin": obs, "positions": positions, "position_stats": windows.position_stats(positions),
+        "ordinal_stats": growth.ordinal_window_stats(_ratios(spark, sf, scale=0.001)),
+        "growth": growth.growth_acceleration(quarter_obs(spark, sf).drop("ordinal")),
+        "buckets": aggregates.bucketed_totals(line_transactions(spark, sf), buy="A", sell="R"),
+        "sources": rollup, "source_inputs": rollup,
+        "clauses": model.evaluate_clauses(_metrics(spark, sf), _clauses(spark), entity=["entity"]),
+        "metrics": _metrics(spark, sf), "clause_rules": _clauses(spark),
+    }
+
+
+def publication_checks(t):
+    """All checks over the stored tables of one publication."""
+    return checks.all_violations([
+        checks.check_strictly_increasing(t["series"], by=["series_id"], order="row_number", block_rows=1000),
+        checks.check_endpoint_and_tail(t["latest"], t["series"]),
+        checks.check_twin_series(t["series"], t["twin"], ["series_id", "obs_date"], ["value"]),
+        checks.check_position_rows(t["positions"]),
+        checks.recompute_position_stats(t["position_stats"], t["positions"]),
+        checks.recompute_ordinal_stats(t["ordinal_stats"]),
+        checks.recompute_growth(t["growth"], by=["series_id"]),
+        checks.check_bucket_partition(t["buckets"]),
+        checks.check_source_consistency(t["sources"], t["source_inputs"]),
+        checks.recompute_clauses(
+            t["clauses"], model.evaluate_clauses(t["metrics"], t["clause_rules"], entity=["entity"]), key=["entity", "clause_id"]
+        ),
+    ])
+
+
+def altered_tables(tables):
+    """The same publication with the faults of the single checks, in five of its tables."""
+    low, red = F.expr(LOW), F.col("contract") == "R"
+    faults = {
+        "latest": ("value", low, F.col("value") + 1), "position_stats": ("z_score_3_year", red, F.lit(99.0)),
+        "twin": ("value", F.dayofmonth("obs_date") == 31, F.col("value") * 2),
+        "buckets": ("sell_count", (F.col("bucket") == "ALL") & (F.col("buy_count") > 5), F.col("sell_count") + 1),
+        "sources": ("status", F.col("source_id") == "1-URGENT", F.lit("OK")),
+    }
+    return {
+        name: df.withColumn(faults[name][0], F.when(faults[name][1], faults[name][2]).otherwise(F.col(faults[name][0])))
+        if name in faults else df
+        for name, df in tables.items()
+    }
+
+
+def publish_twice(spark, sf):
+    """A clean publication, then one with faults, which is blocked."""
+    root, tables = new_table_path(spark, "snapshots"), publication_tables(spark, sf)
+    publication.publish_snapshot(spark, root, tables, publication_checks)
+    try:
+        publication.publish_snapshot(spark, root, altered_tables(tables), publication_checks)
+    except publication.PublicationBlocked as blocked:
+        return root, blocked
+    raise AssertionError("the faults were published")
+
+
+@query("publication_blocked", " UNION ALL ".join(
+    f"SELECT check_id, key, detail FROM ({ORACLES[name]})"
+    for name in ("endpoint_checks", "twin_series_check", "position_stats_check", "bucket_partition_check", "source_consistency_check")))
+def publication_blocked(spark, sf):
+    """What blocked the second publication, over its own stored tables."""
+    return publication.blocked_violations(spark, publish_twice(spark, sf)[1])
+
+
+@query("publication_current", f"""WITH {ORDERS_CTE} SELECT series_id, CAST(MAX(obs_date) AS VARCHAR) AS obs_date, arg_max(value, obs_date) AS value, CAST(1 AS BIGINT) AS snapshot FROM ob GROUP BY 1""")
+def publication_current(spark, sf):
+    """The latest rows that readers see after it: those of the first."""
+    root, _ = publish_twice(spark, sf)
+    current = publication.snapshots(spark, root)[-1].number
+    return publication.read_snapshot(spark, root)["latest"].select("series_id", "obs_date", "value", F.lit(current).cast("bigint").alias("snapshot"))

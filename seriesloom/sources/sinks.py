@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.functions.hashing import group_fingerprint, row_hash
+from seriesloom.files import Files
+from seriesloom.functions.hashing import array_fingerprint, group_fingerprint, row_hash
 from seriesloom.operators.windows import latest_per_series, tail_array
+from seriesloom.session import new_table_path
 
 
 def write_series(obs: DataFrame, path: str) -> None:
@@ -63,19 +66,133 @@ def ledger_fingerprint(manifest: DataFrame) -> DataFrame:
 
 
 def write_day_shards(entries: DataFrame, path: str, *, day: str = "index_date") -> None:
-    """One folder per day plus the manifest. Only the days present are replaced,
-    so an incremental run rewrites nothing else. Rebalancing cuts a large day into
-    several files of the advisory size and merges small ones. A day's rows also
-    keep their own date, by which a misplaced row shows."""
+    """One folder per day, and a tree of hashes over them.
+
+    Only the days present are replaced, so an incremental run rewrites nothing
+    else, and only their files are read back for their hashes. Rebalancing cuts
+    a large day into several files of the advisory size and merges small ones.
+    A day's rows also keep their own date, by which a misplaced row shows.
+    """
+    spark = entries.sparkSession
     rows = entries.withColumn("shard_day", F.col(day))
     (
         rows.hint("rebalance", day)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("shard_day").parquet(f"{path}/shards")
     )
-    stored = entries.sparkSession.read.parquet(f"{path}/shards").drop("shard_day")
-    manifest = shard_manifest(stored.select(*entries.columns), day=day)
-    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    days = [r[0] for r in entries.select(F.col(day).cast("string")).distinct().collect()]  # calendar days
+    if not days:
+        return
+    stored = stored_days(spark, path, entries.schema, days)
+    leaves = shard_manifest(stored.select(*entries.columns), day=day).withColumnRenamed(day, "node")
+    update_tree(spark, f"{path}/manifest", leaves.withColumn("node", F.col("node").cast("string")))
+
+
+def stored_days(spark: SparkSession, path: str, schema, days: Sequence[str]) -> DataFrame:
+    """The stored rows of the given days; no other day's folder is listed or read."""
+    folders = [f"{path}/shards/shard_day={d}" for d in sorted(days)]
+    return spark.read.schema(schema).option("basePath", f"{path}/shards").parquet(*folders)
+
+
+# A node is a day, month, year or the root; its name is the first characters of the day.
+TREE = (("days", 10), ("months", 7), ("years", 4), ("root", 0))
+NODE = "node string, entries bigint, shard_sha256 string"
+
+
+def parent_nodes(nodes: DataFrame, width: int) -> DataFrame:
+    """Parents of the nodes: entries added up, and the SHA-256 of the children's lines, at most 31, 12 or one per year."""
+    line = F.concat_ws(":", "node", F.col("entries").cast("string"), "shard_sha256")
+    return nodes.groupBy(F.substring("node", 1, width).alias("node")).agg(
+        F.sum("entries").alias("entries"), array_fingerprint(F.collect_list(line)).alias("shard_sha256")
+    )
+
+
+def hash_tree(leaves: DataFrame) -> DataFrame:
+    """All nodes over the leaves (node, entries, shard_sha256) with their level."""
+    levels, nodes = [leaves.withColumn("level", F.lit("days"))], leaves
+    for name, width in TREE[1:]:
+        nodes = parent_nodes(nodes, width)
+        levels.append(nodes.withColumn("level", F.lit(name)))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def update_tree(spark: SparkSession, path: str, leaves: DataFrame) -> None:
+    """Put new leaves into the stored tree: per level only the siblings of changed nodes are read, and their folder replaced.
+
+    A level is stored in one folder per parent. A run that fails halfway leaves
+    parents that don't fit their children, which `tree_violations` shows; the
+    same run again mends them.
+    """
+    files, changed = Files(spark, path), leaves
+    for (level, _), (_, width) in zip(TREE, [*TREE[1:], ("", 0)]):
+        changed = changed.withColumn("parent", F.substring("node", 1, width) if width else F.lit("all"))
+        folder = new_table_path(spark, "changed-nodes")
+        changed.write.parquet(folder)
+        changed = spark.read.schema(changed.schema).parquet(folder)
+        parents = [r[0] for r in changed.select("parent").distinct().collect()]  # months, years or one
+        old = [f"{path}/{level}/parent={p}" for p in sorted(parents) if files.exists(f"{level}/parent={p}")]
+        merged = changed
+        if old:
+            stored = spark.read.schema(f"{NODE}, parent string").option("basePath", f"{path}/{level}").parquet(*old)
+            merged = stored.join(changed, "node", "left_anti").select(*changed.columns).unionByName(changed)
+        merged_path = new_table_path(spark, "merged-nodes")  # a folder can't be read and replaced at once
+        merged.write.parquet(merged_path)
+        merged = spark.read.schema(merged.schema).parquet(merged_path)
+        (
+            merged.repartition("parent").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("parent").parquet(f"{path}/{level}")
+        )
+        if level == "root":
+            return
+        changed = parent_nodes(merged.drop("parent"), width)
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The stored nodes with their level."""
+    return reduce(
+        DataFrame.unionByName,
+        [
+            spark.read.schema(NODE).parquet(f"{path}/manifest/{level}")
+            .select("node", "entries", "shard_sha256", F.lit(level).alias("level"))
+            for level, _ in TREE
+        ],
+    )
+
+
+def read_manifest(spark: SparkSession, path: str, *, day: str = "index_date") -> DataFrame:
+    """The stored days: count and fingerprint of each."""
+    leaves = spark.read.schema(NODE).parquet(f"{path}/manifest/days")
+    return leaves.select(F.to_date("node").alias(day), "entries", "shard_sha256")
+
+
+def tree_violations(spark: SparkSession, path: str) -> DataFrame:
+    """Stored nodes that don't follow from the stored days."""
+    tree = read_tree(spark, path)
+    again = hash_tree(tree.where("level = 'days'").drop("level")).select(
+        "level", "node", F.col("entries").alias("_n"), F.col("shard_sha256").alias("_hash")
+    )
+    same = F.col("entries").eqNullSafe(F.col("_n")) & F.col("shard_sha256").eqNullSafe(F.col("_hash"))
+    return tree.join(again, ["level", "node"], "full_outer").where(~same).select(
+        F.lit("TREE_NODE").alias("check_id"), F.concat_ws("/", "level", "node").alias("key")
+    )
+
+
+def changed_days(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Days that differ between two trees, found from the root down: below equal nodes nothing is compared."""
+    def level(tree: DataFrame, name: str, side: str) -> DataFrame:
+        return tree.where(F.col("level") == name).select("node", F.col("shard_sha256").alias(side))
+
+    open_nodes = None
+    for (name, _), (_, parent_width) in zip(reversed(TREE), [("", 0), *reversed(TREE)]):
+        pair = level(left, name, "_l").join(level(right, name, "_r"), "node", "full_outer")
+        if open_nodes is not None:
+            up = F.substring("node", 1, parent_width)
+            pair = pair.join(open_nodes, up == F.col("_open"), "left_semi")
+        found = pair.where(~F.col("_l").eqNullSafe(F.col("_r")))
+        open_nodes = found.select(F.col("node").alias("_open"))
+    return found.select(
+        "node", F.when(F.col("_l").isNull(), "ADDED").when(F.col("_r").isNull(), "REMOVED").otherwise("CHANGED").alias("change")
+    )
 
 
 def verify_day_shards(
@@ -83,13 +200,14 @@ def verify_day_shards(
     day: str = "index_date", as_of=None, retention_days: int | None = None,
 ) -> DataFrame:
     """Violations of a stored ledger: wrong or undeclared shard, changed content,
-    row in another day's shard, repeated key, shard outside the window."""
+    row in another day's shard, repeated key, shard outside the window, and a
+    month, year or root that doesn't follow from its days."""
     rows = spark.read.parquet(f"{path}/shards")
-    declared = spark.read.parquet(f"{path}/manifest")
-    return shard_violations(
-        rows, declared, columns=columns, key=key, day=day, as_of=as_of,
+    found = shard_violations(
+        rows, read_manifest(spark, path, day=day), columns=columns, key=key, day=day, as_of=as_of,
         retention_days=retention_days,
     )
+    return found.unionByName(tree_violations(spark, path))
 
 
 def shard_violations(

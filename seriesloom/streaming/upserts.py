@@ -17,36 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seriesloom.files import Files
 from seriesloom.operators.clean import clean_rows, dedupe_observations, fold_duplicates, latest_by
 
 EVERY = 8
 
 
-class Files:
-    """Names under a folder, through Spark's own file system."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.root, self.path = root, spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def at(self, name: str):
-        return self.path(f"{self.root}/{name}")
-
-    def names(self, folder: str) -> list[str]:
-        at = self.at(folder)
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
-
-    def numbers(self, folder: str) -> list[int]:
-        """Numbers at the end of the names, ascending."""
-        return sorted(int(n.rsplit("=", 1)[-1]) for n in self.names(folder) if n.rsplit("=", 1)[-1].isdigit())
-
-    def touch(self, name: str) -> None:
-        self.fs.create(self.at(name), True).close()
-
-    def remove(self, name: str) -> None:
-        self.fs.delete(self.at(name), True)
-
-
 def compacted_through(spark: SparkSession, table: str) -> int:
     """The last batch in the newest complete base, -1 without one."""
     return max(Files(spark, table).numbers("pointers"), default=-1)
@@ -84,7 +60,7 @@ def compact(
     latest_by(_live(spark, table, upto=through), key, [*order, "_batch"]).write.mode("overwrite").parquet(
         f"{table}/base/through={through}"
     )
-    files.touch(f"pointers/{through}")
+    files.create(f"pointers/{through}")
     points = files.numbers("pointers")
     old, oldest = points[:-keep], points[-keep:][0]
     for point in old:

@@ -42,7 +42,7 @@ def test_rewriting_one_day_keeps_the_others(spark, ledger):
 def test_altered_misplaced_and_repeated_rows_are_found(spark, ledger):
     path, _ = ledger
     stored = spark.read.parquet(f"{path}/shards")
-    declared = spark.read.parquet(f"{path}/manifest")
+    declared = sinks.read_manifest(spark, path)
     check = lambda df: {(r["check_id"], r["key"]) for r in rows(sinks.shard_violations(df, declared, columns=COLUMNS))}
     altered = stored.withColumn("value", F.when(F.col("accession") == 4, -1).otherwise(F.col("value")))
     assert check(altered) == {("SHARD_HASH", "2026-08-02")}

@@ -137,28 +137,6 @@ def test_forbidden_columns_are_found_at_any_depth(spark):
     assert clean.forbidden_columns(df, ["owner_name", "raw"]) == ["n.owner_name", "n.x.raw_text"]
 
 
-def test_require_clean_blocks_a_publication(spark):
-    out = spark.range(3)
-    bad = spark.createDataFrame([("C", "k", "d")], checks.VIOLATION)
-    assert checks.require_clean(bad.where("false"), out).count() == 3
-    with pytest.raises(ValueError, match="publication blocked, violations: 1"):
-        checks.require_clean(bad, out)
-    with pytest.raises(ValueError, match="violations: 1"):
-        checks.require_clean(bad, out.limit(0))
-    with pytest.raises(ValueError, match="output is empty"):
-        checks.require_clean(bad.where("false"), out.limit(0))
-
-
-def test_a_blocked_publication_keeps_the_last_good_one(spark, tmp_path):
-    none = spark.createDataFrame([], checks.VIOLATION)
-    root = f"file://{tmp_path}/p"
-    checks.publish(none, spark.range(3), root)
-    checks.publish(none, spark.range(5), root)
-    with pytest.raises(ValueError):
-        checks.publish(spark.createDataFrame([("C", "k", "d")], checks.VIOLATION), spark.range(9), root)
-    assert checks.read_published(spark, root).count() == 5
-
-
 def test_future_audit_row_fails_the_job(spark):
     rows_ = spark.createDataFrame([("2026-08-10", "S", "r"), ("2026-06-01", "S", "r"), ("2026-08-10", "S", "r")],
                                   "index_date string, stage string, reason string").withColumn("index_date", F.to_date("index_date"))
