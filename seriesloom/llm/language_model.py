@@ -36,7 +36,7 @@ from seriesloom.session import new_table_path
 
 BLOCK_TOKENS = 4_000_000  # words of a block's part that are held at once
 CONTEXTS = 32  # buckets by the logarithm of the context's count
-FOLD = 4  # one block in so many gives the held-out counts
+SPAN = 200_000  # words whose estimates are computed at once
 GRID = 8  # bins per power of ten in the held-out histogram
 DECADES = 12
 EM_ROUNDS = 60
@@ -89,6 +89,18 @@ def range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def ranked(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and each one's place among them in four bytes."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    new = np.empty(len(ordered), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    places = np.empty(len(ordered), np.int32)
+    places[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], places
+
+
 class Part:
     """Documents of one block, as places in the sorted list of its word hashes."""
 
@@ -99,7 +111,9 @@ class Part:
     def of(cls, ids: list, train: list, texts: list[np.ndarray]) -> Part:
         """texts: word hashes of each document, its end included."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        vocabulary, places = np.unique(np.concatenate(texts), return_inverse=True)
+        hashes = np.concatenate(texts)
+        texts.clear()
+        vocabulary, places = ranked(hashes)
         return cls(ids, np.array(train, bool), sizes, vocabulary, places)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +122,14 @@ class Part:
         before = np.empty_like(hashes)
         before[1:] = hashes[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = START
-        return np.unique(pair_hash(before, hashes), return_inverse=True)
-
-    def contexts(self) -> np.ndarray:
-        """Place of the word before each word; -1 at a start."""
-        before = np.empty_like(self.places)
-        before[1:] = self.places[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = -1
+        return ranked(pair_hash(before, hashes))
+
+    def contexts(self, first: int, last: int, at: int, end: int) -> np.ndarray:
+        """Place of the word before each word of a span; -1 at a start."""
+        before = np.empty(end - at, np.int32)
+        before[1:] = self.places[at : end - 1]
+        sizes = self.sizes[first:last]
+        before[np.cumsum(sizes) - sizes] = -1
         return before
 
     def dump(self) -> bytes:
@@ -137,9 +152,18 @@ class Part:
         ids, null = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.uint8)
         return cls(
             [None if n else i for i, n in zip(ids.tolist(), null.tolist())], np.frombuffer(parts[2], np.uint8).astype(bool),
-            unpack(parts[3]).astype(np.int64), unpack_sorted(parts[4]), unpack(parts[5]).astype(np.int64),
+            unpack(parts[3]).astype(np.int64), unpack_sorted(parts[4]), unpack(parts[5]).astype(np.int32),
         )
 
+    def spans(self) -> Iterator[tuple[int, int, int, int]]:
+        """Consecutive documents of about `SPAN` words, or one longer document: first and last document and word."""
+        ends = np.cumsum(self.sizes)
+        first = at = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, at + SPAN, "right")))
+            yield first, last, at, int(ends[last - 1])
+            first, at = last, int(ends[last - 1])
+
 
 REQUEST = "range int, kind int, name string, keys binary, counts binary"
 ANSWER = "name string, kind int, range int, counts binary, total bigint, known bigint"
@@ -172,7 +196,6 @@ def requests(docs: DataFrame, folder: str, *, id_col: str, text_col: str, blocks
 
         def flush() -> Iterator[pa.RecordBatch]:
             part, name = Part.of(ids, train, texts), f"{block:06d}-{number:04d}"
-            texts.clear()
             aside = f"{base}/{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(aside, compression=None) as out:
                 out.write(part.dump())
@@ -293,11 +316,13 @@ def learn_weights(histogram: list[tuple[int, int, int, float]], uniform: float)
     return weights
 
 
-def _estimates(part: Part, pair: np.ndarray, uni: np.ndarray, two: np.ndarray, totals: Totals, deleted: int):
-    """Bigram and unigram estimates and context bucket of each word, after ``deleted`` occurrences are taken out."""
-    before = part.contexts()
+def _estimates(
+    part: Part, span: tuple[int, int, int, int], pair: np.ndarray, uni: np.ndarray, two: np.ndarray, totals: Totals, deleted: int
+):
+    """Bigram and unigram estimates and context bucket of a span's words, after ``deleted`` occurrences are taken out."""
+    before, (_, _, at, end) = part.contexts(*span), span
     context = np.where(before < 0, totals.starts, uni[before]) - deleted
-    both, single = two[pair] - deleted, uni[part.places] - deleted
+    both, single = two[pair[at:end]] - deleted, uni[part.places[at:end]] - deleted
     p2 = np.where(context > 0, both / np.maximum(context, 1), 0.0)
     p1 = single / max(1, totals.tokens - deleted)
     return p2, p1, bucket_of(np.maximum(context, 0))
@@ -308,7 +333,7 @@ ROW = (
 )
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold: int = FOLD) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: token counts, base score and the model's log10 probability.
 
     Null and empty texts are the end alone.  Null ids train and are not held
@@ -335,25 +360,25 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         size = DECADES * GRID + 1
         table = np.zeros(CONTEXTS * size * size, np.int64)
         for part, pair, uni, two in parts_with_counts(batches, folder):
-            mask = np.repeat(part.train, part.sizes)
-            p2, p1, bucket = (x[mask] for x in _estimates(part, pair, uni, two, totals, 1))
 
             def bins(p: np.ndarray) -> np.ndarray:
                 with np.errstate(divide="ignore"):
                     at = np.floor(-np.log10(p) * GRID)
                 return np.where(p > 0, np.clip(at, 0, size - 2), -1).astype(np.int64) + 1
 
-            table += np.bincount((bucket * size + bins(p2)) * size + bins(p1), minlength=len(table))
+            for span in part.spans():
+                mask = np.repeat(part.train[span[0] : span[1]], part.sizes[span[0] : span[1]])
+                p2, p1, bucket = (x[mask] for x in _estimates(part, span, pair, uni, two, totals, 1))
+                np.add.at(table, (bucket * size + bins(p2)) * size + bins(p1), 1)
         cells = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cells // (size * size)), pa.array(cells // size % size - 1), pa.array(cells % size - 1),
              pa.array(table[cells])], ["bucket", "two", "one", "n"],
         )
 
-    # Blocks are hash samples of the documents, so these are too; the first block is always among them.
-    sample = by_part.where(F.substring("name", 1, 6).cast("int") % F.lit(fold) == 0)
+    # Every training word of every block; the sums don't depend on how documents were cut into blocks.
     histogram = (
-        in_order(sample).mapInArrow(held_out_counts, "bucket bigint, two bigint, one bigint, n bigint")
+        in_order(by_part).mapInArrow(held_out_counts, "bucket bigint, two bigint, one bigint, n bigint")
         .groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect()
     )
     weights = learn_weights([tuple(r) for r in histogram], uniform)
@@ -361,16 +386,18 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in ROW.split(", ")]
         for part, pair, uni, two in parts_with_counts(batches, folder):
-            p2, p1, bucket = _estimates(part, pair, uni, two, totals, 0)
-            mixed = np.log10(weights[bucket, 0] * p2 + weights[bucket, 1] * p1 + weights[bucket, 2] * uniform)
-            own = uni[part.places]
-            plain = np.log10((own + 1) / (totals.tokens + totals.known + 1))
-            first = np.cumsum(part.sizes) - part.sizes
-            n = len(part.ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.ids, pa.int64()), pa.array(~part.train), pa.array(part.sizes),
-                 pa.array(np.add.reduceat((own > 0).astype(np.int64), first)), pa.array(np.full(n, totals.tokens)),
-                 pa.array(np.add.reduceat(plain, first)), pa.array(np.add.reduceat(mixed, first))], names,
-            )
+            for span in part.spans():
+                first, last, at, end = span
+                p2, p1, bucket = _estimates(part, span, pair, uni, two, totals, 0)
+                mixed = np.log10(weights[bucket, 0] * p2 + weights[bucket, 1] * p1 + weights[bucket, 2] * uniform)
+                own = uni[part.places[at:end]]
+                plain = np.log10((own + 1) / (totals.tokens + totals.known + 1))
+                sizes, n = part.sizes[first:last], last - first
+                start = np.cumsum(sizes) - sizes
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.ids[first:last], pa.int64()), pa.array(~part.train[first:last]), pa.array(sizes),
+                     pa.array(np.add.reduceat((own > 0).astype(np.int64), start)), pa.array(np.full(n, totals.tokens)),
+                     pa.array(np.add.reduceat(plain, start)), pa.array(np.add.reduceat(mixed, start))], names,
+                )
 
     return in_order(by_part).mapInArrow(score, ROW)

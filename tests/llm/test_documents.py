@@ -167,7 +167,46 @@ def test_language_model_of_tricky_rows(tricky, rows):
     assert all(math.isfinite(s) and s < 0 for s in scores.values())
 
 
-def test_language_model_probabilities_sum_to_one_and_beat_the_base(spark, small):
+def test_language_model_scores_equal_brute_force(tricky, rows, spark):
+    """Counts, histogram and mixture anew with dictionaries; the sums over all words are one in every context."""
+    docs = [(i, [None, *re.findall(rb"[^\x20\x09-\x0D]+", lowered(t)), "end"], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
+    one = Counter(w for _, ws, held in docs if not held for w in ws[1:])
+    two = Counter(p for _, ws, held in docs if not held for p in zip(ws, ws[1:]))
+    starts = sum(not held for *_, held in docs)
+    n, uniform = sum(one.values()), 1 / (len(one) + 1)
+
+    def estimates(a, b, out):
+        context = (starts if a is None else one[a]) - out
+        bucket = min(math.frexp(max(context, 0))[1], language_model.CONTEXTS - 1)
+        return (two[a, b] - out) / context if context > 0 else 0.0, (one[b] - out) / max(1, n - out), bucket
+
+    def bin_of(p):
+        return min(max(math.floor(-math.log10(p) * language_model.GRID), 0), language_model.DECADES * language_model.GRID - 1) if p > 0 else -1
+
+    cells = Counter()
+    for _, ws, held in docs:
+        if not held:
+            for a, b in zip(ws, ws[1:]):
+                p2, p1, bucket = estimates(a, b, 1)
+                cells[bucket, bin_of(p2), bin_of(p1)] += 1
+    weights = language_model.learn_weights([(*k, c) for k, c in cells.items()], uniform)
+
+    def probability(a, b):
+        p2, p1, bucket = estimates(a, b, 0)
+        return weights[bucket, 0] * p2 + weights[bucket, 1] * p1 + weights[bucket, 2] * uniform
+
+    want = Counter((i, len(ws) - 1, round(sum(math.log10(probability(a, b)) for a, b in zip(ws, ws[1:])), 6)) for i, ws, _ in docs)
+    for partitions in ("2", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = Counter((r.id, r.n_tokens, round(r.score, 6)) for r in language_model.score_documents(tricky).collect())
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for context in (None, b"alpha", b"a", b"words"):
+        seen = sum(probability(context, w) for w in one)
+        assert math.isclose(seen + probability(context, "a word that is nowhere"), 1.0, rel_tol=1e-9)
+
+
+def test_language_model_beats_the_base(spark, small):
     rows = language_model.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > 0.95 * sum(r.base_score for r in rows)
     weights = language_model.learn_weights([(3, 5, 20, 40), (3, -1, 10, 60), (0, -1, 30, 5)], 1e-4)
