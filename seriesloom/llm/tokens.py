@@ -42,7 +42,8 @@ DOC = struct.Struct("<qBIIQ")  # id, 1 if the id is null, frame, first token in
 DOC_TAIL = struct.Struct("<I")
 
 FRAME_TOKENS = 1 << 16
-CACHE = 100_000  # pieces in a table; there are two tables of each kind
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+CACHE = 250_000  # pieces in a table; there are two tables of each kind
 FILES = "bucket int, path string, docs bigint, tokens bigint"
 
 
@@ -70,14 +71,19 @@ class Encoder:
     piece once; a bounded table keeps the results.  A piece of letters and marks
     behind them is a word and a run of marks to the tokenizer, so these are
     looked up by themselves, and a word goes straight to the library's model.
+
+    A text that holds the text of an added token goes to the library whole,
+    which makes it that token; with ``special_as_text`` it is text like other.
     """
 
-    def __init__(self, path: str, end_id: int | None = 0, special_as_text: bool = True) -> None:
+    def __init__(self, path: str, end_id: int | None = 0, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [] if special_as_text else [t.content.encode() for t in added]
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -94,29 +100,27 @@ class Encoder:
         cuts = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(texts) + 1)).tolist()
         return [ids[4 * a : 4 * z] for a, z in zip(cuts, cuts[1:])]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of letters only, with one space before them or none: one word to the tokenizer."""
-        if not word.isascii():
-            word = "".join([self.letters[b] for b in word.encode()])
-        elif word[0] == " ":
-            word = self.letters[32] + word[1:]
-        ids = [t.id for t in self.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def piece(self, raw: bytes, space: str) -> bytes:
         """Ids of a piece with what stands before it."""
         text = raw.decode()
+        if text.isalpha():
+            return self._word(raw, space)
         core = text.rstrip(MARKS)
         if not core.isalpha():
             return self._encode([space + text])[0]
-        ids, tail = self._word(space + core), text[len(core) :]
-        if not tail:
-            return ids
+        tail = text[len(core) :]
         if tail not in self.marks:
             if len(self.marks) >= CACHE:
                 self.marks.clear()
             self.marks[tail] = self._encode([tail])[0]
-        return ids + self.marks[tail]
+        return self._word(core.encode(), space) + self.marks[tail]
+
+    def _word(self, raw: bytes, space: str) -> bytes:
+        """Ids of letters only, with one space before them or none: one word to the tokenizer."""
+        word = raw.decode("latin-1")
+        word = ("\u0120" if space else "") + (word if word.isascii() else word.translate(self.letters))
+        ids = [t.id for t in self.model.tokenize(word)]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
 
     def _odd(self, raw: bytes) -> bool:
         """Whether there is white space other than single spaces and line ends between other characters."""
@@ -130,6 +134,9 @@ class Encoder:
     def __call__(self, raw: bytes) -> bytes:
         if not raw:
             return self.end
+        if any(a in raw for a in self.added):
+            ids = self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes() + self.end
         if self._odd(raw):
             pieces = [p.encode() for p in self.cut.split(raw.decode())]
             return b"".join(map(self.first.__getitem__, pieces)) + self.end
@@ -151,21 +158,19 @@ class Pieces(dict):
 
     def __init__(self, encoder: Encoder, space: str) -> None:
         super().__init__()
-        self.encode, self.space, self.older = encoder.piece, space, {}
+        self.encode, self.space, self.older, self.room = encoder.piece, space, {}, CACHE
 
     def __missing__(self, raw: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.older = dict(self)
+        ids = self[raw] = self.older.get(raw) or self.encode(raw, self.space)
+        self.room -= 1
+        if not self.room:
+            self.older, self.room = dict(self), CACHE
             self.clear()
-        ids = self.older.get(raw)
-        if ids is None:
-            ids = self.encode(raw, self.space)
-        self[raw] = ids
         return ids
 
 
 @lru_cache(maxsize=2)
-def encoder_of(path: str, end_id: int | None, special_as_text: bool = True) -> Encoder:
+def encoder_of(path: str, end_id: int | None, special_as_text: bool = False) -> Encoder:
     """One encoder for all tasks of a worker process, so that its table of pieces stays warm."""
     return Encoder(path, end_id, special_as_text)
 
