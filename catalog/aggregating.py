@@ -8,7 +8,7 @@ from catalog.common import EVENTS_CTE, ORDERS_CTE, order_obs, event_obs, query,
 from catalog.sources import AUCTIONS_SQL, FILED_SQL, ownership_docs
 from seriesloom.operators import aggregates as agg
 from seriesloom.functions.scalars import sign_label
-from seriesloom.operators import windows
+from seriesloom.operators import clean, windows
 from seriesloom.operators.quantiles import grouped_quantile
 from seriesloom.plans import filing_path
 from seriesloom.sources.filings import parse_ownership_docs
@@ -264,6 +264,19 @@ def venue_summary(spark, sf):
     return out
 
 
+@query("refused_settlements", """SELECT event_id, concat_ws(',', CASE WHEN user_id % 10 = 2 THEN 'NO_VENUE' END, CASE WHEN value > 100 THEN 'NOT_NUMERIC' END,
+    CASE WHEN user_id % 10 IN (0, 1) THEN 'INTERVAL' END) AS violations FROM events WHERE user_id % 10 IN (0, 1, 2) OR value > 100""")
+def refused_settlements(spark, sf):
+    """Settlements without a venue, a number or a positive interval; none is left out silently."""
+    digit = F.col("user_id") % 10
+    rows = table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("asset"), F.when(digit != 2, F.col("user_id").cast("string")).otherwise(" ").alias("venue"),
+        F.col("ts").cast("timestamp").alias("settled_at"), F.when(F.col("value") <= 100, F.col("value")).otherwise(float("nan")).alias("rate"),
+        F.when(digit == 0, 0.0).when(digit != 1, 8.0).alias("interval_hours"),
+    )
+    return clean.refused(rows, agg.settlement_rules()).select("event_id", "violations")
+
+
 @query("median_across_groups", f"""WITH {VENUE_SQL} SELECT asset, count(*) AS venue_count, CASE WHEN count(*) = 1 THEN min(venue) ELSE 'MULTI_VENUE_MEDIAN' END AS venue,
   CASE count(*) WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence, round(median(dr), 8) AS latest_daily_rate, round(median(s24), 8) AS settled_sum_24h,
   round(median(mean7), 8) AS mean_daily_7d, round(median(pr), 8) AS percentile_7d FROM vs GROUP BY 1""")

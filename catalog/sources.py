@@ -21,12 +21,24 @@ def obj(**fields: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
+# Documents without data: nothing, no text, other fields, an error page, empty lists.
+EMPTY = (None, "", '{"x": 1}', "<html>busy</html>", '{"observations": [], "seriess": [], "refRates": [], "data": [], "repo": {"operations": []}}')
+
+
+def and_empty(docs, *keys):
+    """The documents, and for every key one of each kind that holds no data."""
+    empty = F.explode(F.array(*[F.lit(p).cast("string") for p in EMPTY])).alias("payload")
+    owners = docs.select(*keys).distinct() if keys else docs.sparkSession.range(1)
+    return docs.unionByName(owners.select(*keys, empty))
+
+
 @query("read_observation_json", """SELECT CAST(user_id AS VARCHAR) || '-' || event_type AS series_id,
   CAST(CAST(ts AS DATE) AS VARCHAR) AS obs_date, round(MIN(value) / 1000, 6) AS value, count(*) AS copies,
   MIN(round(value / 1000, 6)) <> MAX(round(value / 1000, 6)) AS is_conflict,
   CASE WHEN MIN(round(value / 1000, 6)) <> MAX(round(value / 1000, 6)) THEN 'CONFLICT' ELSE '' END AS violations, CAST(NULL AS VARCHAR) AS fault FROM events GROUP BY 1, 2
   UNION ALL SELECT CAST(user_id AS VARCHAR) || '-' || event_type, NULL, NULL, count(*), false, 'INVALID_DATE', '2024-13-40' FROM events GROUP BY 1
-  UNION ALL SELECT CAST(user_id AS VARCHAR) || '-' || event_type, CAST(CAST(ts AS DATE) AS VARCHAR), NULL, count(*), false, 'NOT_NUMERIC', 'n/a' FROM events GROUP BY 1, 2""")
+  UNION ALL SELECT CAST(user_id AS VARCHAR) || '-' || event_type, CAST(CAST(ts AS DATE) AS VARCHAR), NULL, count(*), false, 'NOT_NUMERIC', 'n/a' FROM events GROUP BY 1, 2
+  UNION ALL SELECT DISTINCT CAST(user_id AS VARCHAR) || '-' || event_type, NULL, NULL, 5, false, 'NO_DATA', NULL FROM events""")
 def read_observation_json(spark, sf):
     ev = table(spark, sf, "events")
     day = F.to_date("ts").cast("string")
@@ -41,7 +53,7 @@ def read_observation_json(spark, sf):
             )
         ).alias("payload"),
     )
-    return observations.parse_observations(docs, scale=1000)
+    return observations.parse_observations(and_empty(docs, "series_id"), scale=1000)
 
 
 @query("read_vintage_json", """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS series_id,
@@ -52,7 +64,8 @@ def read_observation_json(spark, sf):
     FROM o GROUP BY 1, 2)
   SELECT series_id, CAST(d AS VARCHAR) AS obs_date, value, CAST(d AS VARCHAR) AS realtime_start,
   CAST(rend AS VARCHAR) AS realtime_end, copies, is_conflict, concat_ws(',',
-    CASE WHEN is_conflict THEN 'CONFLICT' END, CASE WHEN rend < d THEN 'REALTIME_INVERTED' END) AS violations FROM g""")
+    CASE WHEN is_conflict THEN 'CONFLICT' END, CASE WHEN rend < d THEN 'REALTIME_INVERTED' END) AS violations FROM g
+  UNION ALL SELECT DISTINCT series_id, NULL, NULL, NULL, NULL, 5, false, 'NO_DATA' FROM o""")
 def read_vintage_json(spark, sf):
     o = table(spark, sf, "orders")
     day = F.to_date("o_orderdate")
@@ -71,13 +84,14 @@ def read_vintage_json(spark, sf):
             )
         ).alias("payload"),
     )
-    return observations.parse_vintages(docs)
+    return observations.parse_vintages(and_empty(docs, "series_id"))
 
 
 @query("read_series_metadata", """SELECT c_name AS series_title, c_mktsegment AS series_id, concat_ws(',',
     CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'SERIES_NOT_LISTED' END,
     CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal < 0 THEN 'MISMATCH_UNITS' END,
-    CASE WHEN c_nationkey < 5 THEN 'RANGE_INVERTED' END) AS violations FROM customer""")
+    CASE WHEN c_nationkey < 5 THEN 'RANGE_INVERTED' END) AS violations FROM customer
+  UNION ALL SELECT NULL, NULL, 'NOT_EXACTLY_ONE,NO_DATA' FROM range(5)""")
 def read_series_metadata(spark, sf):
     c = table(spark, sf, "customer")
     docs = c.select(
@@ -95,7 +109,7 @@ def read_series_metadata(spark, sf):
         ).alias("payload")
     )
     expected = {"BUILDING": {"units": "Millions"}, "MACHINERY": {"units": "Millions"}}
-    return observations.parse_series_metadata(docs, expected).select(
+    return observations.parse_series_metadata(and_empty(docs), expected).select(
         F.col("title").alias("series_title"), "series_id", "violations"
     )
 
@@ -118,7 +132,9 @@ def vintage_range_check(spark, sf):
 
 @query("read_rate_json", """WITH r AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS d, value, value > 100 AS off FROM events)
   SELECT series_id, CAST(d AS VARCHAR) AS obs_date, MIN(value) AS value, MIN(off) AS type_mismatch, count(*) AS copies,
-  MIN(value) <> MAX(value) OR MIN(off) <> MAX(off) AS is_conflict FROM r GROUP BY 1, 2""")
+  MIN(value) <> MAX(value) OR MIN(off) <> MAX(off) AS is_conflict, concat_ws(',', CASE WHEN MIN(value) <> MAX(value) OR MIN(off) <> MAX(off) THEN 'CONFLICT' END,
+    CASE WHEN MIN(off) THEN 'TYPE_MISMATCH' END) AS violations FROM r GROUP BY 1, 2
+  UNION ALL SELECT DISTINCT series_id, NULL, NULL, false, 5, false, 'NO_DATA' FROM r""")
 def read_rate_json(spark, sf):
     ev = table(spark, sf, "events")
     docs = ev.select(
@@ -133,7 +149,7 @@ def read_rate_json(spark, sf):
             )
         ).alias("payload"),
     )
-    return observations.parse_rates(docs)
+    return observations.parse_rates(and_empty(docs, "series_id"))
 
 
 def _operation_docs(spark, sf):
@@ -182,9 +198,10 @@ CENTS_SQL = "CAST(round(o_totalprice * 100) AS BIGINT)"
   CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderkey AS VARCHAR) END AS op_id,
   CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS op_date, o_orderpriority AS op_type, {RELEASE_SQL} AS released_at,
   CAST({CENTS_SQL} AS DOUBLE) AS submitted,
-  CAST(CASE WHEN o_orderstatus = 'P' THEN {CENTS_SQL} - 1 ELSE {CENTS_SQL} END AS DOUBLE) AS accepted FROM orders""")
+  CAST(CASE WHEN o_orderstatus = 'P' THEN {CENTS_SQL} - 1 ELSE {CENTS_SQL} END AS DOUBLE) AS accepted, '' AS violations FROM orders
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'NO_DATA' FROM range(5)""")
 def read_operations_json(spark, sf):
-    return operations.parse_operations(_operation_docs(spark, sf))
+    return operations.parse_operations(and_empty(_operation_docs(spark, sf)))
 
 
 @query("flatten_operation_details", f"""WITH c AS (SELECT *, {CENTS_SQL} AS cents FROM orders),
@@ -192,9 +209,10 @@ def read_operations_json(spark, sf):
     unnest([cents // 2, cents // 3, cents - cents // 2 - cents // 3]) AS amount FROM c)
   SELECT CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderkey AS VARCHAR) END AS op_id, category,
   round(amount / 1000, 6) AS submitted, round(amount / 1000, 6) AS accepted,
-  4.5::DOUBLE AS rate, CASE WHEN o_orderstatus = 'P' THEN 'HEADER_TOTAL' ELSE '' END AS problems FROM d""")
+  4.5::DOUBLE AS rate, CASE WHEN o_orderstatus = 'P' THEN 'HEADER_TOTAL' ELSE '' END AS problems FROM d
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'NO_DATA' FROM range(5)""")
 def flatten_operation_details(spark, sf):
-    rows = operations.flatten_details(_operation_docs(spark, sf), divisor=1e3)
+    rows = operations.flatten_details(and_empty(_operation_docs(spark, sf)), divisor=1e3)
     return rows.select("op_id", "category", "submitted", "accepted", "rate", "problems")
 
 
@@ -204,7 +222,8 @@ def flatten_operation_details(spark, sf):
   CASE WHEN c_mktsegment = 'BUILDING' THEN 'open_today_bal' ELSE 'close_today_bal' END AS source_field,
   c_acctbal < 0 AS wrong_account, CAST(1 AS BIGINT) AS copies, false AS is_conflict,
   CASE WHEN c_acctbal < 0 THEN 'WRONG_ACCOUNT' ELSE '' END AS violations FROM customer
-  UNION ALL SELECT CAST(c_custkey AS VARCHAR), NULL, NULL, 'close_today_bal', false, 1, false, 'INVALID_DATE,NOT_NUMERIC' FROM customer""")
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), NULL, NULL, 'close_today_bal', false, 1, false, 'INVALID_DATE,NOT_NUMERIC' FROM customer
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), NULL, NULL, NULL, false, 5, false, 'NO_DATA' FROM customer""")
 def read_balance_rows(spark, sf):
     c = table(spark, sf, "customer")
     building = F.col("c_mktsegment") == "BUILDING"
@@ -225,7 +244,7 @@ def read_balance_rows(spark, sf):
             )
         ).alias("payload"),
     )
-    return balances.parse_balances(docs, account="Closing")
+    return balances.parse_balances(and_empty(docs, "series_id"), account="Closing")
 
 
 AUCTIONS_SQL = """au AS (SELECT CAST(l_partkey AS VARCHAR) AS security_id, CAST(l_shipdate AS DATE) - 7 AS auction_date,
@@ -248,14 +267,15 @@ def _auctions(spark, sf):
             )
         ).alias("payload")
     )
-    return balances.parse_auctions(docs, divisor=1e3)
+    return balances.parse_auctions(and_empty(docs), divisor=1e3)
 
 
 @query("read_auction_rows", f"""WITH {AUCTIONS_SQL} SELECT security_id, CAST(auction_date AS VARCHAR) AS auction_date,
   CAST(issue_date AS VARCHAR) AS issue_date, MIN(amount) AS amount, MIN(kind) AS kind, MIN(term) AS term,
   count(*) AS copies, MIN(amount) <> MAX(amount) OR MIN(kind) <> MAX(kind) OR MIN(term) <> MAX(term) AS is_conflict,
   CASE WHEN MIN(amount) <> MAX(amount) OR MIN(kind) <> MAX(kind) OR MIN(term) <> MAX(term) THEN 'CONFLICT' ELSE '' END AS violations
-  FROM au GROUP BY au.security_id, au.auction_date, au.issue_date""")
+  FROM au GROUP BY au.security_id, au.auction_date, au.issue_date
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 5, false, 'NO_DATA'""")
 def read_auction_rows(spark, sf):
     return _auctions(spark, sf)
 

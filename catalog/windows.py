@@ -10,7 +10,7 @@ from catalog.common import (
     event_obs, order_obs, quarter_obs, query, ship_obs, table, user_obs,
 )
 from seriesloom.functions.scalars import quarter_ordinal
-from seriesloom.operators import bands, growth, windows
+from seriesloom.operators import bands, clean, growth, windows
 from seriesloom.plans.records import tail_statistics
 
 
@@ -275,6 +275,27 @@ def step_changes(spark, sf):
     return out.withColumn("value", F.round("value", 9))
 
 
+@query("refused_prices", f"""WITH {EVENTS_CTE} SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, 'NOT_POSITIVE' AS violations FROM ev
+  WHERE series_id IN ('click', 'view', 'signup') AND dayofmonth(obs_date) <= 5""")
+def refused_prices(spark, sf):
+    low = F.dayofmonth("obs_date") <= 5
+    obs = event_obs(spark, sf).withColumn("value", F.when(low, F.dayofmonth("obs_date") - 5.0).otherwise(F.col("value")))
+    return clean.refused(obs, windows.price_rules(KINDS)).select("series_id", "obs_date", "violations")
+
+
+@query("refused_positions", """SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_linenumber = 3 THEN 'NO_DATE' END,
+    CASE WHEN l_returnflag = 'N' THEN 'OPEN_INTEREST' END, CASE WHEN l_linestatus = 'F' AND l_linenumber = 1 THEN 'POSITION' END) AS violations
+  FROM lineitem WHERE l_linenumber = 3 OR l_returnflag = 'N' OR l_linestatus = 'F' AND l_linenumber = 1""")
+def refused_positions(spark, sf):
+    li = table(spark, sf, "lineitem")
+    reports = li.select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 3, F.to_date("l_shipdate")).alias("obs_date"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice").cast("bigint")).alias("open_interest"),
+        F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1), -1).otherwise(1).alias("a_long"), F.lit(0).alias("a_short"),
+    )
+    return clean.refused(reports, windows.position_rules({"a": ("a_long", "a_short")})).select("l_orderkey", "l_linenumber", "violations")
+
+
 @query("pairwise_corr", f"""WITH {STEPS_SQL}, p AS (SELECT 'click_view' AS pair, 'click' AS l, 'view' AS r
     UNION ALL SELECT 'click_error', 'click', 'error' UNION ALL SELECT 'purchase_signup', 'purchase', 'signup'),
   j AS (SELECT pair, a.obs_date, a.v AS x, b.v AS y FROM p JOIN ch a ON a.series_id = p.l

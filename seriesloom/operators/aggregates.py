@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.hashing import group_fingerprint
-from seriesloom.functions.scalars import ratio
-from seriesloom.operators.clean import fold_duplicates
+from seriesloom.functions.scalars import any_of, finite, ratio
+from seriesloom.operators.clean import fold_duplicates, raise_refused
 from seriesloom.operators.quantiles import grouped_quantile
 
 MONEY = "decimal(38,6)"
@@ -383,17 +383,34 @@ def day_completeness(
 # --- venues ----------------------------------------------------------------
 
 
+def settlement_rules(
+    *, by: Sequence[str] = ("asset",), venue: str = "venue", time: str = "settled_at", rate: str = "rate",
+    interval: str = "interval_hours",
+) -> list[tuple[Column, str]]:
+    """What a settlement must not be; `clean.refused` lists the rows, ``venue_summary(strict=True)`` fails on them."""
+    names = [F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "") for c in (*by, venue)]
+    return [
+        (any_of(names), "NO_VENUE"), (F.col(time).isNull(), "NO_TIME"),
+        (finite(rate).isNull(), "NOT_NUMERIC"), (~(F.col(interval) > 0), "INTERVAL"),
+    ]
+
+
 def venue_summary(
     events: DataFrame, *, as_of, by: Sequence[str] = ("asset",), venue: str = "venue",
-    time: str = "settled_at", rate: str = "rate", interval: str = "interval_hours",
+    time: str = "settled_at", rate: str = "rate", interval: str = "interval_hours", strict: bool = False,
 ) -> DataFrame:
     """Per (asset, venue): latest settlement, 24 h sum and 7 d figures.
 
+    Rows with an interval that isn't positive are left out here and listed by
+    `clean.refused` with `settlement_rules`; ``strict`` raises on the first.
+
     The 24 h window is open at its left end, the 7 d one closed. The mid-rank of
     the latest rate comes from counts per distinct rate, so it needs no window
     over a venue's settlements.
     """
     end = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+    if strict:
+        events = raise_refused(events, settlement_rules(by=by, venue=venue, time=time, rate=rate, interval=interval))
     daily = F.col(rate) * 24 / F.col(interval)
     recent = events.where(
         (F.col(time) <= end)

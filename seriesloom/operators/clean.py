@@ -182,6 +182,17 @@ def raw_markup_rows(df: DataFrame, columns: Sequence[str], tags: Sequence[str])
 # --- duplicates and conflicts ----------------------------------------------
 
 
+def refused(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
+    """The rows for which some rule holds, with its codes in ``violations``."""
+    return df.withColumn("violations", codes([(F.coalesce(c, F.lit(True)), code) for c, code in rules])).where(F.size("violations") > 0)
+
+
+def raise_refused(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
+    """The rows unchanged; the job fails on the first for which some rule holds, or can't be decided."""
+    found = F.concat_ws(",", codes([(F.coalesce(c, F.lit(True)), code) for c, code in rules]))
+    return df.where(F.when(found != "", F.raise_error(found).cast("boolean")).otherwise(F.lit(True)))
+
+
 def fold_duplicates(
     df: DataFrame, key: Sequence[str], payload: Sequence[str], *,
     skip_null: str | None = None, strict: bool = False,

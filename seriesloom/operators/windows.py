@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from seriesloom.functions.scalars import ratio, sign_label
+from seriesloom.functions.scalars import all_of, ratio, sign_label
+from seriesloom.operators.clean import raise_refused
 from seriesloom.operators.joins import pair_on_date
 
 BY = ("series_id",)
@@ -360,11 +361,23 @@ def momentum_regime(
     )
 
 
+def price_rules(kinds: Mapping[str, str], *, by: str = "series_id", value: str = "value") -> list[tuple[Column, str]]:
+    """What an observation must not be: a price of zero or less. A missing value is no fault."""
+    prices = [k for k, kind in kinds.items() if kind == "price"]
+    return [(F.coalesce(F.col(by).isin(*prices) & (F.col(value) <= 0), F.lit(False)), "NOT_POSITIVE")]
+
+
 def step_changes(
     obs: DataFrame, kinds: Mapping[str, str], *, by: str = "series_id",
-    date: str = "obs_date", value: str = "value",
+    date: str = "obs_date", value: str = "value", strict: bool = False,
 ) -> DataFrame:
-    """Log return for ``price`` series, basis-point difference for ``yield`` ones."""
+    """Log return for ``price`` series, basis-point difference for ``yield`` ones.
+
+    There is no step to or from a price of zero or less; `clean.refused` with
+    `price_rules` lists these rows, ``strict`` raises on the first.
+    """
+    if strict:
+        obs = raise_refused(obs, price_rules(kinds, by=by, value=value))
     previous = F.lag(value).over(ordered([by], date))
     kind = F.try_element_at(
         F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col(by)
@@ -403,11 +416,26 @@ def pairwise_correlation(
     return both.select(*out)
 
 
+def position_rules(
+    categories: Mapping[str, tuple[str, str]], *, date: str = "obs_date", total: str = "open_interest",
+) -> list[tuple[Column, str]]:
+    """What a report must not be: without a date, without open interest, with a negative or missing position."""
+    sides = [F.col(c) >= 0 for pair in categories.values() for c in pair]
+    return [(F.col(date).isNull(), "NO_DATE"), (~(F.col(total) > 0), "OPEN_INTEREST"), (~all_of(sides), "POSITION")]
+
+
 def position_series(
     reports: DataFrame, categories: Mapping[str, tuple[str, str]], *,
-    by: Sequence[str] = ("contract",), date: str = "obs_date", total: str = "open_interest",
+    by: Sequence[str] = ("contract",), date: str = "obs_date", total: str = "open_interest", strict: bool = False,
 ) -> DataFrame:
-    """Net position and net percent of open interest per trader category."""
+    """Net position and net percent of open interest per trader category.
+
+    Reports without open interest have no percentage and are left out here;
+    `clean.refused` with `position_rules` lists them, ``strict`` raises on the
+    first report that breaks a rule.
+    """
+    if strict:
+        reports = raise_refused(reports, position_rules(categories, date=date, total=total))
     entry = F.explode(
         F.array(
             *[

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.functions.scalars import codes
+
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per file: file, payload. For documents that must be read whole."""
@@ -31,12 +33,32 @@ def parse_json(docs: DataFrame, schema, payload: str = "payload") -> DataFrame:
     return computed_once(docs, doc=F.from_json(payload, schema))
 
 
+def elements(parsed: DataFrame, array: str, alias: str, *keep: str | Column) -> DataFrame:
+    """A row per element of a document's array; one row marked ``_none`` for a document without elements, so none vanishes."""
+    none = (F.coalesce(F.size(array), F.lit(0)) <= 0).alias("_none")
+    return parsed.select(*keep, none, F.explode_outer(array).alias(alias))
+
+
 def is_html_page(text: Column) -> Column:
     """An error page that landed in place of data."""
     head = F.lower(F.left(F.trim(text, F.lit(" \t\r\n")), F.lit(20)))
     return head.startswith("<html") | head.startswith("<!doctype html")
 
 
+def no_data_or(rules):
+    """The rules for rows of documents that have elements; ``NO_DATA`` for those that have none."""
+    return [(F.col("_none"), "NO_DATA"), *[(~F.col("_none") & cond, code) for cond, code in rules]]
+
+
+def coded(df: DataFrame, rules, strict: bool) -> DataFrame:
+    """Add ``violations``; ``strict`` raises on the first row that has one."""
+    out = df.withColumn("violations", codes(rules))
+    if strict:
+        found = F.concat_ws(",", "violations")
+        out = out.where(F.when(found != "", F.raise_error(found).cast("boolean")).otherwise(F.lit(True)))
+    return out
+
+
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later steps may use often but must not compute again.
 

@@ -12,7 +12,7 @@ from seriesloom.functions.scalars import (
     MISSING_TOKENS, codes, parse_number, strict_date, utc_timestamp,
 )
 from seriesloom.operators.clean import fold_duplicates
-from seriesloom.sources.landing import parse_json
+from seriesloom.sources.landing import coded, elements, no_data_or, parse_json
 
 
 def parse_observations(
@@ -22,18 +22,16 @@ def parse_observations(
     """``observations[]`` exploded: missing tokens drop, values are scaled, an
     optional cut-off date applies, repeats fold and conflicts are marked.
 
-    A document without the array, a row without a date and a value that is no
+    A document without an observation, a row without a date and a value that is no
     number are kept, folded by what they say, with a code in ``violations`` and
     the text in ``fault``; ``strict`` raises on the first of them.
     """
     told = F.trim("o.value")
     missing = F.coalesce(told, F.lit("")).isin(*MISSING_TOKENS)
-    rows = parse_json(docs, schemas.OBSERVATION_DOC, payload).select(
-        *by, F.col("doc.observations").isNull().alias("_none"), F.explode_outer("doc.observations").alias("o")
-    ).select(
+    rows = elements(parse_json(docs, schemas.OBSERVATION_DOC, payload), "doc.observations", "o", *by).select(
         *by, strict_date("o.date").alias("obs_date"),
         F.round(parse_number("o.value") / F.lit(float(scale)), 6).alias("value"),
-        F.when(F.col("_none"), "NO_OBSERVATIONS")
+        F.when(F.col("_none"), "NO_DATA")
         .when(F.col("o").isNotNull() & strict_date("o.date").isNull(), "INVALID_DATE")
         .when(~missing & parse_number("o.value").isNull(), "NOT_NUMERIC").alias("_code"),
         F.when(strict_date("o.date").isNull(), F.col("o.date")).otherwise(told).alias("_text"),
@@ -64,11 +62,11 @@ def parse_vintages(
     payload: str = "payload",
 ) -> DataFrame:
     """Vintage observations: a missing marker is kept as null and the realtime
-    range travels along. A row with an inverted range is a violation."""
-    rows = parse_json(docs, schemas.OBSERVATION_DOC, payload).select(
-        *by, F.explode_outer("doc.observations").alias("o")
-    ).select(
-        *by, strict_date("o.date").alias("obs_date"), parse_number("o.value").alias("value"),
+    range travels along. A row with an inverted range is a violation, and so is
+    a document without an observation; ``strict`` raises on the first conflict
+    or such document."""
+    rows = elements(parse_json(docs, schemas.OBSERVATION_DOC, payload), "doc.observations", "o", *by).select(
+        *by, "_none", strict_date("o.date").alias("obs_date"), parse_number("o.value").alias("value"),
         strict_date("o.realtime_start").alias("realtime_start"),
         strict_date("o.realtime_end").alias("realtime_end"),
         (
@@ -77,13 +75,16 @@ def parse_vintages(
         ).alias("not_numeric"),
     )
     folded = fold_duplicates(
-        rows, [*by, "obs_date"], ["value", "realtime_start", "realtime_end", "not_numeric"],
+        rows, [*by, "obs_date", "_none"], ["value", "realtime_start", "realtime_end", "not_numeric"],
         strict=strict,
     )
+    if strict:
+        missing = F.raise_error(F.lit("NO_DATA")).cast("boolean")
+        folded = folded.where(F.when(F.col("_none"), missing).otherwise(F.lit(True)))
     return folded.withColumn(
         "violations",
         codes(
-            [
+            no_data_or([
                 (F.col("is_conflict"), "CONFLICT"),
                 (F.col("obs_date").isNull(), "INVALID_DATE"),
                 (F.col("not_numeric"), "NOT_NUMERIC"),
@@ -92,18 +93,19 @@ def parse_vintages(
                     "REALTIME_MISSING",
                 ),
                 (F.col("realtime_end") < F.col("realtime_start"), "REALTIME_INVERTED"),
-            ]
+            ])
         ),
-    ).drop("not_numeric")
+    ).drop("not_numeric", "_none")
 
 
 def parse_series_metadata(
     docs: DataFrame, expected: Mapping[str, Mapping[str, str]], *, payload: str = "payload"
 ) -> DataFrame:
     """One metadata row per series with the fields that differ from the reviewed
-    contract (``expected``: series id → field → value)."""
-    row = parse_json(docs, schemas.SERIES_METADATA_DOC, payload).select(
-        F.size("doc.seriess").alias("_n"), F.explode("doc.seriess").alias("m")
+    contract (``expected``: series id → field → value). A document without a
+    series is a row of its own."""
+    row = elements(
+        parse_json(docs, schemas.SERIES_METADATA_DOC, payload), "doc.seriess", "m", F.size("doc.seriess").alias("_n")
     )
     fields = sorted({f for spec in expected.values() for f in spec})
     rules: list[tuple[Column, str]] = [
@@ -132,7 +134,8 @@ def parse_series_metadata(
         F.col("m.seasonal_adjustment").alias("seasonal_adjustment"),
         utc_timestamp("m.last_updated").alias("last_updated"),
         start.alias("observation_start"), end.alias("observation_end"),
-        F.col("m.notes").alias("notes"), codes(rules).alias("violations"),
+        F.col("m.notes").alias("notes"),
+        codes([(F.col("_none"), "NOT_EXACTLY_ONE"), *no_data_or(rules)]).alias("violations"),
     )
 
 
@@ -151,22 +154,20 @@ def parse_rates(
     payload: str = "payload",
 ) -> DataFrame:
     """Rate rows whose declared type must equal the expected one (a column of
-    ``docs``); rows of another type carry ``type_mismatch``."""
-    rows = parse_json(docs, schemas.RATE_DOC, payload).select(
-        F.col(expected).alias("series_id"), F.explode("doc.refRates").alias("r")
+    ``docs``); rows of another type carry ``type_mismatch``. ``violations`` names
+    what is wrong with a row or a document without rows; ``strict`` raises on it."""
+    rows = elements(
+        parse_json(docs, schemas.RATE_DOC, payload), "doc.refRates", "r", F.col(expected).alias("series_id")
     ).select(
-        "series_id", strict_date("r.effectiveDate").alias("obs_date"),
+        "series_id", "_none", strict_date("r.effectiveDate").alias("obs_date"),
         parse_number("r.percentRate").alias("value"),
-        (~F.col("r.type").eqNullSafe(F.upper(F.trim("series_id")))).alias("type_mismatch"),
+        (~F.col("_none") & ~F.col("r.type").eqNullSafe(F.upper(F.trim("series_id")))).alias("type_mismatch"),
     )
     folded = fold_duplicates(
-        rows, ["series_id", "obs_date"], ["value", "type_mismatch"], strict=strict
+        rows, ["series_id", "obs_date", "_none"], ["value", "type_mismatch"], strict=strict
     )
-    if strict:
-        folded = folded.where(
-            F.when(
-                F.col("type_mismatch") | F.col("value").isNull() | F.col("obs_date").isNull(),
-                F.raise_error(F.lit("rate row of another type or without value")).cast("boolean"),
-            ).otherwise(F.lit(True))
-        )
-    return folded
+    rules = [
+        (F.col("is_conflict"), "CONFLICT"), (F.col("obs_date").isNull(), "INVALID_DATE"),
+        (F.col("value").isNull(), "NOT_NUMERIC"), (F.col("type_mismatch"), "TYPE_MISMATCH"),
+    ]
+    return coded(folded, no_data_or(rules), strict).drop("_none")

@@ -12,7 +12,7 @@ from seriesloom.functions.scalars import (
     any_of, codes, local_to_utc, parse_number, strict_date,
 )
 from seriesloom.operators.clean import operation_identity
-from seriesloom.sources.landing import parse_json
+from seriesloom.sources.landing import coded, elements, no_data_or, parse_json
 
 # How the feed names a security type, and our category for it.
 CATEGORY_ALIASES = {
@@ -33,10 +33,8 @@ CATEGORY_SPELLINGS = {
 def _operations(docs: DataFrame, payload: str) -> DataFrame:
     keep = [c for c in docs.columns if c != payload]
     stamp = F.try_to_timestamp(F.trim("o.lastUpdated"), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return parse_json(docs, schemas.OPERATIONS_DOC, payload).select(
-        *keep, F.explode("doc.repo.operations").alias("o")
-    ).select(
-        *keep, F.trim("o.operationId").alias("op_id"),
+    return elements(parse_json(docs, schemas.OPERATIONS_DOC, payload), "doc.repo.operations", "o", *keep).select(
+        *keep, "_none", F.trim("o.operationId").alias("op_id"),
         strict_date("o.operationDate").alias("op_date"), F.col("o.operationType").alias("op_type"),
         local_to_utc(stamp).alias("released_at"),
         parse_number("o.totalAmtSubmitted").alias("submitted"),
@@ -48,11 +46,17 @@ def _operations(docs: DataFrame, payload: str) -> DataFrame:
     )
 
 
-def parse_operations(docs: DataFrame, *, payload: str = "payload") -> DataFrame:
+def parse_operations(docs: DataFrame, *, strict: bool = False, payload: str = "payload") -> DataFrame:
     """One header row per identity. The release stamp is local wall time and
     becomes an instant. Repeats of one identity fold in the job that follows
-    (:func:`seriesloom.operators.clean.fold_duplicates` on ``identity``)."""
-    return _operations(docs, payload).drop("details")
+    (:func:`seriesloom.operators.clean.fold_duplicates` on ``identity``). A
+    document without operations is a row with ``NO_DATA``; ``strict`` raises on
+    the first row with a violation."""
+    rules = [
+        (F.col("identity").isNull(), "NO_IDENTITY"), (F.col("op_date").isNull(), "INVALID_DATE"),
+        (F.col("submitted").isNull() | F.col("accepted").isNull(), "NOT_NUMERIC"),
+    ]
+    return coded(_operations(docs, payload).drop("details"), no_data_or(rules), strict).drop("_none")
 
 
 def flatten_details(
@@ -85,7 +89,7 @@ def flatten_details(
 
     names = F.transform("_d", lambda d: d["security"])
     problems = codes(
-        [
+        no_data_or([
             (F.col("identity").isNull(), "NO_IDENTITY"),
             (F.col("op_date").isNull(), "NO_DATE"),
             (F.coalesce(F.size("_d"), F.lit(0)) <= 0, "NO_DETAILS"),
@@ -107,7 +111,7 @@ def flatten_details(
                 ),
                 "AMOUNT_DOMAIN",
             ),
-        ]
+        ])
     )
     keep = [c for c in docs.columns if c != payload]
     return ops.withColumn("problems", problems).select(

@@ -16,7 +16,7 @@ from seriesloom.operators import clean, joins
 from seriesloom.operators.quantiles import grouped_quantile
 from seriesloom.plans import filing_path
 from seriesloom.rules import alerts, freshness, model
-from seriesloom.sources import facts, filings, observations, operations, reviewed
+from seriesloom.sources import balances, facts, filings, observations, operations, reviewed
 
 DOCUMENT = """<SEC-DOCUMENT>0000732101-25-004417.txt : 20250318
 <SEC-HEADER>
@@ -179,7 +179,7 @@ def test_observations_missing_conflict_and_scale(spark):
 @pytest.mark.parametrize("doc, code, fault", [
     ({"observations": [{"date": "2026-02-30", "value": "1"}]}, "INVALID_DATE", "2026-02-30"),
     ({"observations": [{"date": "2026-02-03", "value": "many"}]}, "NOT_NUMERIC", "many"),
-    ({"message": "busy"}, "NO_OBSERVATIONS", None),
+    ({"message": "busy"}, "NO_DATA", None),
 ])
 def test_faulty_observations_are_reported_or_raised(spark, doc, code, fault):
     docs = spark.createDataFrame([("s", json.dumps(doc))], "series_id string, payload string")
@@ -517,3 +517,34 @@ def test_number_text(spark, text, value):
                                       ("2026-08-12+14:01", False), ("2026-08-12+15:00", False), ("2026-02-30", False), ("2026-8-1", False)])
 def test_xs_date(spark, text, ok):
     assert (one(spark.range(1).select(scalars.xs_date(F.lit(text)).alias("v")))["v"] is not None) is ok
+
+
+# --- documents without data ---------------------------------------------------
+
+NOTHING = [None, "", "<html>busy</html>", '{"x": 1}', '{"data": [], "refRates": [], "observations": [], "seriess": [], "repo": {"operations": []}}']
+EMPTY_PARSERS = {
+    "observations": lambda d, **k: observations.parse_observations(d, **k),
+    "vintages": lambda d, **k: observations.parse_vintages(d, **k),
+    "rates": lambda d, **k: observations.parse_rates(d, **k),
+    "balances": lambda d, **k: balances.parse_balances(d, account="a", **k),
+    "auctions": lambda d, **k: balances.parse_auctions(d, by=["series_id"], **k),
+    "operations": lambda d, **k: operations.parse_operations(d, **k),
+}
+
+
+@pytest.mark.parametrize("name", EMPTY_PARSERS)
+def test_no_document_without_data_vanishes(spark, name):
+    docs = spark.createDataFrame([(f"s{i}", text) for i, text in enumerate(NOTHING)], "series_id string, payload string")
+    got = rows(EMPTY_PARSERS[name](docs), "series_id")
+    assert [r["series_id"] for r in got] == [f"s{i}" for i in range(len(NOTHING))]
+    assert all(r["violations"] in ("NO_DATA", ["NO_DATA"]) for r in got)
+    for i in range(len(NOTHING)):
+        with pytest.raises(Exception, match="NO_DATA"):
+            EMPTY_PARSERS[name](docs.where(f"series_id = 's{i}'"), strict=True).collect()
+
+
+def test_metadata_and_details_of_documents_without_data(spark):
+    docs = spark.createDataFrame([(text,) for text in NOTHING], "payload string")
+    got = rows(observations.parse_series_metadata(docs, {"a": {"units": "x"}}))
+    assert [r["violations"] for r in got] == [["NOT_EXACTLY_ONE", "NO_DATA"]] * len(NOTHING)
+    assert [r["problems"] for r in rows(operations.flatten_details(docs))] == [["NO_DATA"]] * len(NOTHING)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,3 +307,36 @@ def test_range_window_counts_from_the_global_latest(obs):
     data = obs([("a", "2024-01-31", 1.0), ("b", "2023-12-31", 1.0), ("b", "2023-12-30", 1.0)])
     assert sorted(r["obs_date"] for r in rows(range_window_filter(data, 31))) == [date(2023, 12, 31), date(2024, 1, 31)]
     assert range_window_filter(data, None).count() == 3
+
+
+# --- rows that must not be -----------------------------------------------------
+
+
+def test_refused_market_rows_are_listed_and_strict_raises(spark):
+    from seriesloom.operators import aggregates, clean, windows
+
+    columns = "asset string, venue string, settled_at timestamp, rate double, interval_hours double"
+    at = datetime(2024, 1, 10)
+    good, bad = ("a", "v", at, 0.1, 8.0), [("a", "v", at, 0.1, 0.0), ("a", " ", None, None, None), ("a", "v", at, float("inf"), -1.0)]
+    rules = aggregates.settlement_rules()
+    found = [r["violations"] for r in clean.refused(spark.createDataFrame([good, *bad], columns), rules).collect()]
+    assert sorted(found) == sorted([["INTERVAL"], ["NO_VENUE", "NO_TIME", "NOT_NUMERIC", "INTERVAL"], ["NOT_NUMERIC", "INTERVAL"]])
+    assert aggregates.venue_summary(spark.createDataFrame([good], columns), as_of=at, strict=True).count() == 1
+    for row in bad:
+        with pytest.raises(Exception, match="INTERVAL"):
+            aggregates.venue_summary(spark.createDataFrame([good, row], columns), as_of=at, strict=True).collect()
+
+    kinds = {"p": "price", "y": "yield"}
+    obs = spark.createDataFrame([("p", date(2024, 1, 1), 1.0), ("p", date(2024, 1, 2), 0.0), ("p", date(2024, 1, 3), None), ("y", date(2024, 1, 1), -1.0)], "series_id string, obs_date date, value double")
+    assert [(r["series_id"], r["value"]) for r in clean.refused(obs, windows.price_rules(kinds)).collect()] == [("p", 0.0)]
+    with pytest.raises(Exception, match="NOT_POSITIVE"):
+        windows.step_changes(obs, kinds, strict=True).collect()
+    assert windows.step_changes(obs.where("value <> 0"), kinds, strict=True).count() == 0
+
+    reports = spark.createDataFrame([("c", date(2024, 1, 1), 10, 1, 1), ("c", None, 10, 1, 1), ("c", date(2024, 1, 2), 0, 1, -1), ("c", date(2024, 1, 3), None, None, 1)],
+                                    "contract string, obs_date date, open_interest long, l long, s long")
+    sides = {"x": ("l", "s")}
+    found = [r["violations"] for r in clean.refused(reports, windows.position_rules(sides)).collect()]
+    assert sorted(found) == [["NO_DATE"], ["OPEN_INTEREST", "POSITION"], ["OPEN_INTEREST", "POSITION"]]
+    with pytest.raises(Exception, match="OPEN_INTEREST|NO_DATE"):
+        windows.position_series(reports, sides, strict=True).collect()
