@@ -69,11 +69,11 @@ def poisson_replicate(
     within them by a hash of seed, id and copy.  Null sources are a source of
     their own; null ids draw by the text ``null``; null or empty texts are
     copied like others; repeated rows draw the same number; an empty table
-    gives an empty one.  ``copy_col`` must not be a column of the documents;
-    None leaves it out.  The source table is written before the join, so its
+    gives an empty one.  ``copy_col`` must not be a column of the documents, in
+    whatever case; None leaves it out.  Other columns may have any names.  The source table is written before the join, so its
     real size decides whether it is broadcast.
     """
-    if copy_col in docs.columns:
+    if copy_col is not None and copy_col.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"the documents have a column {copy_col}")
     pieces = F.ceil(F.col("rate") / PART).cast("int")
     mean = F.col("rate") / F.greatest(pieces, F.lit(1))
@@ -91,21 +91,23 @@ def poisson_replicate(
         .select("mix_source", F.greatest(pieces, F.lit(1)).alias("mix_pieces"), cdf.alias("mix_cdf")),
         "mix-rates",
     )
-    name = F.coalesce(docs[id_col].cast("string"), F.lit("null"))
+    # The row travels as one column, so no column of its can meet a name used here.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"))
+    name = F.coalesce(F.col("mix_row")[id_col].cast("string"), F.lit("null"))
 
     def drawn(i: Column) -> Column:
         u = uniform(F.lit(str(seed)), name, i.cast("string"))
         return F.size(F.filter("mix_cdf", lambda c: c <= u))
 
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["mix_source"]))
+    joined = packed.join(rates, F.col("mix_row")[source_col].eqNullSafe(F.col("mix_source")))
     count = F.aggregate(
         F.transform(F.sequence(F.lit(1), F.col("mix_pieces")), drawn), F.lit(0), lambda a, k: a + k
     )
     copies = joined.withColumn("mix_n", count).where("mix_n > 0").withColumn(
         "mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n")))
     )
-    place = F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix_copy"))
-    kept = [F.col(c) for c in docs.columns] + ([F.col("mix_copy").cast("bigint").alias(copy_col)] if copy_col else [])
+    place = F.xxhash64(F.lit(seed), F.col("mix_row")[id_col], F.col("mix_copy"))
+    kept = [F.col("mix_row.*")] + ([F.col("mix_copy").cast("bigint").alias(copy_col)] if copy_col else [])
     return (
         copies.withColumn("mix_place", place)
         .repartition(shuffle_partitions(docs.sparkSession), "mix_place").sortWithinPartitions("mix_place")

@@ -412,14 +412,16 @@ def keep_one(
     0.8 is refused, as that is not so there.  A group is what links connect.
     Of a group the smallest id stays, of equal ids the text with the smallest
     hash, of equal rows one; null ids stay only where a group has no other.
-    Wordless documents are one group.
+    Wordless documents are one group.  Columns may have any names.
     """
     if least < RESEMBLANCE:
         raise ValueError("the bands are made for a resemblance of 0.8 or more")
     own = save(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle), "signatures")
     ident = F.col(id_col).cast("bigint")
-    rows = docs.withColumn("dedup_null", ident.isNull()).withColumn("dedup_id", F.coalesce(ident, F.lit(0))).withColumn(
-        "dedup_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    # The row travels as one column, so no column of its can meet a name used here.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("dedup_row"), ident.isNull().alias("dedup_null"),
+        F.coalesce(ident, F.lit(0)).alias("dedup_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("dedup_th"),
     )
     first = F.struct(
         F.col("id").isNull().alias("dedup_null"), F.coalesce("id", F.lit(0)).alias("dedup_id"), F.col("th").alias("dedup_th"),
@@ -432,7 +434,7 @@ def keep_one(
     some = save(nodes.join(keys.join(several, "key").select("node").distinct(), "node"), "candidates")
     place = ["dedup_null", "dedup_id", "dedup_th"]
     texts = save(
-        rows.select(*place, F.col(text_col).alias("text")).join(some.select("node", *place), place)
+        rows.select(*place, F.col("dedup_row")[text_col].alias("text")).join(some.select("node", *place), place)
         .groupBy("node").agg(F.any_value("text").alias("text")), "candidate-texts",
     )
     some = some.select("node", "size", "sig", "keys", F.xxhash64("node").alias("label"))
@@ -453,5 +455,5 @@ def keep_one(
     same = Window.partitionBy(*place).orderBy("dedup_th")
     return (
         rows.join(kept, place).withColumn("dedup_n", F.row_number().over(same))
-        .where("dedup_n = 1").select(*docs.columns)
+        .where("dedup_n = 1").select("dedup_row.*")
     )

@@ -326,3 +326,18 @@ def test_stages_of_an_empty_and_a_tricky_table(spark, tricky, empty, small):
 def test_base_text_is_near_its_copy():
     a, b = (simhash.simhash(shingle_hashes(words(t.encode()), 5)) for t in (BASE, BASE + " end"))
     assert (a ^ b).bit_count() <= 8
+
+
+def test_columns_named_like_those_used_inside_come_back_unchanged(spark):
+    names = ["mix_row", "mix_n", "mix_copy", "mix_place", "mix_pieces", "mix_cdf", "mix_source", "units", "rate", "w"]
+    names += ["dedup_row", "dedup_null", "dedup_id", "dedup_th", "dedup_n", "node", "label", "a.b"]
+    rows = [(k, f"text number {k} of its own kind " * 3, f"s{k % 2}", *[f"{n} {k}" for n in names]) for k in range(40)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    want = {r[0]: r for r in rows}
+    mixed = mixing.poisson_replicate(docs)
+    assert mixed.columns == [*docs.columns, "copy"]
+    assert mixed.count() > 10 and all(tuple(r)[:-1] == want[r.doc_id] for r in mixed.collect())
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and all(tuple(r) == want[r.doc_id] for r in kept.collect()) and kept.count() > 0
+    with pytest.raises(ValueError):
+        mixing.poisson_replicate(docs, copy_col="DOC_ID")
