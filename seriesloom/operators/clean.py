@@ -188,9 +188,13 @@ def refused(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
 
 
 def raise_refused(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
-    """The rows unchanged; the job fails on the first for which some rule holds, or can't be decided."""
+    """The rows unchanged; the job fails on the first for which some rule holds, or can't be decided.
+
+    Every column carries the rule, as a filter could be put behind a later one
+    that removes the row first.
+    """
     found = F.concat_ws(",", codes([(F.coalesce(c, F.lit(True)), code) for c, code in rules]))
-    return df.where(F.when(found != "", F.raise_error(found).cast("boolean")).otherwise(F.lit(True)))
+    return df.select(*[F.when(found != "", F.raise_error(found)).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def fold_duplicates(
