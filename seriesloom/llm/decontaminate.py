@@ -7,12 +7,17 @@ item, so any copy of an item lies whole in one.  A passage is a query of its
 distinct words.  Scores are BM25 divided by the item's score for itself, so one
 threshold fits items of all lengths: all items at or above it are retrieved.
 
-Postings are grouped into blocks of items with the largest weight of each word
-in each block (block-max).  A passage's sum of those maxima bounds the score of
-every item of the block; only blocks whose bound reaches the threshold are
-scored (WAND with no top-k, so the threshold stands still).  Retrieved items
-are verified: shares of the question's and of the answer's word shingles that
-the passage holds.
+The lightest words of an item, which together hold at most a quarter of its
+score, are not searched for: without any other word of the item a passage can't
+reach the threshold (WAND with no top-k, so the threshold stands still).  The
+other words' postings are grouped into blocks of items with the largest weight
+of each word in each block (block-max).  A passage's sum of those maxima and
+the block's largest light share bound the score of every item of the block.
+Only blocks that a passage has such a word of are looked at, and only those
+whose bound reaches the threshold are scored, so the cost grows with the
+postings met and not with the number of items.  Retrieved items are verified:
+shares of the question's and of the answer's word shingles that the passage
+holds.
 """
 
 from __future__ import annotations
@@ -35,7 +40,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # share of the item's own BM25 score
 OVERLAP = 0.8  # share of question and of answer shingles
 SHINGLE = 5
-ITEM_BLOCK = 8  # items whose maxima are kept together
+ITEM_BLOCK = 4  # items whose maxima are kept together
+LIGHT = 0.25  # share of an item's score that its lightest words may hold without being searched for
 INDEX_CHARS = 16 << 20  # characters of item text in one index
 MOST_SEGMENTS = 256
 
@@ -86,32 +92,32 @@ class Index:
             q, a = question_and_answer(text)
             self.parts.append((shingles(q), min(SHINGLE, len(q)), shingles(a), min(SHINGLE, len(a))))
         self.blocks = (len(items) + ITEM_BLOCK - 1) // ITEM_BLOCK
-        postings: dict[bytes, list[tuple[int, float]]] = {}
+        self.term = {w: t for t, w in enumerate(dict.fromkeys(w for tokens in folded for w in tokens))}
+        first, term, weight, spare = [0], [], [], []
+        essential: list[dict[int, float]] = [{} for _ in self.term]  # by term: block, largest weight of its essential items
         for k, tokens in enumerate(folded):
             tf = Counter(tokens)
             norm = K1 * (1 - B + B * len(tokens) / max(mean, 1e-9))
             weights = {
-                w: np.log1p((count - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in tf.items()
+                self.term[w]: np.log1p((count - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in tf.items()
             }
-            own = sum(weights.values())
-            for w, x in weights.items():
-                postings.setdefault(w, []).append((k, x / own))
-        self.term = {w: t for t, w in enumerate(postings)}
-        self.first = np.zeros(len(postings) + 1, np.int64)  # of a term's postings
-        self.block_first = np.zeros(len(postings) + 1, np.int64)  # of a term's blocks
-        item, weight, block, most = [], [], [], []
-        for t, found in enumerate(postings.values()):
-            item += [k for k, _ in found]
-            weight += [x for _, x in found]
-            best: dict[int, float] = {}
-            for k, x in found:
-                best[k // ITEM_BLOCK] = max(best.get(k // ITEM_BLOCK, 0.0), x)
-            block += list(best)
-            most += list(best.values())
-            self.first[t + 1], self.block_first[t + 1] = len(item), len(block)
-        self.item, self.weight = np.array(item, np.int64), np.array(weight)
-        self.block, self.most = np.array(block, np.int64), np.array(most)
-
+            own, light = sum(weights.values()), 0.0
+            for t, x in sorted(weights.items(), key=lambda r: (r[1], r[0])):
+                x /= own
+                term.append(t)
+                weight.append(x)
+                if light + x <= LIGHT:
+                    light += x
+                else:
+                    essential[t][k // ITEM_BLOCK] = max(essential[t].get(k // ITEM_BLOCK, 0.0), x)
+            first.append(len(term))
+            spare.append(light)
+        self.item_first, self.item_term, self.item_weight = np.array(first), np.array(term, np.int64), np.array(weight)
+        # What the light words of any of a block's items can add at most.
+        self.light = np.array([max(spare[b : b + ITEM_BLOCK]) for b in range(0, len(spare), ITEM_BLOCK)])
+        self.block_first = np.cumsum([0, *map(len, essential)])  # of a term's blocks
+        self.block = np.array([b for found in essential for b in found], np.int64)
+        self.most = np.array([x for found in essential for x in found.values()])
     @staticmethod
     def _spans(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of all entries of the terms, and the place in ``terms`` each belongs to."""
@@ -122,6 +128,8 @@ class Index:
 
     def search(self, tokens: list[bytes], threshold: float) -> Iterator[tuple[int, int, int, float]]:
         """(item place, first word, past-last word, score) of every passage and item at or above the threshold."""
+        if threshold <= LIGHT:
+            raise ValueError(f"the threshold must lie above {LIGHT}, or light words alone could reach it")
         get, step = self.term.get, self.length
         whole = np.array([get(w, -1) for w in tokens], np.int64)
         for at in range(0, max(1, len(tokens)), step * MOST_SEGMENTS):
@@ -134,20 +142,35 @@ class Index:
             pairs = np.unique(known // step * len(self.term) + terms[known])
             segment, distinct = pairs // len(self.term), pairs % len(self.term)
             place, owner = self._spans(self.block_first, distinct)
-            bound = np.bincount(
-                segment[owner] * self.blocks + self.block[place], self.most[place], segments * self.blocks
-            ).reshape(segments, self.blocks)
-            if segments > 1:
-                bound = bound[:-1] + bound[1:]
-            passages, blocks = np.nonzero(bound >= threshold - 1e-9)
-            for p in np.unique(passages):
-                lo, hi = p * step, min(len(terms), (p + 2) * step)
-                query = np.unique(terms[lo:hi][terms[lo:hi] >= 0])
-                place, _ = self._spans(self.first, query)
-                place = place[np.isin(self.item[place] // ITEM_BLOCK, blocks[passages == p])]
-                scores = np.bincount(self.item[place], self.weight[place], len(self.ids))
-                for k in np.flatnonzero(scores >= threshold - 1e-9):
-                    yield int(k), at + lo, at + hi, float(scores[k])
+            if not place.size:
+                continue
+            cells, inverse = np.unique(segment[owner] * self.blocks + self.block[place], return_inverse=True)
+            bound = np.bincount(inverse, self.most[place])
+            if segments > 1:  # a segment counts for the passages that begin with it and with the one before it
+                both = np.concatenate([cells, cells - self.blocks])
+                inside = (both >= 0) & (both < (segments - 1) * self.blocks)
+                cells, inverse = np.unique(both[inside], return_inverse=True)
+                bound = np.bincount(inverse, np.concatenate([bound, bound])[inside])
+            cells = cells[bound + self.light[cells % self.blocks] >= threshold - 1e-9]
+            if not cells.size:
+                continue
+            # All items of the blocks left, each with its words, looked up among the passage's words at once.
+            items = (cells % self.blocks)[:, None] * ITEM_BLOCK + np.arange(ITEM_BLOCK)
+            passages = np.repeat(cells // self.blocks, ITEM_BLOCK)[items.ravel() < len(self.ids)]
+            items = items.ravel()[items.ravel() < len(self.ids)]
+            place, owner = self._spans(self.item_first, items)
+            key = passages[owner] * len(self.term) + self.item_term[place]
+            there = self._among(pairs, key) | self._among(pairs, key + len(self.term))
+            scores = np.bincount(owner[there], self.item_weight[place[there]], len(items))
+            found = np.flatnonzero(scores >= threshold - 1e-9)
+            for f in found[np.lexsort((items[found], passages[found]))].tolist():
+                lo = int(passages[f]) * step
+                yield int(items[f]), at + lo, at + min(len(terms), lo + 2 * step), float(scores[f])
+
+    @staticmethod
+    def _among(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(ordered, wanted)
+        return ordered[np.minimum(at, len(ordered) - 1)] == wanted
 
     def matches(self, tokens: list[bytes], threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
         """Verified items: largest score, and overlaps of the best verified passage."""

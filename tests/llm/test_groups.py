@@ -341,3 +341,46 @@ def test_columns_named_like_those_used_inside_come_back_unchanged(spark):
     assert kept.columns == docs.columns and all(tuple(r) == want[r.doc_id] for r in kept.collect()) and kept.count() > 0
     with pytest.raises(ValueError):
         mixing.poisson_replicate(docs, copy_col="DOC_ID")
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_search_finds_every_passage_and_item_at_the_threshold(threshold):
+    """All passages against all items by plain BM25, with rare, common and repeated words and a last short segment."""
+    rng = np.random.default_rng(11)
+    common = [f"c{k}" for k in range(12)]
+    items = []
+    for k in range(90):
+        n = int(rng.integers(1, 40))
+        items.append((k, " ".join(rng.choice(common) if rng.random() < 0.5 else f"r{rng.integers(0, 160)}" for _ in range(n))))
+    folded = [decontaminate.fold(t) for _, t in items]
+    df = Counter(w for f in folded for w in set(f))
+    mean = sum(map(len, folded)) / len(folded)
+    index = decontaminate.Index(items, df, len(items), mean)
+
+    def weights(tokens):
+        norm = decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(tokens) / mean)
+        return {w: np.log1p((len(items) - df[w] + 0.5) / (df[w] + 0.5)) * f * (decontaminate.K1 + 1) / (f + norm) for w, f in Counter(tokens).items()}
+
+    found = 0
+    for size in (0, 1, 30, index.length, 3 * index.length + 5, 900):
+        tokens = []
+        while len(tokens) < size:
+            part = folded[int(rng.integers(0, len(folded)))]
+            tokens += part[: int(rng.integers(0, len(part) + 1))] if rng.random() < 0.6 else [b"other", f"r{rng.integers(0, 160)}".encode()]
+        tokens, step = tokens[:size], index.length
+        segments = -(-len(tokens) // step)
+        want = {}
+        for p in range(max(1, segments - 1)):
+            lo, hi = p * step, min(len(tokens), (p + 2) * step)
+            held = set(tokens[lo:hi])
+            for (ident, _), f in zip(items, folded):
+                w = weights(f)
+                score = sum(x for t, x in w.items() if t in held) / sum(w.values())
+                if score >= threshold:
+                    want[ident, lo, hi] = round(score, 9)
+        got = {(index.ids[k], lo, hi): round(x, 9) for k, lo, hi, x in index.search(tokens, threshold)}
+        assert got == want
+        found += len(want)
+    assert found > 20
+    with pytest.raises(ValueError):
+        list(index.search(tokens, 0.2))
