@@ -43,7 +43,7 @@ DOC_TAIL = struct.Struct("<I")
 
 FRAME_TOKENS = 1 << 16
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
-CACHE = 250_000  # pieces in a table; there are two tables of each kind
+CACHE = 150_000  # pieces in a table; there are two tables of each kind
 FILES = "bucket int, path string, docs bigint, tokens bigint"
 
 
