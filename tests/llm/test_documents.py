@@ -106,23 +106,70 @@ def test_licenses_of_tricky_rows(tricky, rows):
     assert got == want
 
 
+def ready(counts=None):
+    templates = licenses.ready_templates(licenses.TEMPLATES, counts or {}, licenses.THRESHOLD)
+    by_word: dict = {}
+    for t in templates:
+        for w in t.prefix:
+            by_word.setdefault(w, []).append(t.number)
+    return templates, by_word
+
+
 def test_every_block_at_the_threshold_is_found():
+    """All templates, edited to the threshold and around it, at every offset, against every block there is."""
     rng = np.random.default_rng(3)
-    text = licenses.TEMPLATES[1][1]
-    for _ in range(60):
+    for k, (_, text, _) in enumerate(licenses.TEMPLATES):
         words_ = licenses.alnum_words(text.encode())
         kinds = sorted(set(words_))
-        drop = set(rng.choice(len(kinds), int(rng.integers(0, len(kinds) // 3)), replace=False).tolist())
-        kept = [w for w in words_ if kinds.index(w) not in drop]
-        tokens_ = [f"n{k}".encode() for k in range(int(rng.integers(0, 70)))] + kept + [b"z"] * 30
-        t = licenses.Template(0, "mit", text, {w: int(rng.integers(0, 50)) for w in kinds}, 0.8)
-        found = licenses.template_places(tokens_, [t], {w: [0] for w in t.prefix})
-        share = (len(kinds) - len(drop)) / len(kinds)
-        blocks = [set(tokens_[b * t.n : (b + 2) * t.n]) for b in range(len(tokens_) // t.n + 1)]
-        best = max(sum(w in b for w in kinds) / len(kinds) for b in blocks)
-        assert bool(found) == (best >= 0.8 - 1e-12)
-        if len(kept) <= t.n and share >= 0.8:
-            assert found
+        templates, by_word = ready({w: int(rng.integers(0, 50)) for w in kinds})
+        t = templates[k]
+        for offset in range(2 * len(words_) + 2):
+            drop = set(rng.choice(len(kinds), t.n - t.need + int(rng.integers(-1, 2)), replace=False).tolist()) if t.n > t.need + 1 else set()
+            kept = []
+            for w in words_:
+                kept += [w] if kinds.index(w) not in drop else [b"other"] if rng.random() < 0.5 else []
+            tokens_ = [f"n{j}".encode() for j in range(offset)] + kept + [b"z"] * 70
+            found = [p for p in licenses.template_places(tokens_, templates, by_word) if p.template is t]
+            blocks = [set(tokens_[b : b + t.width]) for b in range(len(tokens_))]
+            best = max(len(t.words & b) for b in blocks)
+            assert best == t.n - len(drop) and bool(found) == (best >= t.need)
+            if found:
+                assert max(p.matched for p in found) == best
+                assert all(offset <= p.first <= p.last < offset + len(kept) for p in found)
+
+
+def test_sliding_finds_what_all_blocks_find():
+    """Random runs of template words: a word lies in a place exactly if some block cut to the template's words covers it."""
+    rng = np.random.default_rng(5)
+    t = licenses.Template(0, "x", "a b a c d e", {}, 0.8)
+    for _ in range(300):
+        tokens_ = [bytes([97 + int(c)]) for c in rng.integers(0, 9, int(rng.integers(0, 60)))]
+        got = licenses.template_places(tokens_, [t], {w: [0] for w in t.prefix})
+        best = max((len(t.words & set(tokens_[b : b + t.width])) for b in range(len(tokens_))), default=0)
+        assert max((p.matched for p in got), default=0) == (best if best >= t.need else 0)
+        for p in got:
+            assert len(t.words & set(tokens_[p.core[0] : p.core[1] + 1])) == p.matched
+        inside = {j for p in got for j in range(p.first, p.last + 1)}
+        for b in range(len(tokens_)):
+            block = [j for j in range(b, min(len(tokens_), b + t.width)) if tokens_[j] in t.words]
+            if len({tokens_[j] for j in block}) >= t.need:
+                assert inside & set(block)
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Licensed under CC BY 4.0.", "cc-by"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+    ("released under the BSD License", "bsd"),
+    ("Released under the Apache License.", "apache"),
+    ("Licensed under the Mozilla Public License, version 2.0", "mpl"),
+    (licenses.TEMPLATES[5][1], "gpl"),
+    (licenses.TEMPLATES[6][1].replace("General Public License", "GPL"), "lgpl"),
+    ("The film was released under the new license last year", ""),
+    ("Released under the MIT License. Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc,mit"),
+])
+def test_similar_notices_are_told_apart(spark, text, labels):
+    (row,) = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.labels == labels and (row.score > 0) == bool(labels)
 
 
 def test_secrets_of_tricky_rows(tricky, rows):
