@@ -197,6 +197,67 @@ def test_markov_models_tell_random_from_ordinary(spark, small):
     assert next(r.spans for r in got.collect() if r.id == 0) == "markov:2:28"
 
 
+@pytest.fixture(scope="module")
+def learned(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    return secrets.log_ratios(secrets.labelled_strings(docs, id_col="doc_id", text_col="text"))
+
+
+def markov_spans(spark, texts, ratios):
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).collect()
+    return {r.id: [(x.s, x.e) for x in r.spans if x.k == 3] for r in rows}
+
+
+def test_keys_in_paths_are_found_and_long_words_are_not(spark, learned):
+    rng = np.random.default_rng(11)
+    letters = np.array(list(secrets.ALPHABET[:62]))
+    texts, keys = [], []
+    for k in range(200):
+        key = "".join(rng.choice(letters, int(rng.integers(18, 40))))
+        path = ["at ", "see /this/are/of/them/and/others/", "export_the_station_", "the-nation-of-"][k % 4]
+        texts.append(path + key + ["", "/with/that/another/this", " y", "_and_there_is_more"][k // 4 % 4])
+        keys.append((len(path), len(path) + len(key)))
+    got = markov_spans(spark, texts, learned)
+    assert sum(any(s < z and a < e and min(e, z) - max(s, a) >= 0.9 * (z - a) for s, e in got[k]) for k, (a, z) in enumerate(keys)) >= 180
+    words_ = [
+        "Donaudampfschifffahrtsgesellschaftskapitaen", "Rindfleischetikettierungsueberwachungsaufgabe", "internationalization",
+        "nichtsdestoweniger/gegenueberstellung", "the_quick_station_of_the_nation", "counterrevolutionaries", "4475383770160990",
+    ]
+    assert not any(markov_spans(spark, words_, learned).values())
+
+
+def test_parts_outside_fixed_spans_are_scored(spark, learned):
+    hexed, key = "0123456789abcdef" * 2, "Zx81kQpL0vRt5YwN3mJ7uB2cQ9"
+    text = f"x {hexed}/{key} and {key}/{hexed}/{key}"
+    (spans,) = markov_spans(spark, [text], learned).values()
+    starts = [m.start() for m in re.finditer(key, text)]
+    assert [(s, e) for s, e in spans] == [(k, k + len(key)) for k in starts]
+
+
+def test_stretches_are_those_of_a_plain_walk(spark):
+    """The fold against the same rule written as a loop, on random strings and random ratios."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    ratios = rng.normal(0, 3, secrets.SIZE**2).round(2).tolist()
+    texts = ["".join(rng.choice(list(secrets.ALPHABET), int(rng.integers(1, 120)))) for _ in range(60)]
+    table = F.lit(ratios)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k: [(x.b, x.e, round(x.sum, 6)) for x in r.x] for r in rows.select("k", secrets._stretches(F.col("t"), table).alias("x")).collect()}
+    for k, t in enumerate(texts):
+        codes, want = [secrets.ALPHABET.index(c) for c in t], []
+        total = best = 0.0
+        b = e = 0
+        for i in range(1, len(codes)):
+            total += ratios[codes[i - 1] * secrets.SIZE + codes[i]]
+            if total <= 0 or best - total > secrets.DROP:
+                want += [(b, e, round(best, 6))] if best > 0 else []
+                total, best, b, e = 0.0, 0.0, i, i
+            elif total >= best:
+                best, e = total, i
+        assert got[k] == want + ([(b, e, round(best, 6))] if best > 0 else [])
+
+
 def test_language_model_of_tricky_rows(tricky, rows):
     got = Counter()
     scores = {}
