@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import EVENTS_CTE, ORDERS_CTE, order_obs, event_obs, query, table
-from catalog.sources import AUCTIONS_SQL, FILED_SQL, ownership_docs
+from catalog.sources import AUCTIONS_SQL, FILED_SQL, LIMBS, ownership_docs
 from seriesloom.operators import aggregates as agg
 from seriesloom.functions.scalars import sign_label
 from seriesloom.operators import clean, windows
@@ -100,10 +100,10 @@ def header_detail_check(spark, sf):
 
 @query("settlement_totals", f"""WITH {AUCTIONS_SQL}, g AS (SELECT security_id, auction_date, issue_date, MIN(amount) AS amount, MIN(amount) <> MAX(amount) AS c FROM au GROUP BY 1, 2, 3)
   SELECT CAST(issue_date AS VARCHAR) AS issue_date, CAST(SUM(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS value, count(*) AS security_count,
-  count(*) FILTER (WHERE c) AS conflicts FROM g GROUP BY 1""")
+  count(*) FILTER (WHERE c) AS conflicts, sha256(CAST(count(*) AS VARCHAR) || ':' || {LIMBS}) AS keys_fingerprint
+  FROM (SELECT *, sha256(concat_ws('|', security_id, CAST(auction_date AS VARCHAR), CAST(issue_date AS VARCHAR))) AS h FROM g) GROUP BY issue_date""")
 def settlement_totals(spark, sf):
-    raw = _auctions_raw(spark, sf)
-    return agg.settlement_totals(raw).drop("keys_fingerprint")
+    return agg.settlement_totals(_auctions_raw(spark, sf))
 
 
 def _auctions_raw(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from catalog.common import (
@@ -59,23 +61,26 @@ def inner_dates(spark, sf):
     return joins.inner_on(order_obs(spark, sf), right, ["obs_date"])
 
 
-@query("pair_on_date", f"""WITH {EVENTS_CTE} SELECT 'cv' AS pair, CAST(a.obs_date AS VARCHAR) AS obs_date, a.value AS left_value, b.value AS right_value
-  FROM ev a JOIN ev b ON a.obs_date = b.obs_date WHERE a.series_id = 'click' AND b.series_id = 'view'
-  UNION ALL SELECT 'vp', CAST(a.obs_date AS VARCHAR), a.value, b.value FROM ev a JOIN ev b ON a.obs_date = b.obs_date
-  WHERE a.series_id = 'view' AND b.series_id = 'purchase'""")
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("pair_on_date", f"""WITH {EVENTS_CTE} SELECT a.series_id || '-' || b.series_id AS pair, CAST(a.obs_date AS VARCHAR) AS obs_date,
+  a.value AS left_value, b.value AS right_value FROM ev a JOIN ev b ON a.obs_date = b.obs_date WHERE a.series_id < b.series_id""")
 def pair_on_date(spark, sf):
-    return joins.pair_on_date(event_obs(spark, sf), [("cv", "click", "view"), ("vp", "view", "purchase")])
+    """Every two event types."""
+    pairs = [(f"{a}-{b}", a, b) for a, b in combinations(EVENT_TYPES, 2)]
+    return joins.pair_on_date(event_obs(spark, sf), pairs)
 
 
-@query("inner_quarters", f"""WITH {QUARTER_CTE} SELECT a.ordinal, CAST(a.obs_date AS VARCHAR) AS left_date, CAST(b.obs_date AS VARCHAR) AS right_date,
-  a.value AS left_value, b.value AS right_value FROM qo a JOIN qo b ON a.ordinal = b.ordinal
-  WHERE a.series_id = '1-URGENT' AND b.series_id = '5-LOW'""")
+@query("inner_quarters", f"""WITH {QUARTER_CTE} SELECT a.series_id, b.series_id AS other, a.ordinal, CAST(a.obs_date AS VARCHAR) AS left_date,
+  CAST(b.obs_date AS VARCHAR) AS right_date, a.value AS left_value, b.value AS right_value FROM qo a JOIN qo b ON a.ordinal = b.ordinal""")
 def inner_quarters(spark, sf):
+    """Every two priorities, each with itself too: at most 25 rows a quarter."""
     q = quarter_obs(spark, sf)
-    side = lambda sid, name: q.where(F.col("series_id") == sid).select(
-        "ordinal", F.col("obs_date").alias(name), "value"
+    return joins.inner_on(
+        q.withColumnRenamed("obs_date", "left_date"),
+        q.withColumnsRenamed({"obs_date": "right_date", "series_id": "other"}), ["ordinal"],
     )
-    return joins.inner_on(side("1-URGENT", "left_date"), side("5-LOW", "right_date"), ["ordinal"])
 
 
 @query("common_dates", f"""WITH {ORDERS_CTE} SELECT CAST(obs_date AS VARCHAR) AS obs_date, count(DISTINCT series_id) AS entities FROM ob
@@ -86,13 +91,14 @@ def common_dates(spark, sf):
 
 @query("missing_flag_left", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, o_orderpriority AS priority, o_orderkey IS NULL AS metadata_missing,
   (o_orderkey IS NOT NULL AND l_linestatus IS DISTINCT FROM o_orderstatus) AS metadata_mismatch, false AS metadata_conflict
-  FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW') o ON l_orderkey = o_orderkey""")
+  FROM lineitem LEFT JOIN orders o ON l_orderkey = o_orderkey + 300""")
 def missing_flag_left(spark, sf):
     facts = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("accession"), "l_linenumber", F.col("l_linestatus").alias("status")
     )
-    filings = table(spark, sf, "orders").where("o_orderpriority <> '5-LOW'").select(
-        F.col("o_orderkey").alias("accession"), F.col("o_orderstatus").alias("state"),
+    # Keys moved on, so that both sides have rows without a partner.
+    filings = table(spark, sf, "orders").select(
+        (F.col("o_orderkey") + 300).alias("accession"), F.col("o_orderstatus").alias("state"),
         F.col("o_orderpriority").alias("priority"),
     )
     out = joins.left_with_missing_flag(
@@ -104,14 +110,14 @@ def missing_flag_left(spark, sf):
     )
 
 
-@query("known_anti", """SELECT o_orderkey AS accession, CASE WHEN c_custkey IS NULL THEN 'NEW' WHEN c_custkey % 10 = 0 THEN 'CONFLICT' WHEN c_nationkey < 12 THEN 'REUSED' ELSE 'MISMATCH' END AS reuse_status
-  FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey""")
+@query("known_anti", """SELECT o_orderkey AS accession, CASE WHEN c_custkey IS NULL THEN 'NEW' WHEN o_custkey % 10 = 0 THEN 'CONFLICT' WHEN c_nationkey < 12 THEN 'REUSED' ELSE 'MISMATCH' END AS reuse_status
+  FROM orders LEFT JOIN customer c ON o_custkey = c_custkey + 30""")
 def known_anti(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("accession"), F.col("o_custkey").alias("cust"), F.lit("4").alias("form")
     )
-    known = table(spark, sf, "customer").where("c_acctbal > 0").select(
-        F.col("c_custkey").alias("cust"), F.when(F.col("c_nationkey") < 12, "4").otherwise("4/A").alias("form")
+    known = table(spark, sf, "customer").select(
+        (F.col("c_custkey") + 30).alias("cust"), F.when(F.col("c_nationkey") < 12, "4").otherwise("4/A").alias("form")
     )
     known = known.union(known.where("cust % 10 = 0").withColumn("form", F.lit("8-K")))
     return joins.reuse_known(o, known, key="cust", agree=["form"]).select("accession", "reuse_status")
@@ -245,14 +251,19 @@ def align_outer_pivot(spark, sf):
     return joins.align_outer(order_obs(spark, sf), PRIORITIES)
 
 
-CROSS_SQL = f"""{ORDERS_CTE}, {SHIP_CTE}, df AS (SELECT o.series_id AS check_id, o.obs_date, abs(o.value - s.value) AS difference
-    FROM ob o JOIN sh s ON o.obs_date = s.obs_date AND s.series_id = 'N')"""
+FLAGS = ["A", "N", "R"]
+CROSS_SQL = f"""{ORDERS_CTE}, {SHIP_CTE}, ck AS (SELECT series_id || '/' || flag AS check_id, flag, obs_date, value
+    FROM ob, (VALUES ('A'), ('N'), ('R')) AS v(flag)), df AS (SELECT ck.check_id, ck.obs_date, abs(ck.value - s.value) AS difference
+    FROM ck JOIN sh s ON ck.obs_date = s.obs_date AND s.series_id = ck.flag)"""
 
 
 def _differences(spark, sf):
-    obs = order_obs(spark, sf).withColumnRenamed("series_id", "check_id")
-    ship = ship_obs(spark, sf).where("series_id = 'N'").select("obs_date", "value")
-    right = ship.join(obs.select("check_id", "obs_date"), "obs_date")
+    """Each priority's orders against each flag's shipments of the day."""
+    obs = order_obs(spark, sf).withColumn("flag", F.explode(F.array(*[F.lit(f) for f in FLAGS])))
+    obs = obs.select(F.concat_ws("/", "series_id", "flag").alias("check_id"), "flag", "obs_date", "value")
+    ship = ship_obs(spark, sf).withColumnRenamed("series_id", "flag")
+    right = ship.join(obs.select("check_id", "flag", "obs_date"), ["flag", "obs_date"]).drop("flag")
+    obs = obs.drop("flag")
     return joins.same_date_difference(obs, right), obs
 
 
@@ -261,7 +272,7 @@ def same_date_cross_check(spark, sf):
     return _differences(spark, sf)[0]
 
 
-@query("cross_difference_band", f"""WITH {CROSS_SQL}, e AS (SELECT series_id AS check_id, MAX(obs_date) AS d FROM ob GROUP BY 1),
+@query("cross_difference_band", f"""WITH {CROSS_SQL}, e AS (SELECT check_id, MAX(obs_date) AS d FROM ck GROUP BY 1),
   c AS (SELECT e.check_id, e.d, df.difference AS cur FROM e LEFT JOIN df ON df.check_id = e.check_id AND df.obs_date = e.d),
   b AS (SELECT c.check_id, c.d, c.cur, count(p.difference) AS n, count(*) FILTER (WHERE p.difference <= c.cur) AS k,
     quantile_disc(p.difference, 0.8) AS q1, quantile_disc(p.difference, 0.95) AS q2

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from catalog.common import ORDERS_CTE, order_obs, query, spread, table
+from seriesloom import schemas
 from seriesloom.session import new_table_path
 from seriesloom.sources import (
     balances, facts, filings, observations, operations, positions, reviewed, sinks, state,
@@ -642,6 +643,24 @@ def validate_reviewed(spark, sf):
     return out.select("company_id", "accession", "value", "violations")
 
 
+@query("read_reviewed_csv", f"""SELECT {ACC_SQL} AS accession, CASE o_orderstatus WHEN 'F' THEN 'alpha' WHEN 'O' THEN 'beta' ELSE 'gamma' END AS company_id,
+  CASE WHEN o_totalprice > 400000 THEN 'UP' WHEN o_totalprice > 200000 THEN 'DOWN' ELSE 'FLAT' END AS direction,
+  CASE WHEN o_orderpriority = '3-MEDIUM' THEN '12.5' END AS yoy_pct, 'n' AS review_note, o_orderpriority = '5-LOW' AS ragged FROM orders""")
+def read_reviewed_csv(spark, sf):
+    """Records written as CSV without quotes, so that a note with a comma makes its row ragged, and read back."""
+    path = new_table_path(spark, "reviewed-csv")
+    rows = reviewed_text(spark, sf)
+    late = F.col("as_of") < F.substring("filing_accepted_at", 1, 10)
+    noted = rows.withColumn("review_note", F.when(late, "n,b").otherwise(F.col("review_note"))).drop("row_no")
+    # One column whose name is the header: the writer leaves commas as they are.
+    lines = noted.select(F.concat_ws(",", *schemas.REVIEWED_COLUMNS).alias(",".join(schemas.REVIEWED_COLUMNS)))
+    lines.write.csv(path, header=True, sep="\u0001")
+    return reviewed.read_reviewed_csv(spark, path).select(
+        F.col("filing_accession").alias("accession"), "company_id", "direction", "yoy_pct", "review_note",
+        F.col("_corrupt_record").isNotNull().alias("ragged"),
+    )
+
+
 def typed_reviewed(spark, sf):
     """The same rows typed, without the deliberate faults."""
     o = table(spark, sf, "orders")

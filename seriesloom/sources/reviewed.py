@@ -24,11 +24,13 @@ MAX_LENGTHS = {"reviewer": 80, "paraphrase": 280, "review_note": 500}
 
 
 def read_reviewed_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The 17 text columns; the header must match exactly, and ragged or blank
-    rows come back in ``_corrupt_record``."""
+    """The 17 text columns; the header must match exactly, and rows with too few
+    or too many fields come back in ``_corrupt_record``, whichever columns are
+    used later; a field without text is null, and empty lines are no rows."""
     corrupt = T.StructField("_corrupt_record", T.StringType(), True)
     schema = T.StructType([*schemas.REVIEWED_CSV.fields, corrupt])
-    return spark.read.csv(
+    # Every field is parsed: a reader of some columns wouldn't count the fields of a row.
+    return spark.read.option("columnPruning", False).csv(
         path, schema=schema, header=True, enforceSchema=False, mode="PERMISSIVE",
         columnNameOfCorruptRecord="_corrupt_record", nullValue="\u0000", emptyValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,

@@ -502,6 +502,16 @@ def test_reviewed_csv_roundtrip(spark, tmp_path):
     assert set(found[0]["violations"]) == {"DIRECTION", "VALUE"}
 
 
+def test_ragged_rows_are_found_whichever_columns_are_used(spark, tmp_path):
+    names = reviewed.schemas.REVIEWED_COLUMNS
+    lines = [names, [f"v{k}" for k in range(17)], [f"w{k}" for k in range(18)], [f"x{k}" for k in range(16)], [], ["y"]]
+    path = tmp_path / "ragged.csv"
+    path.write_text("".join(",".join(line) + "\n" for line in lines))
+    raw = reviewed.read_reviewed_csv(spark, str(path))
+    got = raw.selectExpr("company_id", "_corrupt_record IS NOT NULL AS ragged").collect()
+    assert {r.company_id: r.ragged for r in got} == {"v0": False, "w0": True, "x0": True, "y": True}
+
+
 def test_header_only_csv_is_empty(spark, tmp_path):
     path = tmp_path / "empty.csv"
     path.write_text(",".join(reviewed.schemas.REVIEWED_COLUMNS) + "\n")
