@@ -419,8 +419,10 @@ def prefix_trie(
     top = nodes.where("d = 0").select("c").first()  # the parent of every first turn: no join on one key
     first = F.lit(top["c"] if top else None).cast("bigint")
     asking = whole.unionByName(alone.where("NOT known_parent").drop("known_parent"))
+    # A parent that isn't shared was proved single, while the sketch took its child for more: both are of one conversation.
+    parent = F.coalesce("parent_conv_id", "conv_id").alias("parent_conv_id")
     return (
-        asking.where("depth > 1").join(above, ["depth", "p1", "p2"], "left").select(*columns)
+        asking.where("depth > 1").join(above, ["depth", "p1", "p2"], "left").select(*[parent if c == "parent_conv_id" else c for c in columns])
         .unionByName(asking.where("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, first)).select(*columns))
         .unionByName(alone.where("known_parent").withColumn("parent_conv_id", F.col("conv_id")).select(*columns))
     )

@@ -155,6 +155,13 @@ def test_a_sketch_that_proves_nothing_changes_nothing(spark, monkeypatch):
     assert screen is not no_proof
 
 
+def test_parents_proved_single_of_prefixes_that_are_not(spark):
+    """A crowded sketch takes many single prefixes for shared ones, their parents less often."""
+    rows = [(c, t, "user", f"own {c} {t}") for c in range(1200) for t in range(4)]
+    got = prefix_trie.prefix_trie(talk(spark, rows), widest=4096)
+    assert Counter(tuple(r) for r in got.collect()) == brute_trie(ordered(rows))
+
+
 def test_screen_proves_most_single_prefixes_and_no_shared_one(spark):
     keys = spark.range(20_000).selectExpr("xxhash64(id DIV 2 * int(id < 4000) + id * int(id >= 4000)) AS k1", "xxhash64(7, id DIV 2 * int(id < 4000) + id * int(id >= 4000)) AS k2")
     path = prefix_trie.sketch(keys, 1 << 16)
