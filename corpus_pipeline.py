@@ -28,6 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
+    Near copies are found by SimHash and Golay codes and by MinHash bands, and
+    kept where the resemblance over all shingles of both texts is 0.8 or more.
     Documents without a word are one group.  Documents without an id stay only
     where their group has no id.
     """

@@ -263,7 +263,7 @@ def near_duplicates(
 
 RESEMBLANCE = 0.8  # common distinct shingles over all distinct shingles of the two
 BANDS, ROWS = 32, 5  # a pair of resemblance s meets in no band with probability (1 - s^5)^32: 3.0e-6 at 0.8
-PHASES = (2, 6, 24)  # bands asked one after another, so that later ones hardly repeat links
+PHASES = (1, 2, 6, 24)  # SimHash neighbourhood, then bands, asked one after another, so that later ones hardly repeat links
 AGREE = 96  # of the 160 minima, at least; a pair of resemblance 0.8 has fewer with probability 2e-9
 RUN_ROWS, RUN_BYTES = 1024, 16_000_000  # of one key, compared in one task
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -286,13 +286,15 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, th, node, size, sig, keys): hash of the text, 128-bit hash of its shingle set, bytes of the text,
-    a byte of each minimum, and a key of each band.  No word: no keys."""
+    """Rows (id, th, node, size, sig, keys, fp): hash of the text, 128-bit hash of its shingle set, bytes of the text,
+    a byte of each minimum, a key of each band, and the SimHash.  No word: no keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, sigs, keys = [], [], [], []
+            nodes, sizes, sigs, keys, fps = [], [], [], [], []
             for raw in raw_texts(batch.column(1)):
-                hashes = np.unique(shingle_hashes(words(raw), shingle))
+                every = shingle_hashes(words(raw), shingle)
+                fps.append(simhash(every))
+                hashes = np.unique(every)
                 nodes.append(xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()))
                 sizes.append(len(raw))
                 best = minima(hashes)
@@ -301,13 +303,13 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) ->
                 keys.append([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)] if len(hashes) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "th", "node", "size", "sig", "keys"],
+                 pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))],
+                ["id", "th", "node", "size", "sig", "keys", "fp"],
             )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(
-        run, "id bigint, th bigint, node binary, size bigint, sig binary, keys array<bigint>"
+        run, "id bigint, th bigint, node binary, size bigint, sig binary, keys array<bigint>, fp bigint"
     )
 
 
@@ -400,16 +402,29 @@ def _joined(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(comp, "label", "left").select("node", "size", "sig", "keys", F.coalesce("low", "label").alias("label"))
 
 
+def with_neighbourhood(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
+    """The nodes with one more key before the others: that of all fingerprints reached over links within ``bits`` bits."""
+    distinct = save(nodes.where(F.size("keys") > 0).select("fp").distinct(), "distinct")
+    near = save(components(links(distinct, bits=bits)), "neighbourhoods").select(F.col("node").alias("fp"), "component")
+    return nodes.join(near, "fp", "left").select(
+        "node", "dedup_null", "dedup_id", "dedup_th", "size", "sig",
+        F.when(F.size("keys") > 0, F.concat(F.array(F.xxhash64(F.coalesce("component", "fp"))), "keys")).otherwise(F.col("keys")).alias("keys"),
+    )
+
+
 def keep_one(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = RESEMBLANCE,
 ) -> DataFrame:
     """The documents, all columns, one of each group of near copies.
 
     Two documents are linked when their sets of shingles have the resemblance
-    ``least`` or more, computed from all shingles of both.  Candidates are
-    texts that agree in all minima of some band, so a pair of resemblance 0.8
-    is missed with a probability of 3.0e-6, one above with less; ``least`` below
-    0.8 is refused, as that is not so there.  A group is what links connect.
+    ``least`` or more, computed from all shingles of both.  Candidates are first
+    the texts whose SimHashes are connected within four bits, found through the
+    Golay codes as in ``near_duplicates``.  As four bits find only some pairs of
+    0.8, texts that agree in all minima of some band are candidates too: a pair
+    of resemblance 0.8 is missed with a probability of at most 3.0e-6, one above
+    with less; ``least`` below 0.8 is refused, as that is not so there.  A group
+    is what links connect.
     Of a group the smallest id stays, of equal ids the text with the smallest
     hash, of equal rows one; null ids stay only where a group has no other.
     Wordless documents are one group.  Columns may have any names.
@@ -425,9 +440,10 @@ def keep_one(
     )
     first = F.struct(
         F.col("id").isNull().alias("dedup_null"), F.coalesce("id", F.lit(0)).alias("dedup_id"), F.col("th").alias("dedup_th"),
-        "size", "sig", "keys",
+        "size", "sig", "keys", "fp",
     )
     nodes = save(own.groupBy("node").agg(F.min(first).alias("first")).select("node", "first.*"), "nodes")
+    nodes = save(with_neighbourhood(nodes), "nodes-with-neighbourhood")
     # Only nodes that share a key with another go on, each with one of its texts.
     keys = nodes.select("node", F.explode("keys").alias("key"))
     several = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")

@@ -124,6 +124,20 @@ def test_keep_one_at_the_edge_of_the_resemblance(spark):
     assert kept == {i for k, a in enumerate(alike) for i in ((2 * k,) if a >= 0.8 else (2 * k, 2 * k + 1))}
 
 
+def test_keep_one_finds_copies_by_simhash_alone(spark, monkeypatch):
+    """Without any band, pairs within four bits are still linked, and only at the resemblance."""
+    monkeypatch.setattr(simhash, "PHASES", (1,))
+    docs = []
+    for k in range(40):
+        base = [f"s{k}w{j}" for j in range(900)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-1], "changed"]))]
+    fps = [simhash.simhash(shingle_hashes(words(t.encode()), 5)) for _, t in docs]
+    near = {2 * k + 1 for k in range(40) if (fps[2 * k] ^ fps[2 * k + 1]).bit_count() <= 4}
+    assert len(near) > 20
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in docs} - near
+
+
 @pytest.mark.parametrize("rows, size", [(3, 1_000_000), (1024, 300)])
 def test_keep_one_with_crowded_keys(spark, monkeypatch, rows, size):
     monkeypatch.setattr(simhash, "RUN_ROWS", rows)
