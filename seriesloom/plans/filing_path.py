@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.clean import canonical_alias_row
 from seriesloom.operators.joins import link_amendments, reuse_known
-from seriesloom.sources.filings import explode_transactions, filing_summary
+from seriesloom.sources.filings import _typed, filing_summary
 
 
 def filings_to_parse(index_rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -38,26 +38,25 @@ def ledger_entries(parsed: DataFrame) -> DataFrame:
 def audit_rows(parsed: DataFrame) -> DataFrame:
     """Failures and reviews of parsed documents: index_date, accession, stage, reason.
 
-    A job that needs both this and the ledger writes ``parsed`` to a table first,
-    so that the documents are read once.
+    All of a document come from its own row, so it is parsed once.
     """
-    failures = parsed.where("problem IS NOT NULL").select(
-        "accession", "index_date", F.lit("SUBMISSION").alias("stage"),
-        F.col("problem").alias("reason"),
+    failed, anomalies = F.col("problem").isNotNull(), F.col("metadata_anomalies")
+
+    def found(stage: str, reason: Column) -> Column:
+        return F.struct(F.lit(stage).alias("stage"), reason.alias("reason"))
+
+    rows = _typed(parsed)
+    numbered = F.transform("_t", lambda t, i: F.when(t["status"] == "QUARANTINED", i + 1))
+    quarantined = F.transform(
+        F.array_compact(numbered),
+        lambda n: found("TRANSACTION_QUARANTINE", F.format_string("NONDERIVATIVE_ROW_%d_QUARANTINED", n)),
     )
-    good = parsed.where("problem IS NULL").drop("problem")
-    _, quarantined = explode_transactions(good)
-    return failures.unionByName(
-        quarantined.select(
-            "accession", "index_date", F.lit("TRANSACTION_QUARANTINE").alias("stage"),
-            F.col("anomaly").alias("reason"),
-        )
-    ).unionByName(
-        good.where(F.size("metadata_anomalies") > 0).select(
-            "accession", "index_date", F.lit("METADATA_DATE_ANOMALY").alias("stage"),
-            F.array_join("metadata_anomalies", ",").alias("reason"),
-        )
+    none = F.array().cast("array<struct<stage:string,reason:string>>")
+    dated = F.when(F.size(anomalies) > 0, F.array(found("METADATA_DATE_ANOMALY", F.array_join(anomalies, ",")))).otherwise(none)
+    listed = F.when(failed, F.array(found("SUBMISSION", F.col("problem")))).otherwise(
+        F.concat(F.coalesce(quarantined, none), dated)
     )
+    return rows.select("accession", "index_date", F.inline(listed))
 
 
 def resolve_ledger(

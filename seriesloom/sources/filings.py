@@ -136,14 +136,28 @@ def parse_ownership_docs(
     )
     xml = F.when(F.size("_bodies") == 1, F.trim(F.col("_bodies")[0], F.lit(" \t\r\n")))
     stamp = F.when(F.col("_stamp").rlike(r"^\d{14}$"), F.col("_stamp"))
+    # What the text alone says stands before the XML is parsed: no later step carries the text, and what isn't asked for isn't computed.
+    judged = wrapped.withColumns(
+        {"_xml": xml, "accepted_at": local_to_utc(F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")))}
+    ).withColumns(
+        {
+            "submission_sha256": F.sha2(text, 256), "document_sha256": F.sha2(F.col("_xml"), 256),
+            "_unusable": F.when(is_html_page(text) | (F.trim(text) == ""), "EMPTY_OR_HTML")
+            .when(~text.rlike("(?i)<SEC-DOCUMENT"), "WRAPPER")
+            .when(
+                F.col("_accession").isNotNull() & (F.col("_accession") != F.col(accession)),
+                "ACCESSION_MISMATCH",
+            )
+            .when(F.col("accepted_at").isNull(), "ACCEPTANCE_TIME")
+            .when(F.coalesce(F.size("_bodies"), F.lit(0)) != 1, "OWNERSHIP_DOCUMENT_COUNT")
+            .when(F.col("_xml").rlike("(?i)<!(DOCTYPE|ENTITY)"), "FORBIDDEN_DECLARATION"),
+        }
+    )
     parsed = computed_once(
-        wrapped,
+        judged,
         x=F.from_xml(
-            xml, schemas.OWNERSHIP_XML, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
+            F.col("_xml"), schemas.OWNERSHIP_XML, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
         ),
-        submission_sha256=F.sha2(text, 256), document_sha256=F.sha2(xml, 256),
-        accepted_at=local_to_utc(F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss"))),
-        _declares=xml.rlike("(?i)<!(DOCTYPE|ENTITY)"),
     )
     period, period_code = optional_date(F.nullif(F.trim("x.periodOfReport"), F.lit("")),
                                         "PERIOD_OF_REPORT_INVALID")
@@ -151,28 +165,16 @@ def parse_ownership_docs(
         F.nullif(F.trim("x.dateOfOriginalSubmission"), F.lit("")),
         "DATE_OF_ORIGINAL_SUBMISSION_INVALID",
     )
-    parsed = computed_once(
-        parsed,
-        _owners=F.transform(
-            "x.reportingOwner", lambda o: F.trim(o["reportingOwnerId"]["rptOwnerCik"])
-        ),
+    owners = F.transform(
+        "x.reportingOwner", lambda o: F.trim(o["reportingOwnerId"]["rptOwnerCik"])
     )
-    owners = F.col("_owners")
     owner_ids = F.array_distinct(
         F.transform(owners, lambda o: o.try_cast("bigint").cast("string"))
     )
     issuer = F.trim("x.issuer.issuerCik")
     flag = tri_state("x.aff10b5One")
     problem = (
-        F.when(is_html_page(text) | (F.trim(text) == ""), "EMPTY_OR_HTML")
-        .when(~text.rlike("(?i)<SEC-DOCUMENT"), "WRAPPER")
-        .when(
-            F.col("_accession").isNotNull() & (F.col("_accession") != F.col(accession)),
-            "ACCESSION_MISMATCH",
-        )
-        .when(F.col("accepted_at").isNull(), "ACCEPTANCE_TIME")
-        .when(F.coalesce(F.size("_bodies"), F.lit(0)) != 1, "OWNERSHIP_DOCUMENT_COUNT")
-        .when(F.col("_declares"), "FORBIDDEN_DECLARATION")
+        F.when(F.col("_unusable").isNotNull(), F.col("_unusable"))
         .when(F.col("x.documentType").isNull(), "INVALID_XML")
         .when(F.trim("x.documentType") != F.col(form), "FORM_MISMATCH")
         .when(~F.coalesce(issuer.rlike(r"^\d+$"), F.lit(False)), "ISSUER")
@@ -183,9 +185,8 @@ def parse_ownership_docs(
         .when(flag.isNull(), "PLAN_FLAG")
     )
     keep = [c for c in documents.columns if c != payload]
-    parsed = computed_once(parsed, problem=problem)
     return parsed.select(
-        *keep, "problem", "accepted_at",
+        *keep, problem.alias("problem"), "accepted_at",
         issuer.try_cast("bigint").cast("string").alias("issuer"),
         F.array_sort(owner_ids).alias("owners"),
         array_fingerprint(owner_ids).alias("owner_hash"),

@@ -108,6 +108,18 @@ def test_malformed_rows_are_quarantined(spark, bad):
     assert one(filings.filing_summary(parsed))["parse_status"] == "PARSED_WITH_QUARANTINED_ROWS"
 
 
+def test_audit_rows_of_one_parse(spark):
+    """All reasons of all documents, and the documents are parsed once in the plan."""
+    text = DOCUMENT.format(rows=_row("P", 0, "A", "2") + FOUR[0] + _row("P", 1, "D", "2"))
+    dated = text.replace("<periodOfReport>2025-03-14<", "<periodOfReport>2026-13-10<")
+    audits = filing_path.audit_rows(filings.parse_ownership_docs(_documents(spark, dated, text.replace("<SEC-DOCUMENT>", "<X>"))))
+    assert sorted((r["stage"], r["reason"]) for r in audits.collect()) == [
+        ("METADATA_DATE_ANOMALY", "PERIOD_OF_REPORT_INVALID"), ("SUBMISSION", "WRAPPER"),
+        ("TRANSACTION_QUARANTINE", "NONDERIVATIVE_ROW_1_QUARANTINED"), ("TRANSACTION_QUARANTINE", "NONDERIVATIVE_ROW_3_QUARANTINED"),
+    ]
+    assert audits._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
 def test_zone_suffix_and_invalid_optional_date(spark):
     text = DOCUMENT.format(rows=_row("P", 1, "A", "1", day="2025-03-14-05:00")).replace(
         "<periodOfReport>2025-03-14<", "<periodOfReport>2026-13-10<"
