@@ -105,9 +105,14 @@ def parse_pipe_index(
     )
 
 
-def _tag(text: Column, name: str) -> Column:
-    """An SGML value: ``<NAME>value`` or a ``NAME: value`` header line."""
-    tagged = F.regexp_extract(text, rf"(?i)<{name}>\s*([^\r\n<]+)", 1)
+def _tag(text: Column, lower: Column, name: str) -> Column:
+    """An SGML value: ``<NAME>value`` or a ``NAME: value`` header line.
+
+    A text whose lower-case form lacks the tag isn't searched for it by pattern.
+    """
+    tagged = F.when(
+        lower.contains(f"<{name.lower()}>"), F.regexp_extract(text, rf"(?i)<{name}>\s*([^\r\n<]+)", 1)
+    ).otherwise("")
     loose = name.replace(" ", r"[\s_-]").replace("-", r"[\s_-]")
     header = F.regexp_extract(text, rf"(?im)^\s*{loose}\s*:\s*(.+?)\s*$", 1)
     return F.nullif(F.trim(F.when(tagged != "", tagged).otherwise(header)), F.lit(""))
@@ -130,11 +135,17 @@ def parse_ownership_docs(
         parts,
         lambda x, i: (i % 2 == 1) & x.rlike(r"(?i)<\s*(\w+:)?ownershipDocument(\s|>)"),
     )
-    wrapped = computed_once(
-        documents, _bodies=bodies, _stamp=_tag(text, "ACCEPTANCE-DATETIME"),
-        _accession=_tag(text, "ACCESSION NUMBER"),
-    )
-    xml = F.when(F.size("_bodies") == 1, F.trim(F.col("_bodies")[0], F.lit(" \t\r\n")))
+    lower = F.col("_lower")
+    wrapped = documents.withColumn("_lower", F.lower(text)).withColumns(
+        {
+            "_bodies": bodies, "_stamp": _tag(text, lower, "ACCEPTANCE-DATETIME"),
+            "_accession": _tag(text, lower, "ACCESSION NUMBER"), "_wrapped": lower.contains("<sec-document"),
+            "_declares": lower.contains("<!doctype") | lower.contains("<!entity"),
+        }
+    ).drop("_lower")
+    # Blanks at both ends; trim with a list of characters looks up every character of the text.
+    inner = F.regexp_extract(F.col("_bodies")[0], r"(?s)^[ \t\r\n]*+(.*[^ \t\r\n])", 1)
+    xml = F.when(F.size("_bodies") == 1, inner)
     stamp = F.when(F.col("_stamp").rlike(r"^\d{14}$"), F.col("_stamp"))
     # What the text alone says stands before the XML is parsed: no later step carries the text, and what isn't asked for isn't computed.
     judged = wrapped.withColumns(
@@ -143,14 +154,14 @@ def parse_ownership_docs(
         {
             "submission_sha256": F.sha2(text, 256), "document_sha256": F.sha2(F.col("_xml"), 256),
             "_unusable": F.when(is_html_page(text) | (F.trim(text) == ""), "EMPTY_OR_HTML")
-            .when(~text.rlike("(?i)<SEC-DOCUMENT"), "WRAPPER")
+            .when(~F.col("_wrapped"), "WRAPPER")
             .when(
                 F.col("_accession").isNotNull() & (F.col("_accession") != F.col(accession)),
                 "ACCESSION_MISMATCH",
             )
             .when(F.col("accepted_at").isNull(), "ACCEPTANCE_TIME")
             .when(F.coalesce(F.size("_bodies"), F.lit(0)) != 1, "OWNERSHIP_DOCUMENT_COUNT")
-            .when(F.col("_xml").rlike("(?i)<!(DOCTYPE|ENTITY)"), "FORBIDDEN_DECLARATION"),
+            .when(F.col("_declares") & F.col("_xml").rlike("(?i)<!(DOCTYPE|ENTITY)"), "FORBIDDEN_DECLARATION"),
         }
     )
     parsed = computed_once(
@@ -236,6 +247,20 @@ def _typed_fields(t: Column) -> Column:
     )
 
 
+def _fingerprint(t: Column) -> Column:
+    """The hash of an eligible or quarantined row, for those who ask for it."""
+    return F.sha2(
+        F.concat_ws(
+            "|", t["transaction_date"].cast("string"), t["code"], t["side"],
+            _plain_decimal(t["shares"]), F.coalesce(_plain_decimal(t["price"]), F.lit("MISSING")),
+        ), 256,
+    )
+
+
+def _dollars(t: Column) -> Column:
+    return F.try_multiply(t["shares"], t["price"]).cast("decimal(38,6)")
+
+
 def _judged(t: Column) -> Column:
     known = F.coalesce(t["code"].isin("P", "S"), F.lit(False))
     good = F.coalesce(
@@ -243,18 +268,11 @@ def _judged(t: Column) -> Column:
         & t["transaction_date"].isNotNull() & (t["unpriced"] | t["price"].isNotNull()),
         F.lit(False),
     )
-    fingerprint = F.sha2(
-        F.concat_ws(
-            "|", t["transaction_date"].cast("string"), t["code"], t["side"],
-            _plain_decimal(t["shares"]), F.coalesce(_plain_decimal(t["price"]), F.lit("MISSING")),
-        ), 256,
-    )
     return F.struct(
         F.when(~known, "EXCLUDED").when(good, "ELIGIBLE").otherwise("QUARANTINED").alias("status"),
-        t["unpriced"].alias("unpriced"), fingerprint.alias("fingerprint"),
+        t["unpriced"].alias("unpriced"),
         t["transaction_date"].alias("transaction_date"), t["code"].alias("code"),
         t["side"].alias("side"), t["shares"].alias("shares"), t["price"].alias("price"),
-        F.try_multiply(t["shares"], t["price"]).cast("decimal(38,6)").alias("dollars"),
     )
 
 
@@ -267,8 +285,11 @@ def type_transactions(filings: DataFrame) -> DataFrame:
     """
     rows = _typed(filings)
     keep = [c for c in rows.columns if c != "_t"]
+    t = F.col("t")
     return rows.select(*keep, F.posexplode("_t").alias("_pos", "t")).select(
-        *keep, (F.col("_pos") + 1).alias("ordinal"), "t.*"
+        *keep, (F.col("_pos") + 1).alias("ordinal"), t["status"].alias("status"), t["unpriced"].alias("unpriced"),
+        _fingerprint(t).alias("fingerprint"),
+        *[t[c].alias(c) for c in ("transaction_date", "code", "side", "shares", "price")], _dollars(t).alias("dollars"),
     )
 
 
@@ -306,10 +327,10 @@ def filing_summary(filings: DataFrame) -> DataFrame:
 
     zero = F.lit(0).cast("decimal(38,6)")
 
-    def total(rows: Column, measure: str) -> Column:
+    def total(rows: Column, measure) -> Column:
         summed = F.aggregate(
             rows, zero,
-            lambda acc, t: F.try_add(acc, F.coalesce(t[measure], zero)).cast("decimal(38,6)"),
+            lambda acc, t: F.try_add(acc, F.coalesce(measure(t), zero)).cast("decimal(38,6)"),
         )
         return F.coalesce(summed, zero)
 
@@ -318,13 +339,13 @@ def filing_summary(filings: DataFrame) -> DataFrame:
         return [
             count(F.size(mine)).alias(f"{name}_count"),
             count(F.size(F.filter(mine, lambda t: ~t["unpriced"]))).alias(f"{name}_priced"),
-            total(mine, "shares").alias(f"{name}_shares"),
-            total(mine, "dollars").alias(f"{name}_dollars"),
+            total(mine, lambda t: t["shares"]).alias(f"{name}_shares"),
+            total(mine, _dollars).alias(f"{name}_dollars"),
         ]
 
     totals = [c for name, code in SIDES.items() for c in side_totals(name, code)]
     prints = F.coalesce(
-        F.array_sort(F.transform("_good", lambda t: t["fingerprint"])),
+        F.array_sort(F.transform("_good", _fingerprint)),
         F.array().cast("array<string>"),
     )
     out = judged.select(

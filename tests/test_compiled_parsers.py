@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from seriesloom.sources import positions
+from seriesloom.plans import filing_path
+from seriesloom.sources import filings, positions
 from seriesloom.sources.landing import computed_once
 
 
@@ -35,3 +38,14 @@ def test_position_fields_are_parsed_in_methods_the_jvm_compiles(spark):
     assert all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
     assert not [line for line in _plan(parsed).splitlines() if "Generate" in line and "replace(" in line]
     assert sorted(r["open_interest"] for r in parsed.collect()) == [0, 1000, 2000]
+
+
+def test_fingerprints_are_hashed_only_where_asked_for(spark):
+    text = "<SEC-DOCUMENT>\nACCESSION NUMBER: 0000732101-25-004417\n<ACCEPTANCE-DATETIME>20250318163042\n<XML>\n \t<ownershipDocument></ownershipDocument>\r\n</XML>"
+    docs = spark.createDataFrame([("0000732101-25-004417", "4", text)], "accession string, form string, payload string")
+    parsed = filings.parse_ownership_docs(docs.withColumn("index_date", F.lit("2025-03-18").cast("date")))
+    assert _plan(filing_path.audit_rows(parsed)).count("sha2(") == 0
+    good, bad = filings.explode_transactions(parsed)
+    assert _plan(bad.select("ordinal")).count("sha2(") == 0 and "fingerprint" in good.columns
+    # Blanks around the document are no part of it.
+    assert parsed.first()["document_sha256"] == hashlib.sha256(b"<ownershipDocument></ownershipDocument>").hexdigest()
