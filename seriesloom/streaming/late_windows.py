@@ -10,6 +10,7 @@ how the files were cut into batches.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ def windows_and_late_rows(
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.sums = handle.getValueState("sums", "units bigint, valued bigint, events bigint, closed boolean")
-            self.ids = handle.getListState("ids", "id string")
+            self.ids = handle.getListState("ids", "ids string")  # an entry per chunk of rows, its ids as a JSON list
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:
             start, end = key[n_key], key[n_key + 1]
@@ -61,7 +62,7 @@ def windows_and_late_rows(
             units, valued, events, closed = state if known else (0, 0, 0, False)
             now = timerValues.getCurrentWatermarkInMs()
             late = now >= end // 1000  # the sums may still wait for their timer, which runs after the rows
-            seen = {r[0] for r in self.ids.get()} if known else set()
+            seen = {i for r in self.ids.get() for i in json.loads(r[0])} if known else set()
             for data in rows:
                 data = data.sort_values(["event_id", "at", "units"]).reset_index(drop=True)
                 repeat = data["event_id"].notna() & (data["event_id"].duplicated() | data["event_id"].isin(seen))
@@ -71,7 +72,7 @@ def windows_and_late_rows(
                 ids = data["event_id"].dropna().tolist()
                 seen.update(ids)
                 if ids:
-                    self.ids.appendList([(i,) for i in ids])
+                    self.ids.appendList([(json.dumps(ids),)])
                 if late:
                     yield self.listed(key, data, "late")
                 else:

@@ -215,3 +215,63 @@ def test_order_beats_arrival(spark):
         upserts.stream_upsert(stream, f"{base}/table", f"{base}/checkpoint", order=["seq"]).awaitTermination()
     got = upserts.read_upserted(spark, f"{base}/table", order=["seq"]).collect()
     assert [(r["value"], r["seq"]) for r in got] == [(7.0, 9)]
+
+
+def test_seen_ids_are_stored_by_chunk(spark):
+    """One state entry holds the ids of many rows, whatever characters they have, and repeats are found in it."""
+    import json
+
+    from seriesloom.streaming import late_windows
+
+    entries = []
+
+    class Ids:
+        def get(self):
+            return iter(entries)
+
+        def appendList(self, rows):
+            entries.extend(rows)
+
+    class Sums:
+        state = None
+
+        def get(self):
+            return self.state
+
+        def update(self, value):
+            self.state = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return sums
+
+        def getListState(self, *_):
+            return Ids()
+
+        def registerTimer(self, *_):
+            pass
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    import pandas as pd
+
+    found = {}
+    sums = Sums()
+    events = spark.createDataFrame([("k", 'a"\n,', 1.0)], "key string, event_id string, value double").withColumn(
+        "ts", F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    grouped = type(events.groupBy("key"))
+    kept, grouped.transformWithStateInPandas = grouped.transformWithStateInPandas, (
+        lambda self, **kw: found.update(kw) or events)
+    try:
+        late_windows.windows_and_late_rows(events, key=["key"], event_id="event_id")
+    finally:
+        grouped.transformWithStateInPandas = kept
+    processor = found["statefulProcessor"]
+    processor.init(Handle())
+    chunk = pd.DataFrame({"event_id": ['a"\n,', "b", 'a"\n,', None], "at": [1, 2, 3, 4], "units": [1, 2, 4, 8], "valued": [1, 1, 1, 1]})
+    for _ in range(2):
+        list(processor.handleInputRows(("k", 0, 10**12, 0), iter([chunk]), Times()))
+    assert [json.loads(e[0]) for e in entries] == [['a"\n,', "b"]]
+    assert sums.state == (1 + 2 + 8 + 8, 4, 4, False)
