@@ -397,17 +397,27 @@ def check_held_series_null(
 
 
 def recheck_reviewed_records(
-    points: DataFrame, records: DataFrame, *, recomputed: DataFrame, validated: DataFrame,
-    by: Sequence[str] = ("metric_id", "asof_date"),
+    points: DataFrame, spans: DataFrame, *, recomputed: DataFrame, validated: DataFrame,
+    by: Sequence[str] = ("metric_id", "asof_date"), max_age_days: int = 120,
 ) -> DataFrame:
     """Stored reviewed points against their detail records: the row rules hold,
-    the age limit holds, counts and direction are derived again."""
-    rules = validated.where(F.size("violations") > 0).select(
+    the age limit holds, counts and direction are derived again.
+
+    ``spans`` are the rows of `joins.entity_spans`, one per record with the last
+    day it stands for. Only days of a span beyond the limit are unrolled, and of
+    these the as-of dates of ``recomputed`` are violations.
+    """
+    # Rows without a code leave no row of their own.
+    rules = validated.select(
+        F.lit("REVIEWED_ROW").alias("check_id"),
         F.concat_ws("/", "company_id", "metric_id", "accession").alias("key"),
         F.explode("violations").alias("detail"),
-    ).select(F.lit("REVIEWED_ROW").alias("check_id"), "key", "detail")
-    old = records.where(F.datediff("asof_date", "as_of") > 120)
-    age = violations(old, "REVIEWED_AGE", [*by, "company_id"])
+    )
+    late = F.date_add("as_of", max_age_days + 1)
+    old = spans.where(F.col("until") >= late).select(
+        *[c for c in by if c != "asof_date"], "company_id", F.explode(F.sequence(late, F.col("until"))).alias("asof_date")
+    )
+    age = violations(old.join(recomputed.select(*by).distinct(), list(by), "left_semi"), "REVIEWED_AGE", [*by, "company_id"])
     fields = ["direction", "record_count", "company_count", "comparable_count"]
     again = check_same_attributes(points, recomputed, by, fields).withColumn(
         "check_id", F.lit("REVIEWED_POINT")

@@ -12,6 +12,7 @@ from seriesloom import schemas
 from seriesloom.functions.scalars import (
     FILING_ID, PLAIN_NUMBER, UTC_STAMP, codes, document_url_problems, strict_date,
 )
+from seriesloom.sources.landing import computed_once
 
 # What the reviewed columns may hold.
 DIRECTIONS = ("UP", "FLAT", "DOWN", "UNKNOWN")
@@ -20,6 +21,8 @@ VALUE_UNITS = (
     "USD", "USD mn", "USD bn", "count", "units", "percent", "percentage_points",
     "ratio", "MW", "GW",
 )
+# Rules of one compiled step.
+RULES_AT_ONCE = 12
 MAX_LENGTHS = {"reviewer": 80, "paraphrase": 280, "review_note": 500}
 
 
@@ -52,63 +55,72 @@ def validate_reviewed(
     number_of = F.try_element_at(
         F.create_map(*[F.lit(x) for pair in entity_ids.items() for x in pair]), F.col("company_id")
     )
-    period, as_of = strict_date("period_end"), strict_date("as_of")
 
     def stamp(name: str) -> Column:
         return F.when(F.col(name).rlike(UTC_STAMP), F.col(name).try_cast("timestamp"))
 
-    accepted, reviewed = stamp("filing_accepted_at"), stamp("reviewed_at")
-    value_ok = _text("value").rlike(PLAIN_NUMBER)
-    value = F.when(value_ok, F.col("value").try_cast("double"))
-    yoy_ok = _text("yoy_pct").rlike(PLAIN_NUMBER)
-    comparable = F.when(F.col("comparable") == "true", True).when(
-        F.col("comparable") == "false", False
+    def number(name: str) -> Column:
+        return F.when(_text(name).rlike(PLAIN_NUMBER), F.col(name).try_cast("double"))
+
+    # A line break lies in the texts as they follow each other, a blank at an end beside a break between them.
+    texts = [F.col(c) for c in schemas.REVIEWED_COLUMNS]
+    lines = F.concat_ws("\n", *texts)
+    # Fields, links and rules are separate steps: each is computed once per row, in methods that the JVM compiles.
+    typed = computed_once(
+        rows, _number=number_of, _period=strict_date("period_end"), _as_of=strict_date("as_of"),
+        _accepted=stamp("filing_accepted_at"), _reviewed=stamp("reviewed_at"), _value=number("value"), _yoy=number("yoy_pct"),
+        _comparable=F.when(F.col("comparable") == "true", True).when(F.col("comparable") == "false", False),
     )
+    linked = computed_once(
+        typed,
+        _padded=F.concat_ws("", *texts).rlike(r"[\r\n]") | lines.startswith(" ") | lines.endswith(" ")
+        | lines.contains(" \n") | lines.contains("\n "),
+        _link=F.size(
+            document_url_problems(
+                "source_url", host=host, prefix=prefix, entity=F.col("_number"), filing=F.col("filing_accession")
+            )
+        ) > 0,
+    )
+    value_ok, yoy_ok = _text("value").rlike(PLAIN_NUMBER), _text("yoy_pct").rlike(PLAIN_NUMBER)
+    day = F.col("_accepted").cast("date")
     ordered = (
-        (period <= accepted.cast("date")) & (accepted.cast("date") <= as_of)
-        & (as_of <= reviewed.cast("date")) & (accepted <= reviewed)
+        (F.col("_period") <= day) & (day <= F.col("_as_of"))
+        & (F.col("_as_of") <= F.col("_reviewed").cast("date")) & (F.col("_accepted") <= F.col("_reviewed"))
     )
-    padded = F.lit(False)
-    for c in schemas.REVIEWED_COLUMNS:
-        padded = padded | (_text(c) != F.trim(_text(c))) | _text(c).rlike(r"[\r\n]")
     no = F.lit(False)
     rules: list[tuple[Column, str]] = [
-        (padded, "WHITESPACE"),
-        (number_of.isNull(), "COMPANY"),
+        (F.col("_padded"), "WHITESPACE"),
+        (F.col("_number").isNull(), "COMPANY"),
         (~F.coalesce(F.col("metric_id").isin(*metrics), no), "METRIC"),
         (~F.coalesce(F.col("direction").isin(*DIRECTIONS), no), "DIRECTION"),
-        (period.isNull(), "PERIOD_END"), (as_of.isNull(), "AS_OF"),
-        (accepted.isNull(), "ACCEPTED_AT"), (reviewed.isNull(), "REVIEWED_AT"),
+        (F.col("_period").isNull(), "PERIOD_END"), (F.col("_as_of").isNull(), "AS_OF"),
+        (F.col("_accepted").isNull(), "ACCEPTED_AT"), (F.col("_reviewed").isNull(), "REVIEWED_AT"),
         (~F.coalesce(ordered, F.lit(True)), "CHRONOLOGY"),
         (~F.coalesce(F.col("filing_accession").rlike(FILING_ID), no), "ACCESSION"),
         (~F.coalesce(F.col("source_type").isin(*SOURCE_TYPES), no), "SOURCE_TYPE"),
-        (
-            F.size(
-                document_url_problems(
-                    "source_url", host=host, prefix=prefix, entity=number_of,
-                    filing=F.col("filing_accession"),
-                )
-            ) > 0, "SOURCE_URL",
-        ),
-        ((_text("value") != "") & (~value_ok | (value < 0)), "VALUE"),
+        (F.col("_link"), "SOURCE_URL"),
+        ((_text("value") != "") & (~value_ok | (F.col("_value") < 0)), "VALUE"),
         ((_text("value") == "") & (_text("unit") != ""), "UNIT_WITHOUT_VALUE"),
         ((_text("value") != "") & ~F.coalesce(F.col("unit").isin(*VALUE_UNITS), no), "UNIT"),
         ((_text("yoy_pct") != "") & ~yoy_ok, "YOY"),
-        (comparable.isNull(), "COMPARABLE"),
-        ((_text("yoy_pct") != "") & ~F.coalesce(comparable, no), "YOY_NOT_COMPARABLE"),
+        (F.col("_comparable").isNull(), "COMPARABLE"),
+        ((_text("yoy_pct") != "") & ~F.coalesce("_comparable", no), "YOY_NOT_COMPARABLE"),
     ]
     for name, limit in MAX_LENGTHS.items():
         rules.append(
             ((_text(name) == "") | (F.length(_text(name)) > limit), f"{name.upper()}_LENGTH")
         )
-    return rows.select(
-        "company_id", "metric_id", "direction", period.alias("period_end"), value.alias("value"),
-        F.nullif(_text("unit"), F.lit("")).alias("unit"),
-        F.when(yoy_ok, F.col("yoy_pct").try_cast("double")).alias("yoy_pct"),
-        comparable.alias("comparable"), "source_type", "source_url",
-        F.col("filing_accession").alias("accession"), accepted.alias("accepted_at"),
-        as_of.alias("as_of"), "reviewer", reviewed.alias("reviewed_at"), "paraphrase",
-        "review_note", codes(rules).alias("violations"),
+    judged = linked
+    at = range(0, len(rules), RULES_AT_ONCE)
+    for i in at:
+        judged = computed_once(judged, **{f"_codes_{i}": codes(rules[i:i + RULES_AT_ONCE])})
+    return judged.select(
+        "company_id", "metric_id", "direction", F.col("_period").alias("period_end"), F.col("_value").alias("value"),
+        F.nullif(_text("unit"), F.lit("")).alias("unit"), F.col("_yoy").alias("yoy_pct"),
+        F.col("_comparable").alias("comparable"), "source_type", "source_url",
+        F.col("filing_accession").alias("accession"), F.col("_accepted").alias("accepted_at"),
+        F.col("_as_of").alias("as_of"), "reviewer", F.col("_reviewed").alias("reviewed_at"), "paraphrase",
+        "review_note", F.concat(*[f"_codes_{i}" for i in at]).alias("violations"),
     )
 
 

@@ -6,8 +6,9 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from seriesloom.checks import checks
 from seriesloom.plans import filing_path
-from seriesloom.sources import filings, positions
+from seriesloom.sources import filings, positions, reviewed
 from seriesloom.sources.landing import computed_once
 
 
@@ -49,3 +50,33 @@ def test_fingerprints_are_hashed_only_where_asked_for(spark):
     assert _plan(bad.select("ordinal")).count("sha2(") == 0 and "fingerprint" in good.columns
     # Blanks around the document are no part of it.
     assert parsed.first()["document_sha256"] == hashlib.sha256(b"<ownershipDocument></ownershipDocument>").hexdigest()
+
+
+def _reviewed(spark, texts):
+    names = reviewed.schemas.REVIEWED_COLUMNS
+    rows = spark.createDataFrame([tuple(t.get(n, "x") for n in names) for t in texts], ", ".join(f"{n} string" for n in names))
+    return reviewed.validate_reviewed(rows, entity_ids={"alpha": "11"}, metrics=["orders"], host="www.example.gov", prefix="/Archives/data")
+
+
+def test_rules_of_reviewed_rows_are_compiled_and_computed_once(spark):
+    validated = _reviewed(spark, [{}, {"reviewer": ""}])
+    points = spark.createDataFrame([], "metric_id string, asof_date date, direction string, record_count long, company_count long, comparable_count long")
+    spans = spark.createDataFrame([], "metric_id string, company_id string, as_of date, until date")
+    plan = _plan(checks.recheck_reviewed_records(points, spans, recomputed=points, validated=validated))
+    assert plan.count("CHRONOLOGY") == plan.count("UNIT_WITHOUT_VALUE") == 1 and "lambda" not in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = _reviewed(spark, [{}])._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000, sizes
+    assert "REVIEWER_LENGTH" in validated.collect()[1]["violations"]
+
+
+def test_blanks_and_line_breaks_of_any_column_are_found(spark):
+    values = [None, "", "x", "a b", "a\tb", " a", "a ", " ", "a\n", "\na", "a\rb", "a \nb", "\ta"]
+    places = [reviewed.schemas.REVIEWED_COLUMNS[i] for i in (0, 5, -1)]
+    got = _reviewed(spark, [{c: v} for c in places for v in values]).collect()
+    want = [(v or "") != (v or "").strip(" ") or "\n" in (v or "") or "\r" in (v or "") for _ in places for v in values]
+    assert ["WHITESPACE" in r["violations"] for r in got] == want

@@ -9,6 +9,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from seriesloom.checks import checks
 from seriesloom.operators import aggregates, joins
 
 DAY = dt.date(2020, 1, 1)
@@ -70,6 +71,23 @@ def test_a_sweep_moves_no_more_rows_than_it_has_records(spark):
     assert "Generate explode(sequence(" in plan
 
 
+def test_the_age_limit_unrolls_only_days_beyond_it(spark):
+    df = spark.createDataFrame(_records(3, 40), RECORDS)
+    points = aggregates.reviewed_observations(joins.entity_spans(df, tie=["seq"]))
+    wide = joins.entity_spans(df, tie=["seq"], max_age_days=150)
+    rows = df.select(F.lit("k").alias("accession"), "metric_id", "company_id", F.array(F.lit(None).cast("string")).alias("violations")).limit(0)
+
+    def found(spans):
+        return checks.recheck_reviewed_records(points, spans, recomputed=points, validated=rows)
+
+    old = joins.latest_per_entity_asof(df, tie=["seq"], max_age_days=150).where("datediff(asof_date, as_of) > 120").selectExpr(
+        "concat_ws('/', metric_id, asof_date, company_id)")
+    got = Counter(r["key"] for r in found(wide).collect())
+    assert got == Counter(r[0] for r in old.collect()) and got
+    assert found(joins.entity_spans(df, tie=["seq"])).count() == 0
+    assert "collect_list" not in found(wide)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_measured_blocks_equal_the_plain_join(spark):
     rng = random.Random(4)
     t0 = dt.datetime(2024, 1, 1)
