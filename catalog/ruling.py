@@ -94,11 +94,9 @@ def _metrics(spark, sf):
 
 
 def _clauses(spark):
-    return spark.createDataFrame(
-        [("low", "5-LOW", "<", 250000.0), ("urgent", "1-URGENT", ">=", 250000.0),
-         ("urgent_top", "1-URGENT", ">", 400000.0), ("high", "2-HIGH", "<=", 100000.0)],
-        "clause_id string, metric_id string, operator string, threshold double",
-    )
+    # A table whose size Spark knows: records meet their clauses without a shuffle by their few metrics.
+    return spark.sql("""SELECT * FROM VALUES ('low', '5-LOW', '<', 250000D), ('urgent', '1-URGENT', '>=', 250000D),
+      ('urgent_top', '1-URGENT', '>', 400000D), ('high', '2-HIGH', '<=', 100000D) AS t(clause_id, metric_id, operator, threshold)""")
 
 
 CLAUSE_SQL = """cl AS (SELECT * FROM (VALUES ('low', '5-LOW', '<', 250000.0::DOUBLE), ('urgent', '1-URGENT', '>=', 250000.0), ('urgent_top', '1-URGENT', '>', 400000.0), ('high', '2-HIGH', '<=', 100000.0)) t(clause_id, metric_id, op, thr)),

@@ -206,19 +206,13 @@ def bucketed_totals(
         total(is_buy, shares).alias("buy_shares"), total(is_sell, shares).alias("sell_shares"),
         total(is_buy, dollars).alias("buy_dollars"), total(is_sell, dollars).alias("sell_dollars"),
     )
-    # The three flag rows are at most three per filing, so the ALL row is rolled
-    # up from them and the transactions are shuffled once.
+    # The flag rows are at most a few per filing, so they are dealt by filing without
+    # skew. The ALL row is rolled up from them where they are, and what is grouped by
+    # filing later stays there too.
     measures = [c for c in fine.columns if c not in (*by, flag)]
-    rolled = fine.groupingSets(
-        [[*[F.col(k) for k in by], F.col(flag)], [F.col(k) for k in by]],
-        *[F.col(k) for k in by], F.col(flag),
-    ).agg(
-        F.grouping_id().alias("_g"),
-        *[F.sum(m).cast(fine.schema[m].dataType).alias(m) for m in measures],
-    )
-    return rolled.select(
-        *by, F.when(F.col("_g") > 0, "ALL").otherwise(F.col(flag)).alias("bucket"), *measures
-    )
+    dealt = fine.select(*by, F.col(flag).alias("bucket"), *measures).repartition(*by)
+    whole = dealt.groupBy(*by).agg(*[F.sum(m).cast(fine.schema[m].dataType).alias(m) for m in measures])
+    return dealt.unionByName(whole.select(*by, F.lit("ALL").alias("bucket"), *measures))
 
 
 # Amendment states that count, and parse states that are usable.
@@ -256,8 +250,10 @@ def window_summary(
     effective = F.col("amendment_status").isin(*EFFECTIVE) & F.col("parse_status").isin(*PARSED)
     key = [*by, "window_days"]
     # Issuers are counted by grouping on the issuer first: a window that owns
-    # most filings spreads over its issuers before the final sums.
-    per_issuer = entries.join(days, [*by, day]).groupBy(*key, "issuer").agg(
+    # most filings spreads over its issuers before the final sums. Entries before
+    # every window are left out ahead of the shuffle.
+    recent = entries.where(F.col(day) >= days.agg(F.min(day)).scalar())
+    per_issuer = recent.join(days, [*by, day]).groupBy(*key, "issuer").agg(
         *[
             F.coalesce(F.sum(F.when(effective, F.col(c))), F.lit(0)).alias(c)
             for c in (

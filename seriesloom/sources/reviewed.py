@@ -64,16 +64,17 @@ def validate_reviewed(
 
     # A line break lies in the texts as they follow each other, a blank at an end beside a break between them.
     texts = [F.col(c) for c in schemas.REVIEWED_COLUMNS]
-    lines = F.concat_ws("\n", *texts)
     # Fields, links and rules are separate steps: each is computed once per row, in methods that the JVM compiles.
     typed = computed_once(
         rows, _number=number_of, _period=strict_date("period_end"), _as_of=strict_date("as_of"),
         _accepted=stamp("filing_accepted_at"), _reviewed=stamp("reviewed_at"), _value=number("value"), _yoy=number("yoy_pct"),
         _comparable=F.when(F.col("comparable") == "true", True).when(F.col("comparable") == "false", False),
+        _flat=F.concat_ws("", *texts), _lines=F.concat_ws("\n", *texts),
     )
+    flat, lines = F.col("_flat"), F.col("_lines")
     linked = computed_once(
         typed,
-        _padded=F.concat_ws("", *texts).rlike(r"[\r\n]") | lines.startswith(" ") | lines.endswith(" ")
+        _padded=flat.contains("\r") | flat.contains("\n") | lines.startswith(" ") | lines.endswith(" ")
         | lines.contains(" \n") | lines.contains("\n "),
         _link=F.size(
             document_url_problems(
@@ -81,7 +82,7 @@ def validate_reviewed(
             )
         ) > 0,
     )
-    value_ok, yoy_ok = _text("value").rlike(PLAIN_NUMBER), _text("yoy_pct").rlike(PLAIN_NUMBER)
+    value_ok, yoy_ok = F.col("_value").isNotNull(), F.col("_yoy").isNotNull()
     day = F.col("_accepted").cast("date")
     ordered = (
         (F.col("_period") <= day) & (day <= F.col("_as_of"))
